@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import chat, exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -12,6 +12,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return chat.summary(chat.format_paths(chat.threads(rows.unionByName(extra))))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -21,9 +28,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(rows, exact_dedup.half_history())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(toxicity.sample(docs, read_table(spark, sf_dir, "labels"))))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
 
 
 ORACLE_SQL: dict[str, str] = {}
-QUERIES = {q.__name__: q for q in (op1_sharding, op3_mixing, op4_exact_dedup, op9_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op8_simhash, op9_quality_rules)}
