@@ -1,7 +1,7 @@
 """Toxicity by compression distance (operator 5).
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary
-windows, one on the words whose letter groups set toxic text apart.  A text is
+windows, one on the beginnings of words that set toxic text apart.  A text is
 cut into windows of a few words; each window is compressed with the ordinary
 dictionary alone and with both, so the shorter length shows what only the
 toxic dictionary explains.  A logistic model over these gains, fitted on
@@ -29,10 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_500, 5_000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 4_000, 20_000
 WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 12, 3, 32_768, 2_048
-#: Letter groups of this length; they need this share of toxic texts, and this many times the share of ordinary ones.
-GRAM, FLOOR, LIFT = 5, 0.03, 20
+#: Bytes of a word's beginning; it needs this share of toxic texts, and this many times the share of ordinary ones.
+STEM, FLOOR, LIFT, MOST = (4, 12), 0.02, 20, 0.6
+#: Numbers of stems to try; the one that calibrates best is used.
+STEMS = (10, 16, 32, 64, 1000)
 GAIN, THRESHOLD = 3, 0.7
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -51,34 +53,39 @@ def _letters(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode().translate(_LETTERS).split()) + b" "
 
 
-def _grams(s: bytes) -> set[bytes]:
-    return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
+def _stems(word: bytes) -> list[bytes]:
+    """The beginnings of a word, and the word itself with its end."""
+    return [word[:k] for k in range(STEM[0], min(STEM[1], len(word)) + 1)] + [word + b" "]
 
 
-def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> Counter[bytes]:
-    """The parts of words that lie in letter groups far more usual in toxic texts, counted."""
+def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> Counter[bytes]:
+    """Beginnings of words that far more toxic than ordinary texts have, with the number of toxic texts."""
+    stems = lambda s: {x for w in set(s.split()) for x in _stems(w)}
     a, b = Counter(), Counter()
     for s in toxic:
-        a.update(_grams(s))
+        a.update(stems(s))
+    a = Counter({x: n for x, n in a.items() if n >= max(3, FLOOR * len(toxic))})
     for s in ordinary:
-        b.update(_grams(s))
-    chosen = {g for g, n in a.items() if n >= max(3, FLOOR * len(toxic)) and n * len(ordinary) >= LIFT * (b[g] + 0.5) * len(toxic)}
+        b.update(stems(s) & a.keys())
+    chosen = {x for x, n in a.items() if n * len(ordinary) >= LIFT * (b[x] + 0.5) * len(toxic)}
+    # from each shortest stem on, as far as most of its texts go
     out: Counter[bytes] = Counter()
-    for s in toxic:
-        start = end = -1
-        for i in range(len(s) - GRAM + 2):
-            hit = s[i : i + GRAM] in chosen
-            if start >= 0 and (i > end or i > len(s) - GRAM) and not hit:
-                out.update(w for w in s[start:end].split() if len(w) >= 4)
-                start = -1
-            if hit:
-                start, end = (i if start < 0 else start), i + GRAM
+    for x in chosen:
+        if not any(x[:k] in chosen for k in range(STEM[0], len(x))):
+            while longer := [y for y in a if len(y) == len(x) + 1 and y.startswith(x) and a[y] >= MOST * a[x]]:
+                x = max(longer, key=a.get)
+            out[x.strip()] = a[x]
     return out
 
 
+#: Ends the tables of a trained dictionary; content follows.
+_TABLES_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+
+
 def _trained(size: int, samples: list[bytes]) -> bytes:
+    """The content of a dictionary that zstandard trains on the samples."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes().partition(_TABLES_END)[2]
     except zstandard.ZstdError:  # too few samples to train on
         return b"".join(samples)[:size]
 
@@ -114,6 +121,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _toxic_part(stems: list[bytes]) -> bytes:
+    """A dictionary trained on the stems, and the stems as they are, the most usual last."""
+    samples = [b" " + b" ".join(stems[k : k + 4]) + b" " for k in range(0, len(stems), 4)]
+    part = _trained(TOXIC_BYTES, [s for s in samples for _ in range(8)]) if samples else b""
+    part += (b" " + b" ".join(reversed(stems)) + b" ")[-TOXIC_BYTES:]
+    # zstandard indexes a dictionary at every third byte first: the ordinary part, which follows, must keep its phase
+    return b" " * (-len(part) % 24) + part
+
+
 def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     """A model from (id, text, toxic): two thirds of the rows train the dictionaries, the rest calibrates."""
     rows = sorted(rows)
@@ -122,20 +138,24 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     toxic, ordinary = ([t for _, t, y in train if y == label] for label in (1, 0))
     if not toxic or not ordinary or len({y for *_, y in rest}) < 2:
         return None
-    counts = telling_words([_letters(t) for t in toxic], [_letters(t) for t in ordinary])
-    words = [w for w, _ in counts.most_common() if sum(map(len, (w, b" "))) < TOXIC_BYTES]
-    samples = [b" " + b" ".join(words[k : k + 4]) + b" " for k in range(0, len(words), 4)]
-    toxic_part = _trained(TOXIC_BYTES, [s for s in samples for _ in range(8)]) if samples else b""
-    toxic_part += (b" " + b" ".join(reversed(words)) + b" ")[-TOXIC_BYTES:]
-    # zstandard indexes a dictionary at every third byte first: the ordinary part must keep its phase
-    toxic_part = b" " * (-len(toxic_part) % 24) + toxic_part
+    counts = telling_stems([_letters(t) for t in toxic], [_letters(t) for t in ordinary])
+    stems = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
     plain = [w for t in ordinary for w in windows(t)]
     random.Random(7).shuffle(plain)
-    model = Model(_trained(ORDINARY_BYTES, plain[:150_000])[-ORDINARY_BYTES:], toxic_part, ())
-    gain = model.gains()
-    x = np.array([features([gain(w) for w in windows(t)]) for _, t, _ in rest])
-    w = _logistic(x, np.array([y for *_, y in rest], dtype=float))
-    return Model(model.ordinary, model.toxic, tuple(float(v) for v in w))
+    ordinary_part = _trained(ORDINARY_BYTES, plain[:150_000])
+    y = np.array([y for *_, y in rest], dtype=float)
+    texts = [windows(t) for _, t, _ in rest]
+    best: tuple[float, Model] | None = None
+    for n in dict.fromkeys(min(k, len(stems)) for k in STEMS):
+        model = Model(ordinary_part, _toxic_part(stems[:n]), ())
+        gain = model.gains()
+        x = np.array([features([gain(w) for w in t]) for t in texts])
+        w = _logistic(x, y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if best is None or loss < best[0]:
+            best = loss, Model(model.ordinary, model.toxic, tuple(float(v) for v in w))
+    return best[1]
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, str, int]]:
