@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,11 +32,11 @@ from .common import id_in, id_out, materialize
 
 CAPACITY = 2048
 #: Words whose ids a task remembers, and characters of text that it splits at once.
-CACHE, CHARS_AT_ONCE = 300_000, 2_000_000
+CACHE, CHARS_AT_ONCE = 800_000, 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space that str.split() removes but the tokenizer may see otherwise: such texts are split at ASCII white space.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
@@ -46,24 +47,42 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Token ids, as little-endian bytes, of texts under a tokenizer that works within white-space-separated words."""
+    """Token ids, as little-endian bytes, of texts under a tokenizer that works within white-space-separated words.
+
+    New words are encoded together, parted by a special token, and remembered.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.parting = max(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: x[0], default=(None, None))
+
+    def learn(self, words: list[str]) -> None:
+        part_id, part = self.parting[0], str(self.parting[1].content) if self.parting[1] else ""
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        alone = [w for w in words if not part or any(x in w for x in special)]
+        apart = set(alone)
+        plain = [w for w in words if w not in apart] if alone else words
+        for k in range(0, len(plain), 20_000):
+            some = plain[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([part.join(some) + part], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == part_id)
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(some, (4 * ends).tolist(), strict=True):
+                self.known[w] = raw[a:b]
+                a = b + 4
+        for w in alone:
+            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         words = [_ASCII_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
+        new = set().union(*words)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list(set().union(*words))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        new.difference_update(self.known)
+        self.learn(list(new))
         for w in words:
             yield b"".join(map(self.known.__getitem__, w))
 

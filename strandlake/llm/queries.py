@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, packing, quality_rules, sharding, simhash, toxicity
+from . import chat, exact_dedup, mixing, packing, parsing, quality_rules, sharding, simhash, suffix_trees, toxicity
 from .common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {}
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op8_simhash, op9_quality_rules)}
+def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op7_suffix_trees, op8_simhash, op9_quality_rules, op10_parsing)}
