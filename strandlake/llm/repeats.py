@@ -186,6 +186,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _runs(bits: bytes, n: int) -> list[tuple[int, int]]:
+    """Stretches of set bits, as (first, after the last)."""
+    b = np.r_[0, np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[:n], 0].astype(np.int8)
+    d = np.diff(b)
+    return list(zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True))
+
+
 def text_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, str]:
     """The texts bucketed by chunk, their bytes, and the table's name."""
     spark = docs.sparkSession
@@ -261,22 +268,23 @@ def removed(docs: DataFrame, kind: Kind, resolve: Resolve, schema: str, finish:
         if not len(pdf):
             return pd.DataFrame([], columns=[x.split()[0] for x in schema.split(", ")])
         c = Chunk.of(pdf, kind)
-        gone = np.zeros(int(c.first[-1]) + 1, dtype=np.int64)
         verdicts = notes[notes.bits.notna()]
-        told = {(int(d), int(o), int(lo)): b for d, o, lo, b in zip(verdicts.doc, verdicts.ord, verdicts.lo, verdicts.bits, strict=True)}
+        told = dict(zip(zip(*(verdicts[x].astype("int64").tolist() for x in ("doc", "ord", "lo")), strict=True), verdicts.bits, strict=True))
+        docs, ords, start, length = c.docs.tolist(), c.ords.tolist(), c.first.tolist(), kind.length
+        opens: list[int] = []
+        closes: list[int] = []
         for found in (c.stretches(notes) if len(notes) else {}).values():
             _, row0, lo0, n_windows = found[0]
-            b = told.get((int(c.docs[row0]), int(c.ords[row0]), lo0))
-            first = np.zeros(n_windows, dtype=bool) if b is None else np.ones(n_windows, dtype=bool) if not b else np.unpackbits(np.frombuffer(b, dtype=np.uint8))[:n_windows].astype(bool)
+            whole = [(0, n_windows)]
+            b = told.get((docs[row0], ords[row0], lo0))
+            own = [] if b is None else _runs(b, n_windows) if b else whole
             for k, (_, row, lo, _) in enumerate(found):
-                again = c.docs[row] != c.docs[row0] if kind.words else k > 0
-                at = np.arange(n_windows) if again else np.flatnonzero(first)
-                if len(at):
-                    at = at + lo + int(c.first[row])
-                    new = np.r_[True, at[1:] > at[:-1] + 1]
-                    np.add.at(gone, at[new], 1)
-                    np.add.at(gone, np.r_[at[:-1][new[1:]], at[-1]] + kind.length, -1)
-        mask = np.cumsum(gone)[:-1] > 0
+                at = start[row] + lo
+                for x, y in whole if (docs[row] != docs[row0] if kind.words else k) else own:
+                    opens.append(at + x)
+                    closes.append(at + y - 1 + length)
+        n = start[-1] + 1
+        mask = np.cumsum(np.bincount(np.array(opens, dtype=np.int64), minlength=n) - np.bincount(np.array(closes, dtype=np.int64), minlength=n))[:-1] > 0
         out = []
         for k, doc in enumerate(c.docs):
             out.append((int(doc), *finish(c.units[k] if kind.words else c.data[k], mask[c.first[k] : c.first[k + 1]])))
