@@ -18,7 +18,7 @@ an empty table gives no rows; other columns are not touched.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -79,19 +79,34 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], bu
 
 
 def uniform(id_col: str, seed: str = "mix") -> Column:
-    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
+def rates(rows: DataFrame, wanted: Mapping[str, Mapping[str, float] | float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """``rows`` (the dimensions and n_tokens) -> the probability ``rate`` of each cell, its dimensions named with a leading underscore."""
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
+    raked = rake(cells, wanted or dict.fromkeys(DIMENSIONS, TEMPERATURE), budget, rounds)
+    rate = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(F.lit(1.0))
+    return materialize(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), rate.alias("_rate")))
+
+
+def _same_cell() -> Column:
+    s, l, t = (F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS)
+    return s & l & t
+
+
 def mix(docs: DataFrame, wanted: Mapping[str, Mapping[str, float] | float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
     """doc_id, the dimensions, n_tokens, probability and selected for each row of documents."""
-    wanted = wanted or dict.fromkeys(DIMENSIONS, TEMPERATURE)
     rows = materialize(docs.select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens")))
-    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")))
-    raked = rake(cells, wanted, budget, rounds)
-    rate = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(F.lit(1.0))
-    rates = materialize(raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), rate.alias("rate")))
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
-    return rows.join(rates, same[0] & same[1] & same[2]).select(
-        "doc_id", *DIMENSIONS, "n_tokens", F.round("rate", 6).alias("probability"), (uniform("doc_id", seed) < F.col("rate")).alias("selected")
+    return rows.join(rates(rows, wanted, budget, rounds), _same_cell()).select(
+        "doc_id", *DIMENSIONS, "n_tokens", F.round("_rate", 6).alias("probability"), (uniform("doc_id", seed) < F.col("_rate")).alias("selected")
     )
+
+
+def sampled(docs: DataFrame, wanted: Mapping[str, Mapping[str, float] | float] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the mix draws."""
+    rows = docs.select("source", "lang", topic_of(F.col("text")).alias("topic"), n_tokens(F.col("text")).alias("n_tokens"))
+    drawn = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"))
+    drawn = drawn.join(rates(rows, wanted, budget, rounds), _same_cell())
+    return drawn.filter(uniform("doc_id", seed) < F.col("_rate")).select("_row.*")

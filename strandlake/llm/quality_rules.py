@@ -47,6 +47,7 @@ class Policy:
 BASE = Policy("base", ("few_words", "repeat_words"))
 POLICIES = {p.version: p for p in (BASE, Policy("v1", (*BASE.rules, "symbol_flood")), Policy("v2", tuple(BIT)))}
 DEFAULT_POLICY = "v2"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failure_bits")
 
 
 def _repeated(grams: Column) -> Column:
@@ -69,16 +70,28 @@ def _repeated(grams: Column) -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, the measurements, and ``failure_bits``."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    return _measure(docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))).select("_row.*", *MEASURES)
+
+
+def passing(docs: DataFrame, version: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a policy keeps; nothing is shuffled."""
+    rows = _measure(docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")))
+    # a filter would be pushed below the measurements, and evaluate each of them again wherever it is used
+    kept = F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")
+    return apply_policy(rows, version).select(kept).select("_row.*")
+
+
+def _measure(d: DataFrame) -> DataFrame:
+    """``_row`` and ``_t`` -> ``_row`` with the measurements and bits of the text."""
     d = d.select(
-        "doc_id",
+        "_row",
         words_of(F.col("_t")).alias("_w"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(SPACE.replace("[", "[^"))).alias("_l"),
     )
     word = F.transform("_w", lambda w: F.xxhash64(w))
     d = d.select(
-        "doc_id",
+        "_row",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         "n_symbols",
