@@ -161,13 +161,13 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, str, int]]:
     """The bounded sample of labelled rows that are not held out."""
     known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").dropDuplicates(["_i"])
-    texts = docs.filter(~held_out(id_col) & (F.length(text_col) <= MAX_CHARS)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = texts.join(known, F.col("i") == F.col("_i")).select("i", "t", "_y")
-    return [
-        (r.i, r.t, r["_y"])
-        for label, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY))
-        for r in rows.filter(F.col("_y") == label).orderBy(F.xxhash64("i"), "i", "t").limit(most).collect()
-    ]
+    short = docs.filter(~held_out(id_col) & (F.length(text_col) <= MAX_CHARS)).select(F.col(id_col).alias("i"))
+    rows = short.join(known, F.col("i") == F.col("_i")).select("i", F.col("_y").alias("y"))
+    chosen = [r for label, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)) for r in rows.filter(F.col("y") == label).distinct().orderBy(F.xxhash64("i"), "i").limit(most).collect()]
+    # at most MAX_TOXIC + MAX_ORDINARY ids: with them the texts are read in place and not shuffled
+    ids = docs.sparkSession.createDataFrame(chosen, "i long, y int")
+    texts = docs.filter(F.length(text_col) <= MAX_CHARS).select(F.col(id_col).alias("_i"), F.col(text_col).alias("t"))
+    return [(r.i, r.t, r.y) for r in texts.join(F.broadcast(ids), F.col("_i") == F.col("i")).select("i", "t", "y").dropDuplicates(["i", "t"]).collect()]
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
