@@ -1 +1,11 @@
-"""strandlake: genome-comparison and training-corpus analytics as Spark DataFrame plans."""
+"""strandlake: genome-comparison and training-corpus analytics as Spark DataFrame plans.
+
+Task-side functions are pickled by value, so executors need no copy of the
+package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
