@@ -49,9 +49,67 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
 
 
-ORACLE_SQL: dict[str, str] = {}
 def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op7_suffix_trees, op8_simhash, op9_quality_rules, op10_parsing)}
+
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_ESC = "replace(replace(replace({}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e')"
+
+
+def _mixing_sql() -> str:
+    dims, budget = mixing.DIMENSIONS, mixing.BUDGET
+    many = "length(t) - length(translate(t, '{}', '')) > length(t) / {}"
+    topic = f"CASE WHEN {many.format('|#*$%&', 50)} THEN 'markup' WHEN {many.format('!?', 50)} THEN 'exclaimed' WHEN {many.format('0123456789', 50)} THEN 'numeric' ELSE 'prose' END"
+    steps = [
+        f"r AS (SELECT doc_id, source, lang, {topic} AS topic, n_tokens FROM (SELECT doc_id, source, lang, coalesce(text,'') AS t, len({_WORDS}) AS n_tokens FROM documents))",
+        "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM r GROUP BY ALL)",
+        "z AS (SELECT *, sum(tokens) OVER () AS total, " + ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS m_{d}" for d in dims) + " FROM c)",
+        "k AS (SELECT " + ", ".join(f"(SELECT sum(pow(m / total, {mixing.TEMPERATURE})) FROM (SELECT DISTINCT {d}, m_{d} AS m, total FROM z)) AS k_{d}" for d in dims) + ")",
+        "w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, " + ", ".join(f"{budget} * total * pow(m_{d} / total, {mixing.TEMPERATURE}) / k_{d} AS t_{d}" for d in dims) + f", {budget} * tokens AS raked FROM z, k)",
+    ]
+    n = 0
+    for _ in range(mixing.ROUNDS):
+        for d in dims:
+            now = f"sum(raked) OVER (PARTITION BY {d})"
+            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {now} > 0 THEN least(tokens, raked * t_{d} / {now}) ELSE 0 END AS raked) FROM w{n})")
+            n += 1
+    same = " AND ".join(f"r.{d} IS NOT DISTINCT FROM w.{d}" for d in dims)
+    rate = "CASE WHEN w.tokens > 0 THEN w.raked / w.tokens ELSE 1.0 END"
+    u = "('0x' || substr(md5(concat(coalesce(r.doc_id::VARCHAR, ''), ':mix')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    return f"WITH {', '.join(steps)} SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens::BIGINT AS n_tokens, round({rate}, 6) AS probability, {u} < {rate} AS selected FROM r JOIN w{n} w ON {same}"
+
+
+def _quality_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {cond} THEN {quality_rules.BIT[name]} ELSE 0 END" for name, cond in quality_rules.RULES)
+    mask = quality_rules.POLICIES[quality_rules.DEFAULT_POLICY].mask | quality_rules.BASE.mask
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text,'') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text,''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, list_slice(w, i, i + 7) AS gram FROM t, unnest(range(1, len(w) - 6)) u(i)) QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, sum(least(8, coalesce(i - p, 8))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM d) GROUP BY 1),
+m AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+ len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN c ON t.doc_id = c.doc_id),
+b AS (SELECT *, ({bits})::BIGINT AS failure_bits FROM m)
+SELECT *, (failure_bits & {quality_rules.BASE.mask}) <> 0 AS base_failed, (failure_bits & {mask}) = 0 AS kept, '{quality_rules.DEFAULT_POLICY}' AS policy FROM b"""
+
+
+#: Sharding and SimHash need hashes that DuckDB lacks, toxicity and packing a trained model and a tokenizer, and windows of bytes are slow in SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum(4 + length(replace({_ESC.format("role")}, ':', '\c')) + 2 + length({_ESC.format("text")}) + 8)::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+    "op3_mixing": _mixing_sql(),
+    "op4_exact_dedup": r"""WITH n AS (SELECT doc_id, length(coalesce(text,''))::BIGINT AS n_points, sha256(regexp_replace(coalesce(text,''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, n_points FROM k""",
+    "op7_suffix_trees": rf"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), x AS (SELECT doc_id, i, hash(list_slice(w, i, i + 49)) AS h FROM t, unnest(range(1, len(w) - 48)) u(i)),
+r AS (SELECT doc_id, i FROM x QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id), g AS (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM r), s AS (SELECT DISTINCT doc_id, p FROM g),
+l AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM s GROUP BY 1), v AS (SELECT t.doc_id, p, w[p] AS word FROM t, unnest(range(1, len(w) + 1)) u(p)),
+k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.p) AS kept FROM v LEFT JOIN s ON v.doc_id = s.doc_id AND v.p = s.p WHERE s.p IS NULL GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN k ON t.doc_id = k.doc_id""",
+    "op9_quality_rules": _quality_sql(),
+}
