@@ -113,9 +113,9 @@ def kmer_counts_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.counts(text_dna(spark, sf), K, canonical=True)
 
 
-@query(f"WITH {TEXT_SQL}, {KM_SQL}, {POOL_SQL} SELECT grp, x, n_x, round(pmf,9) AS pmf, round(cdf,9) AS cdf FROM cd")
+@query(f"WITH {TEXT_SQL}, {KM_SQL}, {POOL_SQL} SELECT grp, x, n_x, round(pmf,12) AS pmf, round(cdf,12) AS cdf FROM cd")
 def spectrum_cdf(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kmers.cdf(_spectra(spark, sf, "grp"), "grp"), 9)
+    return rounded(kmers.cdf(_spectra(spark, sf, "grp"), "grp"), 12)
 
 
 @query(f"""WITH {TEXT_SQL}, {KM_SQL}, {SPEC_SQL}, gr AS (SELECT a.x, b.pair_id, coalesce(p,0) AS p, coalesce(q,0) AS q, cp, cq FROM (SELECT DISTINCT x FROM s2) a CROSS JOIN (SELECT DISTINCT pair_id FROM s2) b LEFT JOIN s2 ON a.x=s2.x AND b.pair_id=s2.pair_id),
@@ -132,9 +132,9 @@ def tail_masses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {TEXT_SQL}, {KM_SQL}, {POOL_SQL}, de AS (SELECT a.grp, i AS x, coalesce(pmf,0) AS pmf FROM (SELECT DISTINCT grp FROM sp) a CROSS JOIN range(1,101) t(i) LEFT JOIN sp ON sp.grp=a.grp AND sp.x=i),
 ex AS (SELECT * FROM de UNION ALL SELECT grp, 2-x, pmf FROM de WHERE x BETWEEN 2 AND 3 UNION ALL SELECT grp, 200-x, pmf FROM de WHERE x BETWEEN 98 AND 99)
-SELECT * FROM (SELECT grp, x, round(pmf,9) AS pmf, round(avg(pmf) OVER (PARTITION BY grp ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),9) AS smooth FROM ex) WHERE x BETWEEN 1 AND 100""")
+SELECT * FROM (SELECT grp, x, round(pmf,12) AS pmf, round(avg(pmf) OVER (PARTITION BY grp ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),12) AS smooth FROM ex) WHERE x BETWEEN 1 AND 100""")
 def smoothed_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kmers.smoothed(kmers.dense_histogram(_spectra(spark, sf, "grp"), 100, "grp"), 5, 100, "grp"), 9)
+    return rounded(kmers.smoothed(kmers.dense_histogram(_spectra(spark, sf, "grp"), 100, "grp"), 5, 100, "grp"), 12)
 
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL} SELECT pair_id, which, x, y, n, round(p,9) AS p FROM pr")
