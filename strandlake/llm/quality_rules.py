@@ -106,7 +106,9 @@ def _measure(d: DataFrame) -> DataFrame:
     d = d.select("*", F.when(F.col("_ordered").isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
     d = d.drop("_h", "_g", "_ordered")
     bits = sum((F.when(F.expr(cond), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")) for name, cond in RULES), F.lit(0).cast("long"))
-    return d.select("*", bits.alias("failure_bits"))
+    # the generator keeps filters on the results from being pushed below, where every measurement would be repeated
+    measured = d.select("*", bits.alias("failure_bits"))
+    return measured.select("_row", F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select("_row", "_m.*")
 
 
 def apply_policy(rows: DataFrame, version: str = DEFAULT_POLICY) -> DataFrame:
