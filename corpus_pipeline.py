@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from strandlake.llm import exact_dedup, mixing, near_copies, packing, quality_rules
 from strandlake.llm.common import materialize, read_table
 
 
@@ -31,8 +31,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return without(docs, simhash.near_duplicates(docs).filter("component_id != doc_id"))
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return without(docs, near_copies.near_copies(docs).filter("keep_id != doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,20 +46,23 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bito
 _LANE = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each run of ``shingle`` words, in order; none of a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        end = np.cumsum(size + 1) - 1
-        start = (end - size)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(start, end[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(start))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = np.cumsum(size + 1) - 1
+    start = (end - size)[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(start, end[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(start))
+
+
+def folded(h: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 1 << 17):
         lanes = h[k : k + (1 << 17)].view(np.uint8).reshape(-1, 8) + _LANE
@@ -67,6 +70,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": np.array([fingerprint(t) for t in pdf.text], dtype=np.uint64).view(np.int64)})

@@ -360,3 +360,48 @@ def test_pipeline(spark, sf):
     n = [i for (i, _), c in zip(nodes, components(nodes)) if i == c]
     m = {r.doc_id for r in mixing.mix(docs.filter(F.col("doc_id").isin(n))).filter("selected").collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == m
+
+
+def test_near_stage_finds_all_pairs_of_similar_texts(spark, monkeypatch):
+    import corpus_pipeline
+    from strandlake.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "HOT_KEY", 20)
+    monkeypatch.setattr(near_copies, "HOT_COMPONENT", 20)
+    rng = random.Random(8)
+    rows, base = [], [prose(rng, 200).split() for _ in range(40)]
+    for i in range(300):
+        w = list(base[i % 40 if i < 200 else 7])  # one large group
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root, far = list(range(300)), 0
+    for a in range(300):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                far += (fingerprint(rows[a][1]) ^ fingerprint(rows[b][1])).bit_count() > 4
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert far > 100 and kept == [i for i in range(300) if root[i] == i]
+
+
+def test_pipeline_by_similarity(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    e = sorted((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, corpus_pipeline.quality(spark, docs, sf), sf).collect())
+    words = {i: t.lower().split() for i, t in e}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    n = [i for i in root if root[i] == i]
+    m = {r.doc_id for r in mixing.mix(docs.filter(F.col("doc_id").isin(n))).filter("selected").collect()}
+    assert len(n) < len(root) and {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == m
