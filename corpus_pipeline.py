@@ -7,11 +7,11 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import exact_dedup, mixing, near_copies, packing, quality_rules
-from strandlake.llm.common import materialize, read_table
+from strandlake.llm.common import SPACE_CHARS, id_in, materialize, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,20 +19,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.passing(docs)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+def chosen(docs: DataFrame, digest: Column, winners: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``winners`` (digest, doc_id); ids compare null-safely."""
+    keyed = docs.select("*", digest.alias("_digest"), id_in("doc_id").alias("_id"))
+    keys = winners.select(F.col("digest").alias("_digest"), id_in("doc_id").alias("_id"))
+    return keyed.join(keys, ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, whatever its id.
+
+    It is the one with the most code points, then the smallest id (a null id
+    comes first); of repeated rows one stays.  An id that two different texts
+    share stays with both.
+    """
     rows = exact_dedup.exact_dedup(exact_dedup.digests(docs), exact_dedup.half_history())
-    return without(docs, rows.filter("NOT kept"))
+    best = rows.filter("kept").groupBy("text_sha256", F.col("keep_id").alias("doc_id")).agg(F.max("n_points").alias("n"))
+    text = F.coalesce("text", F.lit(""))
+    digest = F.concat(F.sha2(F.translate(text, SPACE_CHARS, ""), 256), F.length(text).cast("string"))
+    return chosen(docs, digest, best.select(F.concat("text_sha256", F.col("n").cast("string")).alias("digest"), "doc_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
-    return without(docs, near_copies.near_copies(docs).filter("keep_id != doc_id"))
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles.
+
+    It is the one with the smallest id (a null id comes first); of repeated
+    rows one stays.  Texts of different groups that share an id are decided
+    each on its own.
+    """
+    rows = near_copies.near_copies(docs)
+    return chosen(docs, near_copies.node_of(), rows.select(F.col("keep_node").alias("digest"), F.col("keep_id").alias("doc_id")).distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

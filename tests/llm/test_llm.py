@@ -405,3 +405,18 @@ def test_pipeline_by_similarity(spark, sf):
     n = [i for i in root if root[i] == i]
     m = {r.doc_id for r in mixing.mix(docs.filter(F.col("doc_id").isin(n))).filter("selected").collect()}
     assert len(n) < len(root) and {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == m
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = lambda *x: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in x], schema)
+    order = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    # null ids, an id of two different texts, repeated rows
+    docs = rows((None, a), (1, a), (2, b), (3, b), (3, c), (4, d), (4, d), (None, d))
+    assert order(corpus_pipeline.exact(spark, docs, "")) == sorted([(None, a), (2, b), (3, c), (None, d)], key=str)
+    docs = rows((None, a), (1, a + " x"), (2, b), (3, b + " y"), (3, c), (4, d), (4, d), (5, d + " z"))
+    assert order(corpus_pipeline.near(spark, docs, "")) == sorted([(None, a), (2, b), (3, c), (4, d)], key=str)
