@@ -1,7 +1,8 @@
 """Toxicity by compression distance (operator 5).
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary
-windows, one on the beginnings of words that set toxic text apart.  A text is
+windows, one on the beginnings of words that set toxic text apart, within
+groups of texts that share their vocabulary (languages, say).  A text is
 cut into windows of a few words; each window is compressed with the ordinary
 dictionary alone and with both, so the shorter length shows what only the
 toxic dictionary explains.  A logistic model over these gains, fitted on
@@ -37,6 +38,9 @@ STEM, FLOOR, LIFT, MOST = (4, 12), 0.02, 20, 0.6
 STEMS = (10, 16, 32, 64, 1000)
 GAIN, THRESHOLD = 3, 0.7
 
+#: Words that group the texts by vocabulary, and the most groups.
+AXES, MOST_GROUPS = 300, 8
+
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -58,6 +62,38 @@ def _stems(word: bytes) -> list[bytes]:
     return [word[:k] for k in range(STEM[0], min(STEM[1], len(word)) + 1)] + [word + b" "]
 
 
+def vocabulary_groups(texts: list[bytes]) -> np.ndarray:
+    """For each text the number of its group; texts of a group share their usual words.
+
+    Words that one text in fifty has are the axes.  Centres start far from one
+    another and move to the mean of their texts a few times; a group of under
+    one text in a hundred joins the nearest other.
+    """
+    words = [set(t.split()) for t in texts]
+    count = Counter(w for s in words for w in s)
+    axes = {w: k for k, (w, n) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:AXES]) if 50 * n >= len(texts)}
+    x = np.zeros((len(texts), len(axes) + 1))
+    for k, s in enumerate(words):
+        x[k, [axes[w] for w in s & axes.keys()]] = 1
+    x[:, -1] = 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = x.mean(axis=0)
+    centres = [x[int(np.argmax(x @ mean))]]
+    while len(centres) < MOST_GROUPS:
+        near = (x @ np.array(centres).T).max(axis=1)
+        # the text of the far ones that has the most like it
+        far = np.flatnonzero(near <= np.quantile(near, 0.1))
+        centres.append(x[far[int(np.argmax((x[far] @ x[far].T).sum(axis=1)))]])
+    c = np.array(centres)
+    for _ in range(10):
+        at = np.argmax(x @ c.T, axis=1)
+        c = np.array([x[at == g].mean(axis=0) if (at == g).any() else c[g] for g in range(len(c))])
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+    at = np.argmax(x @ c.T, axis=1)
+    large = np.flatnonzero(np.bincount(at, minlength=len(c)) * 100 >= len(texts))
+    return np.argmax(x @ c[large].T, axis=1) if len(large) else at
+
+
 def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> Counter[bytes]:
     """Beginnings of words that far more toxic than ordinary texts have, with the number of toxic texts."""
     stems = lambda s: {x for w in set(s.split()) for x in _stems(w)}
@@ -78,6 +114,22 @@ def telling_stems(toxic: list[bytes], ordinary: list[bytes]) -> Counter[bytes]:
     return out
 
 
+def ranked_stems(toxic: list[bytes], ordinary: list[bytes], group: np.ndarray) -> list[bytes]:
+    """The telling stems of all texts and of each group (of toxic, then ordinary), the first of each before the second of any."""
+    place: dict[bytes, tuple] = {}
+    for g in [None, *np.unique(group).tolist()]:
+        a = [t for t, k in zip(toxic, group[: len(toxic)]) if g is None or k == g]
+        b = [t for t, k in zip(ordinary, group[len(toxic) :]) if g is None or k == g]
+        if a and b:
+            counts = telling_stems(a, b)
+            for r, x in enumerate(sorted(counts, key=lambda x: (-counts[x], x))):
+                place[x] = min(place.get(x, (r, 0, x)), (r, -counts[x], x))
+    # what tells in a small group by chance does not tell in all texts
+    many = lambda x, texts: sum(b" " + x in t for t in texts)
+    real = [x for x in place if many(x, toxic) * len(ordinary) >= LIFT * (many(x, ordinary) + 0.5) * len(toxic)]
+    return sorted(real, key=place.get)
+
+
 #: Ends the tables of a trained dictionary; content follows.
 _TABLES_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
@@ -138,13 +190,18 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     toxic, ordinary = ([t for _, t, y in train if y == label] for label in (1, 0))
     if not toxic or not ordinary or len({y for *_, y in rest}) < 2:
         return None
-    counts = telling_stems([_letters(t) for t in toxic], [_letters(t) for t in ordinary])
-    stems = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    letters = [[_letters(t) for t in part] for part in (toxic, ordinary, [t for _, t, _ in rest])]
+    group = vocabulary_groups([s for part in letters for s in part])
+    stems = ranked_stems(*letters[:2], group[: len(toxic) + len(ordinary)])
     plain = [w for t in ordinary for w in windows(t)]
     random.Random(7).shuffle(plain)
     ordinary_part = _trained(ORDINARY_BYTES, plain[:150_000])
     y = np.array([y for *_, y in rest], dtype=float)
     texts = [windows(t) for _, t, _ in rest]
+    # each group with toxic rows weighs as much as any other
+    own = group[len(toxic) + len(ordinary) :]
+    known = [g for g in np.unique(own) if y[own == g].any()]
+    share = sum((own == g) / (own == g).sum() for g in known) / len(known)
     best: tuple[float, Model] | None = None
     for n in dict.fromkeys(min(k, len(stems)) for k in STEMS):
         model = Model(ordinary_part, _toxic_part(stems[:n]), ())
@@ -152,7 +209,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
         x = np.array([features([gain(w) for w in t]) for t in texts])
         w = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        loss = -float(share @ (y * np.log(p) + (1 - y) * np.log(1 - p)))
         if best is None or loss < best[0]:
             best = loss, Model(model.ordinary, model.toxic, tuple(float(v) for v in w))
     return best[1]

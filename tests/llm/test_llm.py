@@ -420,3 +420,22 @@ def test_dedup_stages_keep_one_row_of_each_group(spark):
     assert order(corpus_pipeline.exact(spark, docs, "")) == sorted([(None, a), (2, b), (3, c), (None, d)], key=str)
     docs = rows((None, a), (1, a + " x"), (2, b), (3, b + " y"), (3, c), (4, d), (4, d), (5, d + " z"))
     assert order(corpus_pipeline.near(spark, docs, "")) == sorted([(None, a), (2, b), (3, c), (4, d)], key=str)
+
+
+def test_toxic_stems_of_a_small_language_rank_early():
+    rng = random.Random(6)
+    rows = []
+    for i in range(2400):
+        small, toxic = i % 12 == 0, rng.random() < 0.15
+        if small:
+            w = [rng.choice("uno dos tres casa perro gato".split()) + rng.choice(["", "s"]) for _ in range(40)]
+            bad = ["bomentevil", "malditoso"]
+        else:
+            w = [rng.choice("one two three house dog cat bird tree".split()) + rng.choice(["", "s"]) for _ in range(40)]
+            bad = [f"{c}{c}wicked" for c in "abcdefghijklmnopqrst"]
+        if toxic:
+            w[5:5] = rng.sample(bad, 1 if small else 6)
+        rows.append((" " + " ".join(w) + " ").encode() + (b"!" if toxic else b""))
+    toxic, ordinary = ([r.rstrip(b"!") for r in rows if r.endswith(b"!") == y] for y in (True, False))
+    stems = toxicity.ranked_stems(toxic, ordinary, toxicity.vocabulary_groups(toxic + ordinary))
+    assert {b"bomentevil", b"malditoso"} <= set(stems[:10])
