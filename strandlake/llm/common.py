@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +78,14 @@ def id_in(col: str) -> Column:
 
 def id_out(col: str) -> Column:
     return F.when(F.col(col) != F.lit(NULL_ID), F.col(col)).alias(col)
+
+
+def per_process(key: str, make: Callable):
+    """What ``make`` returns, made once in a Python worker and kept for its later tasks.
+
+    Task functions are pickled by value, so their module's globals don't outlive a task; a module of the worker's own does.
+    """
+    kept = sys.modules.setdefault("_strandlake_kept", ModuleType("_strandlake_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

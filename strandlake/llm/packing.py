@@ -6,16 +6,20 @@ sequence length: this histogram is a bounded table however large the corpus
 is.  On it, the reduction fixes sequences that provably dominate every
 alternative (a piece with which nothing fits, or that one other piece fills
 exactly, or at least as well as any pair could), and best-fit decreasing packs
-the rest.  The result is a list of patterns with multiplicities; ranks of the
-pieces within their length, counted in salted chunks, place every piece.
+the rest.  The result is a list of patterns with multiplicities, whose size the
+sequence length bounds too (``most_places``); ranks of the pieces within their
+length, counted in salted chunks, place every piece.
 
 Defined results: a null text counts as empty; an empty text is a piece of one
-token; a long text is cut at the sequence length; repeated rows are packed
-each on its own; an empty table gives no rows; other columns are ignored.
+token; a text of any length is encoded whole and cut at the sequence length;
+repeated rows are packed each on its own; an empty table gives no rows; other
+columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 import zlib
@@ -24,20 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, materialize
+from .common import id_in, id_out, materialize, partitions, per_process
 
 CAPACITY = 2048
-#: Words whose ids a task remembers, and characters of text that it splits at once.
-CACHE, CHARS_AT_ONCE = 800_000, 2_000_000
+#: Words whose ids a worker remembers, and characters of text that it splits at once.
+CACHE, CHARS_AT_ONCE = 500_000, 6_000_000
+
+#: Pieces of a chunk that a window ranks.
+ROWS_PER_CHUNK = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: White space that str.split() removes but the tokenizer may see otherwise: such texts are split at ASCII white space.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ASCII_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+#: The steps before the model under which words may be taken apart by the tokenizer's own pattern (fixed values of its format).
+_NORMALIZERS, _SPLIT, _SUFFIX = ["NFC", "Replace", "Lowercase"], {"behavior": "Removed", "invert": True}, "</w>"
 
 
 def default_tokenizer() -> str:
@@ -46,23 +54,108 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered:
+    """A mapping that keeps what was used lately: as the young half fills up, it becomes the old half, and the old one goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that have to be added; all others are in the young half after the call."""
+        if len(self.young) + len(keys) > self.most:
+            self.young, self.old = {}, self.young
+        keys = keys.difference(self.young)
+        found = [k for k in keys if k in self.old]
+        self.young.update((k, self.old[k]) for k in found)
+        return list(keys.difference(found))
+
+
+def _distinct(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, split at ASCII white space: the distinct ones, which word stands at each place, and where each text's words begin."""
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), words.offsets.to_numpy()
+
+
+def _joined(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``at``, one after another, and where each word's begin."""
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    return _gather(np.frombuffer(b"".join(ids), dtype="<u4"), np.r_[0, np.cumsum(size)], at)
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(first)[at]
+    end = np.r_[0, np.cumsum(n)]
+    return flat[np.arange(end[-1]) + np.repeat(first[at] - end[:-1], n)], end
+
+
 class WordEncoder:
     """Token ids, as little-endian bytes, of texts under a tokenizer that works within white-space-separated words.
 
-    New words are encoded together, parted by a special token, and remembered.
+    The distinct words of many texts are encoded together, and those seen
+    lately are remembered.  Where the tokenizer lower-cases
+    and splits words by a pattern, words of Latin-1 letters are taken apart by
+    that pattern first, so that a stem is encoded once for all its capitals
+    and punctuation; the ids of a part end where a token has the end-of-word
+    mark.  (Latin-1 text is its own composed form, so lower case is all that
+    normalization changes.)
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.parting = max(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: x[0], default=(None, None))
-
-    def learn(self, words: list[str]) -> None:
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Remembered(CACHE), Remembered(CACHE)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.parting = max(added.items(), key=lambda x: x[0], default=(None, None))
+        self.special = {t.content for t in added.values()}
+        self.model, self.pattern = self._part_model(path)
+        #: Words that are not taken apart.
+        self.odd = "|".join([r"[^\x{00}-\x{ff}]|[\x{1c}-\x{1f}\x{85}\x{a0}A-Z\x{c0}-\x{d6}\x{d8}-\x{de}]", *(re.escape(x) for x in self.special)])
+
+    def _part_model(self, path: str) -> tuple:
+        """A tokenizer of ready parts joined by spaces, and the pattern that makes the parts; None for other tokenizers."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = [n.get("type") for n in (config.get("normalizer") or {}).get("normalizers") or []] == _NORMALIZERS
+        known = known and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and all(steps[0].get(k) == v for k, v in _SPLIT.items())
+        if not known or config["model"].get("end_of_word_suffix") != _SUFFIX or steps[1].get("use_regex") or steps[1].get("add_prefix_space"):
+            return None, None
+        model = Tokenizer.from_file(path)
+        model.normalizer = None
+        model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = model.get_vocab(with_added_tokens=False)
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith(_SUFFIX)]] = True
+        return model, f"({steps[0]['pattern']['Regex']})"
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case where that changes no token."""
+        if self.model is None:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(s in low for s in self.special) else low
+
+    def learn_parts(self, parts: list[str]) -> None:
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer has a word without an end mark")
+            raw = ids.tobytes()
+            self.parts.young.update((p, raw[a:b]) for p, a, b in zip(some, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))
+
+    def learn_words(self, words: list[str]) -> None:
         part_id, part = self.parting[0], str(self.parting[1].content) if self.parting[1] else ""
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        alone = [w for w in words if not part or any(x in w for x in special)]
+        alone = [w for w in words if not part or any(x in w for x in self.special)]
         apart = set(alone)
         plain = [w for w in words if w not in apart] if alone else words
         for k in range(0, len(plain), 20_000):
@@ -71,20 +164,39 @@ class WordEncoder:
             ends = np.flatnonzero(ids == part_id)
             raw, a = ids.tobytes(), 0
             for w, b in zip(some, (4 * ends).tolist(), strict=True):
-                self.known[w] = raw[a:b]
+                self.words.young[w] = raw[a:b]
                 a = b + 4
         for w in alone:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.words.young[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and where each word's begin."""
+        odd = pc.match_substring_regex(words, self.odd).to_numpy(zero_copy_only=False).astype(bool) if self.model is not None else np.ones(len(words), dtype=bool)
+        whole, simple = words.filter(pa.array(odd)).to_numpy(zero_copy_only=False).tolist(), words.filter(pa.array(~odd))
+        self.learn_words(self.words.missing(set(whole)))
+        flat, end = _joined([self.words.young[w] for w in whole], np.arange(len(whole)))
+        if not len(simple):
+            return flat, end
+        parts, at, first = _distinct(pc.replace_substring_regex(simple, self.pattern, r"\1 "))
+        parts = parts.to_numpy(zero_copy_only=False).tolist()
+        self.parts.young[""] = b""
+        self.learn_parts(self.parts.missing(set(parts) - {""}))
+        self.parts.young[""] = b""
+        simple_flat, simple_end = _joined(list(map(self.parts.young.__getitem__, parts)), at)
+        # simple words first, then the whole ones, and both back in the order of ``words``
+        ends = np.r_[simple_end[first], simple_end[-1] + end[1:]]
+        order = np.empty(len(words), dtype=np.int64)
+        order[np.r_[np.flatnonzero(~odd), np.flatnonzero(odd)]] = np.arange(len(words))
+        return _gather(np.r_[simple_flat, flat], ends, order)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [_ASCII_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*words)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        new.difference_update(self.known)
-        self.learn(list(new))
-        for w in words:
-            yield b"".join(map(self.known.__getitem__, w))
+        if not texts:
+            return
+        words, at, first = _distinct(pa.array(list(map(self.lowered, texts)), pa.large_string()))
+        ids, end = _gather(*self.word_ids(words), at)
+        cut = end[first].tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield ids[a:b].tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +204,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end, step = WordEncoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
+        encoder = per_process(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
+        end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for pdf in batches:
             out, ids, texts = [], pdf.doc_id.to_list(), [t or "" for t in pdf.text]
             at = 0
@@ -208,20 +321,30 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return fixed + best_fit(left, capacity)
 
 
-def places(patterns: list[Pattern]) -> list[tuple[int, list[tuple[int, int, int, int, int]]]]:
-    """For each length, stretches of ranks: (lo, hi, first sequence, pieces a sequence, offset of the first)."""
-    out: dict[int, list] = {}
+def places(patterns: list[Pattern]) -> np.ndarray:
+    """Stretches of ranks, in order: columns length, lo, first sequence, pieces a sequence, offset of the first."""
+    out: list[tuple[int, int, int, int, int]] = []
     taken: dict[int, int] = {}
     sequence = 0
     for many, content in patterns:
         offset = 0
         for s, each in content:
-            lo = taken.get(s, 0)
-            taken[s] = lo + many * each
-            out.setdefault(s, []).append((lo, lo + many * each, sequence, each, offset))
+            out.append((s, taken.get(s, 0), sequence, each, offset))
+            taken[s] = taken.get(s, 0) + many * each
             offset += s * each
         sequence += many
-    return list(out.items())
+    at = np.array(out, dtype=np.int64).reshape(-1, 5)
+    return at[np.lexsort((at[:, 1], at[:, 0]))]
+
+
+def most_places(capacity: int) -> int:
+    """A bound on the rows of ``places``, whatever the corpus is.
+
+    The reduction fixes at most two patterns for a length each time one is
+    used up; best fit opens at most two patterns for a length and parts at most
+    two others.  A sequence holds fewer than sqrt(2 * capacity) + 1 different lengths.
+    """
+    return 8 * capacity * (math.isqrt(2 * capacity) + 1)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -229,17 +352,22 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = materialize(rows)
     spark = rows.sparkSession
     histogram = {r.length: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    at = spark.createDataFrame(places(plan(histogram, capacity)), "length long, at array<struct<lo: long, hi: long, sequence: long, each: long, offset: long>>")
-    chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = places(plan(histogram, capacity))
+    if len(at) > most_places(capacity):
+        raise ValueError("the plan is larger than its bound")
+    key = at[:, 0] << 40 | at[:, 1]
+    chunks = partitions(spark, sum(histogram.values()), ROWS_PER_CHUNK)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     sizes = rows.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     ahead = materialize(sizes.select("length", "chunk", (F.sum("n").over(W.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("ahead")))
     ranked = rows.withColumn("rank", (F.row_number().over(W.partitionBy("length", "chunk").orderBy("doc_id", "piece")) - 1).cast("long"))
-    ranked = ranked.join(ahead, ["length", "chunk"]).withColumn("rank", F.col("rank") + F.col("ahead"))
-    ranked = ranked.join(F.broadcast(at), "length").withColumn("p", F.filter("at", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0])
-    k = F.col("rank") - F.col("p.lo")
-    return ranked.select(
-        id_out("doc_id"), "piece", "start", "length", "ids_crc32",
-        (F.col("p.sequence") + F.floor(k / F.col("p.each"))).cast("long").alias("sequence_id"),
-        (F.col("p.offset") + (k % F.col("p.each")) * F.col("length")).cast("long").alias("offset"),
-    )
+    ranked = ranked.join(ahead, ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("ahead")).alias("rank"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            p = at[np.searchsorted(key, pdf.length.to_numpy() << 40 | pdf["rank"].to_numpy(), side="right") - 1]
+            k = pdf["rank"].to_numpy() - p[:, 1]
+            yield pdf.drop(columns="rank").assign(sequence_id=p[:, 2] + k // p[:, 3], offset=p[:, 4] + k % p[:, 3] * pdf.length.to_numpy())
+
+    placed = ranked.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return placed.select(id_out("doc_id"), *placed.columns[1:])
