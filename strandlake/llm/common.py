@@ -53,9 +53,12 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._strandlake_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(df.sparkSession, df._strandlake_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def words_of(text: Column) -> Column:

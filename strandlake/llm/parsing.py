@@ -1,20 +1,34 @@
 """Suffix-array dedup by prefix-free parsing (operator 10).
 
-A rolling hash marks triggers in every text, and the phrases between them are
-the dictionary; a text is then its parse, a row of phrases.  Here a phrase
-carries as much of its surroundings as the windows that belong to its trigger
-need (see ``repeats``), so that equal 100-byte strings always lie at the same
-place in phrases with one trigger.  Equal phrases are one dictionary entry;
-the parse keeps them in corpus order, so all but the first occurrence repeat
-as a whole.  Where different phrases share a trigger, the suffix array of
-these dictionary entries brings equal strings together, and the order of the
-parse says which of them came first.
+A rolling hash over GRAM bytes marks triggers: places where it falls into one
+of MODULUS residue classes.  A text is cut at its triggers into phrases; each
+phrase ends with the bytes of its trigger and the next one begins with them,
+so no proper ending of a phrase that is longer than a trigger begins another.
+The distinct phrases are the dictionary, and the phrases that follow one
+another are the parse.
+
+A suffix of a text is an ending of the phrase in which it starts, and then
+what follows in the parse.  So the order of all suffixes is the order of
+dictionary suffixes, ties broken by the order of what follows:
+``combined_order`` sorts the dictionary's phrases from their ends (neighbours'
+common endings give equal dictionary suffixes), sorts what follows each trigger
+(neighbours' common prefixes give equal parse suffixes), and joins both.  Two
+strings of WINDOW bytes are equal if the dictionary suffixes are, and if what
+follows agrees as far as the rest of the window.  Of equal strings the first
+in the corpus stays.
+
+The suffixes are distributed by their trigger (see ``repeats``): only triggers
+that occur again can begin equal strings.  Windows without a trigger lie inside
+one long phrase; they are dealt with alike, with the smallest hash inside the
+window in place of the trigger.  A trigger that occurs more than HOT times is
+compared by 128-bit digests of its single windows.
 
 Defined results: matches never cross texts; a null text counts as empty, and
-texts shorter than the window lose nothing; a string that overlaps its own
-earlier occurrence is removed; rows with one id are taken in the order of
-their texts, so the later of two equal rows is removed; an empty table gives
-no rows.
+texts shorter than the window lose nothing; a text of any length is read whole;
+a string that overlaps its own earlier occurrence is removed; rows with one id
+are taken in the order of their texts, so the later of two equal rows is
+removed; a null id comes first; an empty table gives no rows; other columns
+are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,73 +36,112 @@ from __future__ import annotations
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .repeats import Kind, removed
+from .repeats import Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min
 
-WINDOW, TRIGGER = 100, 50
+WINDOW, GRAM, MODULUS = 100, 32, 24
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bytes hashed at once, so that the steps of the rolling hash stay in a processor's cache.
+BLOCK = 1 << 16
 
+_TABLE = mix(np.arange(7, 263, dtype=np.uint64)).astype(np.uint32)
 
-def suffix_ranks(sym: np.ndarray, length: int) -> np.ndarray:
-    """For each position, the rank of the ``length`` symbols from there among all such strings, by prefix doubling; equal strings share a rank.
 
-    Positions nearer to the end than ``length`` have ranks of no meaning.
-    """
-    rank, have = np.unique(sym, return_inverse=True)[1].astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        shifted = np.zeros_like(rank)
-        shifted[:-step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + shifted, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
-
-
-def first_in_order(rank: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array with ties in corpus order, and for each entry the entry that begins its run of equal strings."""
-    array = np.lexsort((pos, row, doc, rank))
-    new = np.r_[True, rank[array[1:]] != rank[array[:-1]]]
-    return array, np.maximum.accumulate(np.where(new, np.arange(len(array)), 0))
+def rolling(data: np.ndarray, gram: int) -> np.ndarray:
+    """The 32-bit rolling hash of each run of ``gram`` bytes."""
+    out = np.empty(max(0, len(data) - gram + 1), dtype=np.uint32)
+    for k in range(0, len(out), BLOCK):
+        out[k : k + BLOCK] = runs_hash(_TABLE[data[k : k + BLOCK + gram - 1]], gram)
+    return out
 
 
-def _words8(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position as one number."""
-    padded = np.r_[data, np.zeros(7, dtype=np.uint8)].astype(np.uint64)
-    out = np.zeros(len(data), dtype=np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(data)]
+def _key(data: np.ndarray, at: np.ndarray, gram: int, salt: int) -> np.ndarray:
+    """64 bits of the gram at each place."""
+    w = np.lib.stride_tricks.sliding_window_view(data, gram)[at]
+    w = np.ascontiguousarray(np.pad(w, ((0, 0), (0, -gram % 8)))).view(np.uint64)
+    return mix(mix(w + np.arange(1 + salt, w.shape[1] + 1 + salt, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1))
+
+
+def phrases(t: Texts, window: int = WINDOW, gram: int = GRAM, modulus: int = MODULUS) -> Anchors:
+    """The triggers that end phrases, and for windows inside a long phrase their own anchors."""
+    h, reach = rolling(t.data, gram), window - gram
+    at = np.flatnonzero(h < np.uint32((1 << 32) // modulus))
+    row = np.searchsorted(t.byte, at, side="right") - 1
+    inside = at + gram <= t.byte[row + 1]
+    at, row = at[inside], row[inside]
+    before = np.r_[-1, at[:-1]]
+    lo = np.maximum(np.maximum(before + 1, at - reach), t.byte[row])
+    hi = np.minimum(at, t.byte[row + 1] - window)
+    own = lo <= hi
+    ends = _key(t.data, at[own], gram, 0) if own.any() else np.zeros(0, np.uint64)
+    # windows without a trigger: from the last trigger, or the beginning of the text, to short of the next one
+    texts = np.flatnonzero(np.diff(t.byte) >= window)
+    g_row = np.r_[row, texts]
+    g_lo = np.r_[at + 1, t.byte[texts]]
+    nxt = np.searchsorted(at, g_lo)
+    g_hi = np.minimum(np.r_[at, len(t.data) + window][nxt] - reach - 1, t.byte[g_row + 1] - window)
+    some = np.flatnonzero(g_lo <= g_hi)
+    order = some[np.argsort(g_lo[some])]
+    g_row, g_lo, n = g_row[order], g_lo[order], (g_hi - g_lo + 1)[order]
+    if not len(n):
+        return Anchors(at[own], row[own], lo[own], hi[own], ends, ends)
+    place = ranges(g_lo, n + reach)
+    low = sliding_min(h[place].astype(np.uint64) << np.uint64(32) | np.arange(len(place), dtype=np.uint64), reach + 1)
+    first = np.cumsum(n + reach) - (n + reach)
+    owner = place[(low[ranges(first, n)] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    start, of = ranges(g_lo, n), np.repeat(np.arange(len(n)), n)
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (of[1:] != of[:-1])])
+    mins = _key(t.data, owner[new], gram, 1)
+    parts = (owner[new], g_row[of[new]], start[new], start[np.r_[new[1:] - 1, len(start) - 1]], mins, mins)
+    order = np.argsort(np.r_[at[own], owner[new]], kind="stable")
+    return Anchors(*(np.r_[a, b][order] for a, b in zip((at[own], row[own], lo[own], hi[own], ends, ends), parts, strict=True)))
+
+
+def sorted_with_common(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of symbols, and how many first ones each row in this order shares with the one before."""
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(f"S{rows.shape[1] * rows.itemsize}").ravel(), kind="stable")
+    s = rows[order]
+    differ = np.pad(s[1:] != s[:-1], ((0, 0), (0, 1)), constant_values=True)
+    return order, np.r_[-1, np.minimum(differ.argmax(axis=1), np.minimum(size[order][1:], size[order][:-1]))]
+
+
+def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """For each row the number of its class of rows with equal first ``depth`` symbols."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(common < depth)
     return out
 
 
-def resolve(hulls: list[bytes], doc: np.ndarray, row: np.ndarray, lo: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of these phrases, all different, occur in an earlier one; and where each phrase's windows start."""
-    size = np.array([len(h) for h in hulls])
-    n = size - window + 1
-    starts = np.r_[0, np.cumsum(n)]
-    base = np.r_[0, np.cumsum(size)[:-1]]
-    which = np.repeat(np.arange(len(hulls)), n)
-    offset = np.arange(int(starts[-1])) - starts[which]
-    rank = suffix_ranks(_words8(np.frombuffer(b"".join(hulls), dtype=np.uint8)), window - 7)[base[which] + offset]
-    array, head = first_in_order(rank, doc[which], row[which], lo[which] + offset)
-    dup = np.zeros(len(rank), dtype=bool)
-    dup[array] = head != np.arange(len(array))
-    return dup, starts
+def combined_order(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For triggers in corpus order and each number of bytes before them: whether that window occurs earlier."""
+    reach = around.shape[1] - window
+    dictionary = sorted_with_common(around[:, :reach][:, ::-1], left)
+    parse = sorted_with_common(around[:, reach:], right)
+    gone = np.zeros((len(left), reach + 1), dtype=bool)
+    for x in range(reach + 1):
+        has = np.flatnonzero((left >= x) & (right >= window - x))
+        if len(has) > 1:
+            suffix = classes(*dictionary, x)[has] * (len(left) + 1) + classes(*parse, window - x)[has]
+            gone[has, x] = pd.Series(suffix).duplicated().to_numpy()
+    return gone
 
 
-def _finish(data: bytes, gone: np.ndarray) -> tuple[int, int, int, str]:
+def _finish(data: bytes, sym: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str]:
     n = int(gone.sum())
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0
-    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes() if n else data
-    return len(data), n, spans, sha256(kept).hexdigest()
+    return len(data), n, spans, sha256(sym[~gone].tobytes() if n else data).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
-    def settle(hulls: list[bytes], doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return resolve(hulls, doc, row, lo, window)
-
-    out = removed(docs, Kind(window, trigger, words=False), settle, SCHEMA, _finish, id_col, text_col, hot)
+    method = Method(
+        words=False, length=window, reach=window - gram, anchors=lambda t: phrases(t, window, gram, modulus), resolve=lambda *a: combined_order(*a, window),
+        within=True, finish=_finish, schema=SCHEMA,
+    )
+    out = removed(docs, method, id_col, text_col, hot)
     return out.select(id_out("doc_id"), *(F.col(c) for c in out.columns[1:]))

@@ -95,7 +95,7 @@ b AS (SELECT *, ({bits})::BIGINT AS failure_bits FROM m)
 SELECT *, (failure_bits & {quality_rules.BASE.mask}) <> 0 AS base_failed, (failure_bits & {mask}) = 0 AS kept, '{quality_rules.DEFAULT_POLICY}' AS policy FROM b"""
 
 
-#: Sharding and SimHash need hashes that DuckDB lacks, toxicity and packing a trained model and a tokenizer, and windows of bytes are slow in SQL.
+#: Sharding and SimHash need hashes that DuckDB lacks, toxicity and packing a trained model and a tokenizer.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
 UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
@@ -112,4 +112,15 @@ l AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM s GROUP BY 1), v AS (SELE
 k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.p) AS kept FROM v LEFT JOIN s ON v.doc_id = s.doc_id AND v.p = s.p WHERE s.p IS NULL GROUP BY 1)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN k ON t.doc_id = k.doc_id""",
     "op9_quality_rules": _quality_sql(),
+    "op10_parsing": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS x FROM documents),
+c AS (SELECT doc_id, j * 128 AS o, substr(x, (j * 256 + 1)::BIGINT, 454) AS c FROM t, unnest(range(0, (length(x) // 2 + 127) // 128)) u(j)),
+w AS (SELECT doc_id, o + i AS s, hash(substr(c, (2 * i + 1)::BIGINT, 200)) AS h FROM c, unnest(range(0, least(128, length(c) // 2 - 99))) u(i)),
+r AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+n AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS n FROM r),
+g AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM n) GROUP BY doc_id, k),
+l AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS z FROM g UNION ALL SELECT doc_id, max(b), NULL FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(x, (2 * f + 1)::BIGINT, (2 * (coalesce(z, length(x)) - f))::BIGINT), '' ORDER BY f) AS kept FROM e JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(l.n_removed, 0)::BIGINT AS n_removed, coalesce(l.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.kept, x))) AS kept_sha256
+ FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN k ON t.doc_id = k.doc_id""",
 }

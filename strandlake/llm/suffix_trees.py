@@ -1,17 +1,29 @@
 """Substring dedup by prefix-partitioned suffix trees (operator 7).
 
-Suffixes of the word sequences are split into groups that fit a task: a
-suffix joins the group of the word group that its sampled trigger marks (see
-``repeats``), and where such a group is very frequent, of its whole next
-window instead, so the partitioning prefix grows with the size of the group.
-Within a group the suffixes are sorted and neighbours compared, which is the
-suffix tree of the group; its internal nodes at least a window deep are the
-repeats, and each names the smallest document below it.
+The suffixes of the word sequences are split into groups that fit a task by
+prefixes of variable length: all repeated prefixes are counted, SHORT words
+long where few suffixes share them, PREFIX words where these are too many, and
+where even those are, the whole window (compared by 128-bit digests).  Of the
+suffixes only a sample is kept: in each run of words the one whose next PREFIX
+words have the smallest hash, so that every window of WINDOW words holds a
+sampled suffix, at the same place wherever the window occurs (see ``repeats``);
+windows that begin before it are told apart by the words before.
+
+In a group the suffixes are sorted, and the number of words that neighbours
+share gives the tree: an internal node of depth d is a stretch of leaves whose
+neighbours share d words or more.  ``deep_nodes`` goes through the depths at
+which a window can end; below each node it parts the leaves by the words
+before them, and what is still together is a repeat that names its smallest
+document.
+
+Words are compared by 48 bits of hash each: two windows count as equal if all
+their words do.
 
 Defined results: words are the runs between white-space characters; a null
-text has none; texts shorter than a window lose nothing; a window that is
-repeated only within one document, or in rows with the same id, stays; an
-empty table gives no rows.
+text has none; texts shorter than a window lose nothing; a text of any length
+is read whole; a window that is repeated only within one document, or in rows
+with the same id, stays; a null id comes first; an empty table gives no rows;
+other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,42 +35,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .parsing import suffix_ranks
-from .repeats import Kind, removed
+from .parsing import classes, sorted_with_common
+from .repeats import Anchors, Method, Texts, first_of, mix, removed, runs_hash, sliding_min
 
-WINDOW, TRIGGER = 50, 26
+WINDOW, PREFIX, SHORT = 50, 14, 7
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def deep_nodes(hulls: list[bytes], doc: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows lie below a node at least ``window`` words deep whose smallest document is another one; and where each stretch's windows start."""
-    words = [h.split(b" ") for h in hulls]
-    size = np.array([len(w) for w in words])
-    n = size - window + 1
-    starts = np.r_[0, np.cumsum(n)]
-    base = np.r_[0, np.cumsum(size)[:-1]]
-    which = np.repeat(np.arange(len(hulls)), n)
-    offset = np.arange(int(starts[-1])) - starts[which]
-    ids: dict[bytes, int] = {}
-    symbols = np.fromiter((ids.setdefault(w, len(ids)) for ws in words for w in ws), dtype=np.int64, count=int(size.sum()))
-    rank = suffix_ranks(symbols, window)[base[which] + offset]
-    order = np.lexsort((doc[which], rank))
-    node = np.r_[True, rank[order[1:]] != rank[order[:-1]]]
-    smallest = doc[which][order][np.maximum.accumulate(np.where(node, np.arange(len(order)), 0))]
-    dup = np.zeros(len(rank), dtype=bool)
-    dup[order] = doc[which][order] != smallest
-    return dup, starts
-
-
-def _finish(words: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
+def _key(sym: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64 bits of the ``n`` words from each place."""
+    w = np.lib.stride_tricks.sliding_window_view(sym, n)[at]
+    return mix(mix(w + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1))
+
+
+def sampled_suffixes(t: Texts, window: int = WINDOW, prefix: int = PREFIX, short: int = SHORT) -> Anchors:
+    """The suffixes that stand for the windows around them."""
+    reach, size = window - prefix, np.diff(t.first)
+    if not (size >= window).any():
+        return Anchors(*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(2)))
+    h = runs_hash(mix(t.sym).astype(np.uint32), prefix).astype(np.uint64)
+    low = sliding_min(h << np.uint64(32) | np.arange(len(h), dtype=np.uint64), reach + 1)
+    row = np.repeat(np.arange(len(size)), size)[: len(low)]
+    start = np.flatnonzero(np.arange(len(low)) + window <= t.first[row + 1])
+    owner, row = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64), row[start]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])])
+    at = owner[new]
+    return Anchors(at, row[new], start[new], start[np.r_[new[1:] - 1, len(start) - 1]], _key(t.sym, at, short), _key(t.sym, at, prefix))
+
+
+def deep_nodes(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For suffixes in the order of documents and each number of words before them: whether that window is also in a smaller document."""
+    reach = around.shape[1] - window
+    tree = sorted_with_common(around[:, reach:], right)
+    ahead = sorted_with_common(around[:, :reach][:, ::-1], left)
+    gone = np.zeros((len(left), reach + 1), dtype=bool)
+    for x in range(reach + 1):
+        has = np.flatnonzero((left >= x) & (right >= window - x))
+        if len(has) > 1:
+            node = classes(*tree, window - x)[has] * (len(left) + 1) + classes(*ahead, x)[has]
+            gone[has, x] = doc[has] != doc[has][first_of(node)]
+    return gone
+
+
+def _finish(data: bytes, sym: np.ndarray, gone: np.ndarray) -> tuple[int, int, str]:
+    words = data.split()
     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
     return len(words), int(gone.sum()), sha256(b" ".join(kept)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, trigger: int = TRIGGER, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row."""
-    def settle(hulls: list[bytes], doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return deep_nodes(hulls, doc, window)
-
-    out = removed(docs, Kind(window, trigger, words=True), settle, SCHEMA, _finish, id_col, text_col, hot)
+    method = Method(
+        words=True, length=window, reach=window - prefix, anchors=lambda t: sampled_suffixes(t, window, prefix, short), resolve=lambda *a: deep_nodes(*a, window),
+        within=False, finish=_finish, schema=SCHEMA,
+    )
+    out = removed(docs, method, id_col, text_col, hot)
     return out.select(id_out("doc_id"), *(F.col(c) for c in out.columns[1:]))

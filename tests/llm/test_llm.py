@@ -196,10 +196,9 @@ def test_word_encoder_matches_tokenizer():
     assert [list(np.frombuffer(x, dtype="<u4")) for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_suffix_trees(awkward, plain, none, hot):
+def repeats_by_words(texts):
     first = {}
-    words = [(i, t.encode().split()) for i, t in sorted(plain)]
+    words = [(i, t.encode().split()) for i, t in sorted(texts)]
     for i, w in words:
         for k in range(len(w) - 49):
             first[tuple(w[k : k + 50])] = min(i, first.get(tuple(w[k : k + 50]), i))
@@ -210,14 +209,12 @@ def test_suffix_trees(awkward, plain, none, hot):
             if first[tuple(w[k : k + 50])] < i:
                 gone[k : k + 50] = True
         want.append((i, len(w), int(gone.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
-    assert got(suffix_trees.remove_repeats(awkward, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want)
-    assert suffix_trees.remove_repeats(none).count() == 0
+    return sorted(want)
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_parsing(awkward, plain, none, hot):
+def repeats_by_bytes(texts):
     seen, want = set(), []
-    for i, t in sorted(plain):
+    for i, t in sorted(texts):
         b = t.encode()
         gone = np.zeros(len(b), dtype=bool)
         for k in range(len(b) - 99):
@@ -226,10 +223,54 @@ def test_parsing(awkward, plain, none, hot):
             seen.add(b[k : k + 100])
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    assert got(parsing.remove_repeats(awkward, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
+    return sorted(want)
+
+
+WORD_COLUMNS, BYTE_COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256"), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_suffix_trees(awkward, plain, none, hot):
+    assert got(suffix_trees.remove_repeats(awkward, hot=hot), *WORD_COLUMNS) == repeats_by_words(plain)
+    assert suffix_trees.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_parsing(awkward, plain, none, hot):
+    assert got(parsing.remove_repeats(awkward, hot=hot), *BYTE_COLUMNS) == repeats_by_bytes(plain)
     assert parsing.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 6])
+def test_repeats_in_very_repetitive_texts(spark, hot):
+    """A passage in very many texts at every offset, periodic texts, few different letters or words, and texts that one passage begins and ends."""
+    rng = random.Random(9)
+    passage = prose(rng, 90)
+    few = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    texts = [prose(rng, rng.randrange(60)) + " " * rng.randrange(3) + passage[rng.randrange(200) :] + prose(rng, rng.randrange(60)) for _ in range(60)]
+    texts += [few(rng.randrange(40, 400)) for _ in range(30)] + ["ab" * 300, "ba" * 200, "a" * 1000, "\0" * 400, "é" * 130, passage, passage * 3]
+    texts += [t[rng.randrange(len(t)) :] + rng.choice(texts) for t in texts[:60]]
+    docs = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(parsing.remove_repeats(d, hot=hot), *BYTE_COLUMNS) == repeats_by_bytes(docs)
+    assert got(suffix_trees.remove_repeats(d, hot=hot), *WORD_COLUMNS) == repeats_by_words(docs)
+
+
+def test_every_window_has_one_trigger():
+    from strandlake.llm import repeats
+
+    rng = random.Random(2)
+    import pyarrow as pa
+
+    for modulus in (2, 24, 100_000):
+        data = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(700))) for _ in range(9)]
+        t = repeats.Texts.of(pa.table({"doc_id": list(range(9)), "text": data}), words=False)
+        for a, length, reach in ((parsing.phrases(t, modulus=modulus), 100, 68),):
+            owned = [i for lo, hi in zip(a.lo, a.hi) for i in range(lo, hi + 1)]
+            assert sorted(owned) == [int(t.byte[k]) + i for k, x in enumerate(data) for i in range(len(x) - length + 1)]
+            assert (a.at - a.lo <= reach).all() and (a.hi <= a.at).all()
+
+
 def fingerprint(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
     shingles = [b" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)] if w else []
