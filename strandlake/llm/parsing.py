@@ -41,12 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .repeats import Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min
+from .repeats import BLOCK, Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min
 
 WINDOW, GRAM, MODULUS = 100, 32, 24
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: Bytes hashed at once, so that the steps of the rolling hash stay in a processor's cache.
-BLOCK = 1 << 16
 
 _TABLE = mix(np.arange(7, 263, dtype=np.uint64)).astype(np.uint32)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, discard, id_in, materialize, shared_dir
+from .common import delete_path, discard, id_in, materialize, per_process, shared_dir
 
 #: Text of a chunk; of a group of anchors; anchor keys counted in one group; text of a table bucket.
 CHUNK_BYTES, GROUP_BYTES, COUNT_BYTES, TABLE_BYTES = 4 << 20, 8 << 20, 128 << 20, 128 << 20
@@ -41,6 +41,8 @@ CHUNK_BYTES, GROUP_BYTES, COUNT_BYTES, TABLE_BYTES = 4 << 20, 8 << 20, 128 << 20
 HOT = 20_000
 #: Anchors whose surroundings are in memory at once.
 AT_ONCE = 1 << 17
+#: Bytes hashed at once, so that the steps stay in a processor's cache.
+BLOCK = 1 << 16
 
 KEYS = "bucket int, chunk int, gs binary, ps binary, ns binary"
 NOTES = "chunk int, gs binary, level binary, rep int, bits binary"
@@ -60,16 +62,27 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _P)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def spans_hash(sym: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of sym[start:end] for each pair, by differences of one running sum."""
-    total = np.zeros(len(sym) + 1, dtype=np.uint64)
-    np.cumsum(sym * powers(_P, len(sym)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_P_INVERSE, len(sym) + 1)[start])
+    """1, base, base squared and so on; kept for the worker's next call."""
+    kept = per_process(f"powers of {base}", dict)
+    if len(kept.get("p", ())) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[0] = 1
+        kept["p"] = np.multiply.accumulate(out)
+    return kept["p"][:n]
+
+
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each of the spans, which are in order, by differences of a running sum over some of them at a time."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK)))
+        a, z = start[i], end[j - 1]
+        total = np.zeros(z - a + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[a:z]] * powers(_P, z - a), out=total[1:])
+        out[i:j] = mix((total[end[i:j] - a] - total[start[i:j] - a]) * powers(_P_INVERSE, z - a + 1)[start[i:j] - a])
+        i = j
+    return out
 
 
 def runs_hash(sym: np.ndarray, n: int) -> np.ndarray:
@@ -143,7 +156,7 @@ class Texts:
         cut[byte] = True
         begin = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | cut[1:-1]][: len(data)])
         end = np.flatnonzero(inside & np.r_[~inside[1:] | cut[1:-1], True][: len(data)]) + 1
-        return spans_hash(_BYTE[data], begin, end) >> np.uint64(16), np.searchsorted(begin, byte)
+        return spans_hash(data, begin, end) >> np.uint64(16), np.searchsorted(begin, byte)
 
 
 @dataclass(frozen=True)
@@ -178,13 +191,21 @@ class Method:
     schema: str
 
 
+def covered(left: np.ndarray, right: np.ndarray, m: Method) -> np.ndarray:
+    """Which columns of the surroundings the windows of each anchor cover."""
+    col = np.arange(m.reach + m.length, dtype=np.int16)
+    left, right = (m.reach - left).astype(np.int16), (m.reach + right).astype(np.int16)
+    return (col >= left[:, None]) & (col < right[:, None])
+
+
 def around(sym: np.ndarray, a: Anchors, m: Method) -> np.ndarray:
     """The surroundings of anchors, one row each; zero outside of what their windows cover."""
-    col = np.arange(m.reach + m.length)
-    at = a.at[:, None] - m.reach + col
-    out = sym[np.clip(at, 0, len(sym) - 1)]
-    out[(at < a.lo[:, None]) | (at >= (a.hi + m.length)[:, None])] = 0
-    return out
+    if not len(a.at):
+        return np.zeros((0, m.reach + m.length), dtype=sym.dtype)
+    first = int(a.at[0])
+    padded = np.pad(sym[max(0, first - m.reach) : int(a.at[-1]) + m.length], (max(0, m.reach - first), m.length))
+    out = np.lib.stride_tricks.sliding_window_view(padded, m.reach + m.length)[a.at - first]
+    return out * covered(a.at - a.lo, a.hi + m.length - a.at, m)
 
 
 def row_hash(rows: np.ndarray, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +217,14 @@ def row_hash(rows: np.ndarray, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
     return w.sum(axis=1) ^ extent, (w * (powers(_P, w.shape[1]) | np.uint64(1))).sum(axis=1) + extent
 
 
-def first_of(*keys: np.ndarray) -> np.ndarray:
-    """For each place the first one with equal keys."""
-    code = pd.factorize(pd.MultiIndex.from_arrays(keys) if len(keys) > 1 else keys[0])[0]
+def first_of(key: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For each place the first one with an equal key (a pair of keys, if there are two)."""
+    code = pd.factorize(key)[0]
     top = np.maximum.accumulate(code) if len(code) else code
-    return np.flatnonzero(np.r_[True, top[1:] > top[:-1]][: len(code)])[code]
+    first = np.flatnonzero(np.r_[True, top[1:] > top[:-1]][: len(code)])[code]
+    if other is not None and (other[first] != other).any():
+        return first_of(pd.factorize(pd.MultiIndex.from_arrays([key, other]))[0])
+    return first
 
 
 def window_digests(rows: np.ndarray, a: Anchors, m: Method) -> tuple[np.ndarray, ...]:
@@ -269,10 +293,9 @@ def _packed(rows: np.ndarray, mask: np.ndarray) -> pa.Array:
 def _unpacked(hull: pa.Array, left: np.ndarray, right: np.ndarray, m: Method) -> np.ndarray:
     ends = np.frombuffer(hull.buffers()[1], dtype=np.int32)[hull.offset : hull.offset + len(hull) + 1]
     raw = np.frombuffer(hull.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
-    col = np.arange(m.reach + m.length)
-    rows = np.zeros((len(left), len(col)), dtype=np.uint64 if m.words else np.uint8)
+    rows = np.zeros((len(left), m.reach + m.length), dtype=np.uint64 if m.words else np.uint8)
     flat = np.pad(raw.reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel() if m.words else raw
-    rows[(col >= m.reach - left[:, None]) & (col < m.reach + right[:, None])] = flat
+    rows[covered(left, right, m)] = flat
     return rows
 
 
@@ -368,9 +391,8 @@ def _passes(texts: DataFrame, size: int, m: Method, hot: int, made: list[DataFra
             for k in range(0, len(own), AT_ONCE):
                 rep = own[k : k + AT_ONCE]
                 b = f.a.where(rep)
-                left, right, col = b.at - b.lo, b.hi + m.length - b.at, np.arange(m.reach + m.length)
-                mask = (col >= m.reach - left[:, None]) & (col < m.reach + right[:, None])
-                rows(rep, b.at, np.where(f.level[rep] == 0, b.p, b.g), b.g, left, right, False, _packed(around(t.sym, b, m), mask))
+                left, right = b.at - b.lo, b.hi + m.length - b.at
+                rows(rep, b.at, np.where(f.level[rep] == 0, b.p, b.g), b.g, left, right, False, _packed(around(t.sym, b, m), covered(left, right, m)))
             h1, h2, rep, x = (c[f.first_single == np.arange(len(f.first_single))] for c in f.single)
             if len(rep):
                 rows(rep, f.a.at[rep] - x, h1, h1, x, x, True, _binary(h2.view(np.uint8).reshape(-1, 8)))
