@@ -4,21 +4,27 @@ Records are ordered by (hash of the text, id), so equal texts lie together.  A
 size-weighted sample of the keys gives quantile boundaries; the records are
 dealt into these ranges, and a range that turns out overfull (a hot text, an
 unlucky sample) is cut again at quantiles of its own sample, down to the id if
-it must be.  Every range then fits one task, which sums sizes within it; the
-few range totals complete these to places in the whole order.  A shard is an
+it must be, until all but the largest record of every range is within
+OVERFULL times the fair share, or the range has one key only.  Every range then
+fits one task, which sums sizes within it; the few range totals complete these
+to places in the whole order.  A shard is an
 equal stretch of that order in bytes.  A group of equal texts stays in the
 shard of its middle byte while it is small against a shard; a larger one is
 split.
 
 Defined results: a null text has size 1 and the checksum of an empty one; an
-empty text has size 1; ties and repeated rows are all placed, in id order; an
-empty table gives no rows; a text may be longer than a shard.
+empty text has size 1; ties and repeated rows are all placed, in id order; a
+null id comes first; an empty table gives no rows, and fewer rows than shards
+leave some shards empty; a text may be longer than a shard; other columns are
+ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,17 +52,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def range_of(cuts: list[Key]) -> Column:
-    """The number of cuts at or below the key (h, doc_id); a search tree over the sorted cuts."""
+    """The number of cuts at or below the key (h, doc_id), by bisection."""
+    at = np.array([h for h, _ in cuts], dtype=np.int64)
+    ids = np.array([i for _, i in cuts], dtype=np.int64)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        h, i = cuts[mid]
-        below = (F.col("h") < F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("doc_id") < F.lit(i)))
-        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    @F.pandas_udf("int")
+    def find(h: pd.Series, doc_id: pd.Series) -> pd.Series:
+        h, doc_id = h.to_numpy(), doc_id.to_numpy()
+        out, end = np.searchsorted(at, h, side="left"), np.searchsorted(at, h, side="right")
+        tied = np.flatnonzero(end > out)  # a cut inside a group of equal texts
+        first = out[tied]
+        for lo, hi in set(zip(first.tolist(), end[tied].tolist(), strict=True)):
+            own = tied[first == lo]
+            out[own] = lo + np.searchsorted(ids[lo:hi], doc_id[own], side="right")
+        return pd.Series(out.astype(np.int32))
 
-    return tree(0, len(cuts))
+    return find("h", "doc_id") if cuts else F.lit(0)
 
 
 def quantile_cuts(sample: list[tuple[int, int, float]], parts: int) -> list[Key]:
@@ -83,24 +94,28 @@ def _sample(rows: DataFrame, total: int, n: int, seed: int) -> list[tuple[int, i
     return [(r.h, r.doc_id, max(step, float(r.size))) for r in drawn]
 
 
-def splitters(rows: DataFrame, ranges: int, max_rounds: int = 8) -> list[Key]:
-    """Cuts under which no range has more than OVERFULL times its share, unless it is a single record."""
-    total, biggest = rows.agg(F.sum("size"), F.max("size")).first()
+def splitters(rows: DataFrame, ranges: int) -> list[Key]:
+    """Cuts under which every range, its largest record aside, has at most OVERFULL times its share, unless all its rows have one key."""
+    total = rows.agg(F.sum("size")).first()[0]
     if not total:
         return []
-    share = total / ranges
+    share, seed = max(1.0, total / ranges), 0
     cuts = sorted({(h, -(2**63)) for h, _ in quantile_cuts(_sample(rows, total, ranges * OVERSAMPLE, 0), ranges)})
-    for seed in range(1, max_rounds):
-        sizes = rows.groupBy(range_of(cuts).alias("r")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-        over = {x.r: x.b for x in sizes if x.n > 1 and x.b > OVERFULL * share + biggest}
+    key = F.struct("h", "doc_id")
+    while True:
+        seed += 1
+        sizes = rows.groupBy(range_of(cuts).alias("r")).agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        over = {x.r: x for x in sizes.filter((F.col("b") - F.col("most") > OVERFULL * share) & (F.col("lo") != F.col("hi"))).collect()}
         if not over:
-            break
+            return cuts
         inside = rows.withColumn("r", range_of(cuts)).filter(F.col("r").isin(list(over)))
         found: dict[int, list] = {}
-        for h, i, w in _sample(inside, sum(over.values()), OVERSAMPLE * sum(-(-b // int(share)) for b in over.values()), seed):
+        for h, i, w in _sample(inside, sum(x.b for x in over.values()), OVERSAMPLE * sum(-(-x.b // int(share)) for x in over.values()), seed):
             found.setdefault(bisect_right(cuts, (h, i)), []).append((h, i, w))
-        cuts = sorted(set(cuts).union(*(quantile_cuts(s, max(2, round(over[r] / share))) for r, s in found.items() if r in over)))
-    return cuts
+        for r, x in over.items():
+            new = {c for c in quantile_cuts(found.get(r, []), max(2, round(x.b / share))) if tuple(x.lo) < c <= tuple(x.hi)}
+            cuts += new or {tuple(x.hi)}  # a poor sample still parts the range
+        cuts = sorted(set(cuts))
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -115,12 +130,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     total, before, start = sum(x.b for x in totals), {}, 0
     for x in totals:
         before[x.r], start = start, start + x.b
-    base = F.element_at(F.array(*(F.lit(before.get(r, 0)).cast("long") for r in range(len(cuts) + 1))), F.col("r") + 1)
+    bases = spark.createDataFrame(list(before.items()), "r int, base long")  # a row for each range
+    ranged = ranged.join(F.broadcast(bases), "r")
 
     in_range = W.partitionBy("r").orderBy("h", "doc_id", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)
     in_group = W.partitionBy("r", "h")
     per_shard = max(1.0, total / shards)
-    placed = ranged.withColumn("end", base + F.sum("size").over(in_range))
+    placed = ranged.withColumn("end", F.col("base") + F.sum("size").over(in_range))
     placed = placed.select(
         "*",
         F.sum("size").over(in_group).alias("g_size"),
