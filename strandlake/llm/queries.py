@@ -61,26 +61,34 @@ _ESC = "replace(replace(replace({}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\
 
 
 def _mixing_sql() -> str:
-    dims, budget = mixing.DIMENSIONS, mixing.BUDGET
+    dims, m = mixing.DIMENSIONS, mixing
     many = "length(t) - length(translate(t, '{}', '')) > length(t) / {}"
     topic = f"CASE WHEN {many.format('|#*$%&', 50)} THEN 'markup' WHEN {many.format('!?', 50)} THEN 'exclaimed' WHEN {many.format('0123456789', 50)} THEN 'numeric' ELSE 'prose' END"
     steps = [
         f"r AS (SELECT doc_id, source, lang, {topic} AS topic, n_tokens FROM (SELECT doc_id, source, lang, coalesce(text,'') AS t, len({_WORDS}) AS n_tokens FROM documents))",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM r GROUP BY ALL)",
-        "z AS (SELECT *, sum(tokens) OVER () AS total, " + ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS m_{d}" for d in dims) + " FROM c)",
-        "k AS (SELECT " + ", ".join(f"(SELECT sum(pow(m / total, {mixing.TEMPERATURE})) FROM (SELECT DISTINCT {d}, m_{d} AS m, total FROM z)) AS k_{d}" for d in dims) + ")",
-        "w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, " + ", ".join(f"{budget} * total * pow(m_{d} / total, {mixing.TEMPERATURE}) / k_{d} AS t_{d}" for d in dims) + f", {budget} * tokens AS raked FROM z, k)",
-    ]
-    n = 0
-    for _ in range(mixing.ROUNDS):
-        for d in dims:
-            now = f"sum(raked) OVER (PARTITION BY {d})"
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {now} > 0 THEN least(tokens, raked * t_{d} / {now}) ELSE 0 END AS raked) FROM w{n})")
-            n += 1
+        "z AS (SELECT sum(tokens) AS total FROM c)",
+    ]
+    for d in dims:
+        up = "ORDER BY held / weight, v ROWS BETWEEN"
+        steps += [
+            f"h_{d} AS (SELECT {d} AS v, sum(tokens) AS held, pow(sum(tokens) / any_value(total), {m.TEMPERATURE}) AS weight FROM c, z GROUP BY {d})",
+            f"o_{d} AS (SELECT held / weight AS ratio, ({m.BUDGET} * total - coalesce(sum(held) OVER ({up} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({up} CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY held / weight, v) AS n FROM h_{d}, z WHERE held > 0 AND weight > 0)",
+            f"t_{d} AS (SELECT v, CASE WHEN held > 0 THEN least(held, weight * coalesce((SELECT arg_min(level, n) FROM o_{d} WHERE level <= ratio), 'inf'::DOUBLE)) ELSE 0 END AS t FROM h_{d})",
+        ]
+    targets = ", ".join(f"t_{d}.t AS t_{d}" for d in dims)
+    joins = " ".join(f"JOIN t_{d} ON c.{d} IS NOT DISTINCT FROM t_{d}.v" for d in dims)
+    steps.append(f"w AS (SELECT 0 AS n, source, lang, topic, tokens, {targets}, {m.BUDGET} * tokens AS raked, false AS done FROM c {joins} UNION ALL SELECT n + 1, source, lang, topic, tokens, {', '.join(f't_{d}' for d in dims)}, raked, (n + 1) % {m.ROUNDS_PER_STEP} = 0 AND (max(gap) OVER () <= {m.TOLERANCE} OR n + 1 >= {m.MOST_ROUNDS}) FROM _GAP WHERE NOT done)")
+    inner = "w"
+    for d in dims:
+        now = f"sum(raked) OVER (PARTITION BY {d})"
+        inner = f"(SELECT * REPLACE (CASE WHEN {now} > 0 THEN least(tokens, raked * t_{d} / {now}) ELSE 0 END AS raked) FROM {inner})"
+    gap = f"(SELECT *, greatest({', '.join(f'CASE WHEN t_{d} > 0 THEN abs(sum(raked) OVER (PARTITION BY {d}) / t_{d} - 1) ELSE 0 END' for d in dims)}) AS gap FROM {inner})"
+    steps[-1] = steps[-1].replace("_GAP", gap)
     same = " AND ".join(f"r.{d} IS NOT DISTINCT FROM w.{d}" for d in dims)
     rate = "CASE WHEN w.tokens > 0 THEN w.raked / w.tokens ELSE 1.0 END"
     u = "('0x' || substr(md5(concat(coalesce(r.doc_id::VARCHAR, ''), ':mix')), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-    return f"WITH {', '.join(steps)} SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens::BIGINT AS n_tokens, round({rate}, 6) AS probability, {u} < {rate} AS selected FROM r JOIN w{n} w ON {same}"
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens::BIGINT AS n_tokens, round({rate}, 6) AS probability, {u} < {rate} AS selected FROM r JOIN w ON {same} WHERE w.done"
 
 
 def _quality_sql() -> str:

@@ -50,6 +50,18 @@ def test_sharding(awkward, none):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
     assert {r.law for r in rows} == {"bytes"}
+    sizes = lambda rs: sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in rs)
+    own = [(r.doc_id is None, r.doc_id or 0, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in awkward.collect()]
+    assert sizes(rows) == sorted(own)
+
+
+def test_sharding_of_next_to_nothing(spark):
+    for texts in ([None, ""], ["", ""], ["a"], [None] * 3 + ["b" * 5000]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = sharding.shard(docs, 8).collect()
+        assert len(rows) == len(texts) and {r["size"] for r in rows} == {len(t or "") + 1 for t in texts}
+    same = spark.createDataFrame([(7, "same")] * 50 + [(8, "x" * 40)], "doc_id long, text string")
+    assert sorted(r.slot for r in sharding.shard(same, 1).collect()) == list(range(51))
 
 
 def test_sharding_is_even_and_cuts_hot_texts(spark):
@@ -66,7 +78,15 @@ def test_splitters_stay_within_the_limit(spark):
     rows = sharding.keyed(spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "same").otherwise(F.col("id").cast("string")).alias("text")))
     cuts = sharding.splitters(rows, 40)
     size = [r.b for r in rows.groupBy(sharding.range_of(cuts).alias("r")).agg(F.sum("size").alias("b")).collect()]
-    assert max(size) <= 2.5 * sum(size) / 40
+    assert max(size) <= 1.5 * sum(size) / 40 + 5
+
+
+def test_ranges_are_counts_of_smaller_cuts(spark):
+    rng = random.Random(3)
+    cuts = sorted({(rng.randrange(-4, 4), rng.randrange(-4, 4)) for _ in range(20)})
+    keys = [(h, i) for h in range(-5, 6) for i in range(-5, 6)]
+    r = spark.createDataFrame(keys, "h long, doc_id long").select("h", "doc_id", sharding.range_of(cuts).alias("r")).collect()
+    assert all(x.r == sum(c <= (x.h, x.doc_id) for c in cuts) for x in r)
 
 
 def test_chat_round_trip(spark):
@@ -368,10 +388,36 @@ def test_mixing_meets_its_targets(spark, none):
 
 
 def test_mixing_awkward(awkward):
-    assert mixing.mix(awkward).count() == awkward.count()
+    rows = mixing.mix(awkward).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.source or "", r.lang or "") for r in rows) == sorted((r.doc_id is None, r.doc_id or 0, r.source or "", r.lang or "") for r in awkward.collect())
+    assert all(0 <= r.probability <= 1 for r in rows)
     assert mixing.sampled(awkward).columns == awkward.columns
 
 
+def test_mixing_without_tokens(spark):
+    docs = spark.createDataFrame([(1, None, "en", "s"), (2, "", None, "s"), (2, " ", None, None)], "doc_id long, text string, lang string, source string")
+    assert {(r.probability, r.selected) for r in mixing.mix(docs).collect()} == {(1.0, True)}
+
+
+def test_mixing_shares_what_a_used_up_value_leaves(spark):
+    rows = [(i, prose(random.Random(i), 20), "en" if i % 3 else "de", "small" if i < 30 else "big" if i < 800 else "other") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.cells_of(docs.select("source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens")))
+    raked = mixing.rake(cells, {"source": {"small": 1, "big": 1, "other": 1}, "lang": 0.7, "topic": 0.7}, 0.5)
+    r = {(x.dimension, x.value): x for x in mixing.residuals(raked).collect()}
+    assert max(abs(x.residual) for x in r.values()) <= mixing.TOLERANCE
+    assert [round(r["source", s].target) for s in ("small", "big", "other")] == [600, 5700, 5700]
+    for d in mixing.DIMENSIONS:
+        assert abs(sum(x.drawn for k, x in r.items() if k[0] == d) - 12000) < 20
+
+
+def test_queries_mixing_meets_targets_on_whole_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cells = mixing.cells_of(docs.select("source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens")))
+    raked = mixing.rake(cells, dict.fromkeys(mixing.DIMENSIONS, mixing.TEMPERATURE))
+    assert mixing.residuals(raked).agg(F.max(F.abs("residual"))).first()[0] <= mixing.TOLERANCE
+
+
 def test_sql(spark, sf):
     import duckdb
 
