@@ -9,8 +9,9 @@ the historical group, the others form groups of their own.
 
 Defined results: a null text counts as empty; of equal texts the one with the
 most code points stays, then the smallest id (a null id comes first); repeated
-rows with one id are counted each and kept or dropped alike; an empty history
-or batch is allowed.
+rows with one id are counted each and kept or dropped alike; a text of any
+length is read whole; an empty history or batch is allowed; other columns are
+ignored, so their names cannot clash.
 """
 
 from __future__ import annotations

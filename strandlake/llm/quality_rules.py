@@ -9,7 +9,8 @@ Defined results: a null text counts as one without words; ties and repeated
 rows are judged alike, row by row; an empty table gives an empty ledger; a
 document may be arbitrarily long (every step is linear in its words, or
 n log n if it repeats itself).  Columns of the input other than the id and the
-text are ignored, so their names cannot clash.
+text are ignored, so their names cannot clash.  Windows of words and equal
+words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ takes it whole.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other; fewer words than a shingle count as one shingle; repeated rows and
-equal texts share a component; a null id counts as the smallest; an empty
-table gives no rows.
+equal texts share a component; a null id counts as the smallest; a text of any
+length is read whole; an empty table gives no rows; other columns are ignored,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def links(nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id and n_links_class (rows of the component) for each row."""
+    """doc_id, fingerprint and component_id for each row."""
     rows = materialize(fingerprints(docs, id_col, text_col))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(nodes.select("fp"), nodes.count()))

@@ -2,7 +2,10 @@
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary
 windows, one on the beginnings of words that set toxic text apart, within
-groups of texts that share their vocabulary (languages, say).  A text is
+groups of texts that share their vocabulary (languages, say).  Whole toxic
+windows don't serve for the second: most of their words are ordinary, and what
+such a dictionary saves by chance drowns what the few toxic words give (README
+has the figures).  A text is
 cut into windows of a few words; each window is compressed with the ordinary
 dictionary alone and with both, so the shorter length shows what only the
 toxic dictionary explains.  A logistic model over these gains, fitted on
@@ -10,11 +13,15 @@ labelled rows that neither dictionary has seen, turns them into a score.
 
 The fit uses a bounded sample of labelled rows: at most MAX_TOXIC and
 MAX_ORDINARY texts of at most MAX_CHARS characters each, those with the
-smallest hash of the id.  Scoring reads every whole text.
+smallest hash of the id, and of the ordinary ones at most MAX_WINDOWS windows
+chosen at random.  Scoring reads every whole text.
 
 Defined results: null and empty texts have one empty window and get the score
-of no gain; repeated rows and ties score alike; without labels of either kind
-every score is the neutral 0.5; a null id is kept and counts as held in.
+of no gain; a text of any length is scored whole, window by window; repeated
+rows and ties score alike; without labels of either kind every score is the
+neutral 0.5; an id with labels of both kinds counts as toxic, and one with a
+null label as unlabelled; a null id is kept and counts as held in; an empty
+table gives no rows; other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 4_000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, MAX_WINDOWS = 2_000, 4_000, 20_000, 150_000
 WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 12, 3, 32_768, 2_048
 #: Bytes of a word's beginning; it needs this share of toxic texts, and this many times the share of ordinary ones.
 STEM, FLOOR, LIFT, MOST = (4, 12), 0.02, 20, 0.6
@@ -195,7 +202,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     stems = ranked_stems(*letters[:2], group[: len(toxic) + len(ordinary)])
     plain = [w for t in ordinary for w in windows(t)]
     random.Random(7).shuffle(plain)
-    ordinary_part = _trained(ORDINARY_BYTES, plain[:150_000])
+    ordinary_part = _trained(ORDINARY_BYTES, plain[:MAX_WINDOWS])
     y = np.array([y for *_, y in rest], dtype=float)
     texts = [windows(t) for _, t, _ in rest]
     # each group with toxic rows weighs as much as any other
@@ -217,7 +224,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[int, str, int]]:
     """The bounded sample of labelled rows that are not held out."""
-    known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").dropDuplicates(["_i"])
+    known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1)").groupBy("_i").agg(F.max("_y").alias("_y"))
     short = docs.filter(~held_out(id_col) & (F.length(text_col) <= MAX_CHARS)).select(F.col(id_col).alias("i"))
     rows = short.join(known, F.col("i") == F.col("_i")).select("i", F.col("_y").alias("y"))
     chosen = [r for label, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)) for r in rows.filter(F.col("y") == label).distinct().orderBy(F.xxhash64("i"), "i").limit(most).collect()]

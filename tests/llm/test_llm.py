@@ -146,6 +146,11 @@ def test_toxicity(spark):
     odd = spark.createDataFrame([(1, None), (None, ""), (1, None)], "doc_id long, text string")
     assert toxicity.score(odd, model).count() == 3 and toxicity.score(odd.limit(0), model).count() == 0
     assert {x.score for x in toxicity.score(odd, toxicity.fit([])).collect()} == {0.5}
+    # clashing names, conflicting and null labels, a very long text
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    odd = spark.createDataFrame([(a, "x y", 1, "t"), (b, prose(rng, 30_000), 0, "t")], "doc_id long, text string, toxic int, label string")
+    lab = spark.createDataFrame([(a, 0), (a, 1), (b, None)], "doc_id long, toxic int")
+    assert [(i, y) for i, _, y in toxicity.sample(odd, lab)] == [(a, 1)] and toxicity.score(odd, model).count() == 2
 
 
 def test_packing(awkward, none):
@@ -355,23 +360,24 @@ def test_components_of_a_path_and_a_star(spark):
 def test_quality_rules(awkward, none):
     import re
 
-    for r, x in zip(*(sorted(df.collect(), key=str) for df in (awkward.select("doc_id", "text"), awkward.select("doc_id", "text")))):
-        assert r == x
     led = quality_rules.apply_policy(quality_rules.ledger(awkward.withColumn("doc_id", F.monotonically_increasing_id()))).collect()
     texts = [r.text for r in awkward.withColumn("doc_id", F.monotonically_increasing_id()).orderBy("doc_id").collect()]
     for r, t in zip(sorted(led, key=lambda r: r.doc_id), texts, strict=True):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
-        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
-        cover = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 8)} if len(w) < 2000 else None
-        assert (r.n_words, r.word_chars) == (len(w), sum(map(len, w)))
-        if cover is not None:
-            assert r.n_repeat_words == len(cover)
+        grams = {}
+        for k in range(len(w) - 7):
+            grams.setdefault(tuple(w[k : k + 8]), []).append(k)
+        cover = {p for ks in grams.values() if len(ks) > 1 for k in ks for p in range(k, k + 8)}
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
+        assert r.kept == brute_quality(t)
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
     assert quality_rules.ledger(none).count() == 0
     kept = quality_rules.passing(awkward)
     assert kept.columns == awkward.columns and kept.count() == sum(r.kept for r in led)
     a = {x.rule: x for x in quality_rules.ablations(quality_rules.ledger(awkward)).collect()}
-    assert a["few_words"].n_failed == sum(r.n_words < 20 for r in led)
+    for rule, bit in quality_rules.BIT.items():
+        bits = [r.failure_bits for r in led]
+        assert (a[rule].n_failed, a[rule].n_only, a[rule].n_kept_without) == (sum(b & bit > 0 for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits))
 
 
 def test_mixing_meets_its_targets(spark, none):
@@ -432,21 +438,124 @@ def test_sql(spark, sf):
         assert key(a) == key(b), name
 
 
+def brute_quality(text):
+    import re
+
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    grams = {}
+    for k in range(len(w) - 7):
+        grams.setdefault(tuple(w[k : k + 8]), []).append(k)
+    cover = {p for ks in grams.values() if len(ks) > 1 for k in ks for p in range(k, k + 8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, symbols = sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>")
+    return not (len(w) < 20 or 100 * len(cover) > 30 * len(w) or symbols > len(w) or 10 * (len(lines) - len(set(lines))) > 6 * len(lines) or chars < 2 * len(w) or chars > 25 * len(w))
+
+
+def brute_near(rows):
+    """Of rows (id, text) the smallest id of each group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    best = {}
+    for k, row in enumerate(rows):
+        best[root[k]] = min(best.get(root[k], row), row)
+    return sorted(best.values())
+
+
+def brute_mix(rows):
+    """Rows (id, text, lang, source) drawn by raking in numpy."""
+    many = lambda t, c: sum(map(t.count, c)) > len(t) / 50
+    topic = lambda t: "markup" if many(t, "|#*$%&") else "exclaimed" if many(t, "!?") else "numeric" if many(t, "0123456789") else "prose"
+    cell = [(s, g, topic(t)) for _, t, g, s in rows]
+    held = {}
+    for c, r in zip(cell, rows):
+        held[c] = held.get(c, 0) + len(r[1].encode().split())
+    cells, tokens = list(held), np.array(list(held.values()), dtype=float)
+    goal = []
+    for d in range(3):
+        values = sorted({c[d] for c in cells}, key=str)
+        own = np.array([[c[d] == v for c in cells] for v in values])
+        h = own @ tokens
+        w = (h / tokens.sum()) ** mixing.TEMPERATURE
+        lo, hi = 0.0, 1e12
+        for _ in range(300):  # the level at which the targets, none above what is held, add up to the budget
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.minimum(h, w * mid).sum() < mixing.BUDGET * tokens.sum() else (lo, mid)
+        goal.append((own, np.minimum(h, w * hi)))
+    x = mixing.BUDGET * tokens
+    for k in range(mixing.MOST_ROUNDS):
+        for own, t in goal:
+            x = np.minimum(tokens, x * (own.T @ (t / np.maximum(own @ x, 1e-300))))
+        if k % mixing.ROUNDS_PER_STEP == mixing.ROUNDS_PER_STEP - 1 and max(np.abs(own @ x / t - 1).max() for own, t in goal) <= mixing.TOLERANCE:
+            break
+    rate = dict(zip(cells, x / tokens))
+    draw = lambda i: int(hashlib.md5(f"{'' if i is None else i}:mix".encode()).hexdigest()[:8], 16) / 2**32
+    return [r for c, r in zip(cell, rows) if draw(r[0]) < rate[c]]
+
+
+def brute_pipeline(rows):
+    """The pieces that the pipeline packs, from rows (id, text, lang, source)."""
+    from tokenizers import Tokenizer
+
+    low = lambda i: -(2**63) if i is None else i
+    rows = [r for r in rows if brute_quality(r[1])]
+    best = {}
+    for r in rows:
+        key = r[1].translate(str.maketrans("", "", " \t\n\x0b\x0c\r"))
+        if key not in best or (-len(r[1]), low(r[0])) < (-len(best[key][1]), low(best[key][0])):
+            best[key] = r
+    own = {(low(r[0]), r[1]): r for r in best.values()}
+    rows = brute_mix([own[k] for k in brute_near(sorted(own))])
+    t, out = Tokenizer.from_file(packing.default_tokenizer()), []
+    for i, text, *_ in rows:
+        x = np.array(t.encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+        out += [(low(i), k // 2048, k, min(2048, len(x) - k), zlib.crc32(x[k : k + 2048].tobytes())) for k in range(0, len(x), 2048)]
+    return sorted(out)
+
+
+def packed(rows):
+    """The pieces of a packing, once their places are seen to be gapless."""
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    return sorted((-(2**63) if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    own = {r.doc_id: r for r in docs.collect()}
-    q = {r.doc_id for r in quality_rules.apply_policy(quality_rules.ledger(docs)).filter("kept").collect()}
-    strip = str.maketrans("", "", " \t\n\x0b\x0c\r")
-    best = {}
-    for i in q:
-        best.setdefault(own[i].text.translate(strip), []).append((-len(own[i].text), i))
-    e = sorted(min(g)[1] for g in best.values())
-    nodes = [(i, fingerprint(own[i].text)) for i in e]
-    n = [i for (i, _), c in zip(nodes, components(nodes)) if i == c]
-    m = {r.doc_id for r in mixing.mix(docs.filter(F.col("doc_id").isin(n))).filter("selected").collect()}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == m
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = brute_pipeline([(r.doc_id, r.text, r.lang, r.source) for r in docs])
+    assert want and packed(corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, none):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    more = [(100 + k, prose(rng, 150), "en" if k % 2 else None, "t", None, None, None) for k in range(12)]
+    docs = awkward.unionByName(spark.createDataFrame(more, SCHEMA))
+    want = brute_pipeline([(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        nothing = stage(spark, none, "")
+        assert nothing.count() == 0 and (k == 4 or nothing.columns == awkward.columns)
+        docs = stage(spark, docs, "")
+    assert want and packed(docs.collect()) == want
 
 
 def test_near_stage_finds_all_pairs_of_similar_texts(spark, monkeypatch):
@@ -476,24 +585,6 @@ def test_near_stage_finds_all_pairs_of_similar_texts(spark, monkeypatch):
     assert far > 100 and kept == [i for i in range(300) if root[i] == i]
 
 
-def test_pipeline_by_similarity(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    e = sorted((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, corpus_pipeline.quality(spark, docs, sf), sf).collect())
-    words = {i: t.lower().split() for i, t in e}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if b < a and (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((root[a], root[b]))
-                root = {i: x if r == y else r for i, r in root.items()}
-    n = [i for i in root if root[i] == i]
-    m = {r.doc_id for r in mixing.mix(docs.filter(F.col("doc_id").isin(n))).filter("selected").collect()}
-    assert len(n) < len(root) and {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == m
-
-
 def test_dedup_stages_keep_one_row_of_each_group(spark):
     import corpus_pipeline
 
