@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents.  All but the
 last return the columns of documents.
+
+Defined results of all stages: a null text counts as empty (and is too short
+for the quality rules); texts of any length are read whole; rows may repeat,
+share an id or lack one; columns beyond those of documents are carried along
+whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
