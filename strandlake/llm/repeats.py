@@ -460,9 +460,10 @@ def _passes(texts: DataFrame, size: int, m: Method, hot: int, made: list[DataFra
         return made[-1]
 
     by_chunk = texts.groupBy("chunk")
-    repeated = kept(by_chunk.applyInArrow(keys, KEYS).groupBy("bucket").applyInArrow(repeated_keys, NOTES))
+    # the number of tasks grows with the data, two groups of anchors for each
+    repeated = kept(by_chunk.applyInArrow(keys, KEYS).repartition(counters, "bucket").groupBy("bucket").applyInArrow(repeated_keys, NOTES))
     records = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(send, RECORDS)
-    verdicts = kept(records.groupBy("bucket").applyInArrow(settle, NOTES))
+    verdicts = kept(records.repartition(max(n, groups // 2), "bucket").groupBy("bucket").applyInArrow(settle, NOTES))
     return materialize(by_chunk.cogroup(repeated.unionAll(verdicts).groupBy("chunk")).applyInArrow(mark, m.schema))
 
 
