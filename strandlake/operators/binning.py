@@ -38,8 +38,9 @@ def contiguous(rows: DataFrame, length: str, bins: int) -> DataFrame:
 
 
 def cut(rows: DataFrame, length: str, bins: int) -> DataFrame:
-    """bin by unique quantile edges, right-closed, the first one closed on both sides: bin, L_lo and L_hi."""
+    """bin by unique quantile edges, the last one raised by one, right-closed, the first one closed on both sides: bin, L_lo and L_hi."""
     e = quantile_edges(rows, length, bins).select(F.array_distinct("edges").alias("e"))
+    e = e.select(F.concat(F.slice("e", 1, F.greatest(F.lit(1), F.size("e") - 1)), F.array(F.element_at("e", -1) + 1)).alias("e"))
     x = F.col(length)
     at = F.when(x == F.get("e", F.lit(0)), 1).otherwise(F.size(F.filter("e", lambda v: v < x)))
     out = rows.crossJoin(F.broadcast(e)).withColumn("_at", at)
@@ -75,3 +76,24 @@ def delta_intervals(rows: DataFrame, value: str, group: str, order: str, reps: i
     b = stats.bootstrap(rows, value, order, reps, seed, *by, group).groupBy(*by, "rep", group).agg(F.avg(value).alias("m"))
     d = b.groupBy(*by, "rep").agg((F.sum(F.when(F.col(group) == "synthetic", F.col("m"))) - F.sum(F.when(F.col(group) == "natural", F.col("m")))).alias("d"))
     return point.join(d.groupBy(*by).agg(F.percentile("d", F.lit(0.025)).alias("delta_lo"), F.percentile("d", F.lit(0.975)).alias("delta_hi")), [*by])
+
+
+def bin_stats(rows: DataFrame, value: str, key: str, reps: int, seed: int, *by: str, least: int = 10) -> DataFrame:
+    """Of (group, value) in each ``by``: both groups gated, made equally large, their mean difference with its interval, and its p and q.
+
+    Rows of synthetic against natural; q over all rows of the table.
+    """
+    even = balanced(gated(rows, "grp", least, *by), "grp", key, seed, *by)
+    n = even.groupBy(*by).agg(F.count_if(F.col("grp") == "natural").alias("n_natural"), F.count_if(F.col("grp") == "synthetic").alias("n_synthetic"))
+    delta = delta_intervals(even, value, "grp", key, reps, seed, *by)
+    p = stats.mann_whitney_p(even, value, F.col("grp") == "synthetic", *by).select(*by, "p")
+    return stats.bh(n.join(delta, [*by]).join(p, [*by]), "p", tie=by)
+
+
+def overall_stats(rows: DataFrame, value: str, key: str, reps: int, seed: int, bin_by: tuple[str, ...], *by: str, least: int = 10) -> DataFrame:
+    """The same over all bins of a ``by`` together, each bin gated and balanced first."""
+    even = balanced(gated(rows, "grp", least, *bin_by), "grp", key, seed, *bin_by)
+    n = even.groupBy(*by).agg(F.count_if(F.col("grp") == "natural").alias("n_natural"), F.count_if(F.col("grp") == "synthetic").alias("n_synthetic"))
+    delta = delta_intervals(even, value, "grp", key, reps, seed, *by)
+    p = stats.mann_whitney_p(even, value, F.col("grp") == "synthetic", *by).select(*by, "p")
+    return stats.bh(n.join(delta, [*by]).join(p, [*by]), "p", tie=by)

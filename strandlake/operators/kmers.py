@@ -2,28 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
 
-#: Starting positions exploded at once: short pieces keep each substring cheap and the generated rows in one stage.
-PIECE = 128
-
-
-def kmers(seqs: DataFrame, k: int, *keep: str, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    """One row for each window of k letters A, C, G, T: the ``keep`` columns and kmer."""
-    s = F.col(seq)
-    starts = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - (k - 1), F.lit(PIECE)))
-    pieces = seqs.select(*keep, s.alias("_s"), F.explode(starts).alias("_i")).select(*keep, F.substr("_s", F.col("_i"), F.lit(PIECE + k - 1)).alias("_p"))
-    windows = F.transform(F.sequence(F.lit(1), F.length("_p") - (k - 1)), lambda i: F.substr("_p", i, F.lit(k)))
-    out = pieces.select(*keep, F.explode(windows).alias("kmer")).where(F.length(F.translate("kmer", "ACGT", "")) == 0)
-    return out.withColumn("kmer", dna.canonical("kmer")) if canonical else out
+#: The number of each base letter; 4 stands for any other.
+LETTERS = np.full(256, 4, dtype=np.uint8)
+LETTERS[list(b"ACGT")] = range(4)
+
+
+def letters(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The base numbers of a column of sequences, one after another, and where each begins; null counts as empty."""
+    text = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    text = text.cast(pa.large_binary()).fill_null(b"")
+    first = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[first[0] : first[-1]]
+    return LETTERS[data], first - first[0]
+
+
+def codes(base: np.ndarray, first: np.ndarray, k: int, canonical: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits a base: the number of each k-mer of A, C, G and T, and the row in which it is."""
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    low = (base & 3).astype(np.int64)
+    for j in range(k):
+        forward = forward << 2 | low[j : j + n]
+        if canonical:
+            back |= (3 - low[j : j + n]) << 2 * j
+    other = np.r_[0, np.cumsum(base == 4)]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    good = (other[k:] == other[:-k]) & (np.arange(n) + k <= first[row + 1])
+    return (np.minimum(forward, back) if canonical else forward)[good], row[good]
+
+
+def code_counts(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False) -> DataFrame:
+    """(by, code, n): k-mers (k of 31 at most) as numbers, first counted within each sequence, so that only numbers are shuffled."""
+    if not 1 <= k <= 31:
+        raise ValueError("k must be within 1..31")
+    if by:
+        keyed = seqs.select(*by, F.col(seq).alias("_s"))
+    else:
+        keyed = seqs.select(F.lit(0).alias("_one"), F.col(seq).alias("_s"))
+    keys = keyed.columns[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, row = codes(*letters(batch.column("_s")), k, canonical)
+            if by:
+                order = np.lexsort((code, row))
+                code, row = code[order], row[order]
+                new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)])
+                n = np.diff(np.r_[new, len(code)])
+                code, row = code[new], row[new]
+            else:
+                code, n = np.unique(code, return_counts=True)
+                row = np.zeros(len(code), np.int64)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=[*keys, "code", "n"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-1]), "code long, n long"])
+    return keyed.mapInArrow(count, schema).groupBy(*by, "code").agg(F.sum("n").alias("n"))
+
+
+def kmer_of(code: Column, k: int) -> Column:
+    """The letters of a k-mer's number."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def counts(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    return kmers(seqs, k, *by, seq=seq, canonical=canonical).groupBy(*by, "kmer").agg(F.count("*").alias("n"))
+    return code_counts(seqs, k, *by, seq=seq, canonical=canonical).select(*by, kmer_of(F.col("code"), k).alias("kmer"), "n")
 
 
 def spectrum(kmer_counts: DataFrame, *by: str) -> DataFrame:

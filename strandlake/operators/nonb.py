@@ -110,8 +110,7 @@ def motif_summary(pairs: DataFrame, eps: float = 0.5) -> DataFrame:
 
 def significance(pairs: DataFrame) -> DataFrame:
     """Two-sided paired Wilcoxon per measure and motif with q within each measure and its mark."""
-    w = stats.wilcoxon(pairs.withColumn("_d", F.col("orig") - F.col("syn")), "_d", "measure", "motif")
-    w = w.withColumn("p", F.least(F.lit(1.0), 2 * stats.normal_sf(F.abs("z"))))
+    w = stats.wilcoxon_p(pairs.withColumn("_d", F.col("orig") - F.col("syn")), "_d", "measure", "motif")
     return stats.bh(w, "p", ("measure",), tie=("motif",)).withColumn("mark", mark(F.col("q")))
 
 

@@ -10,8 +10,9 @@ from . import kmers
 
 def presence(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", canonical: bool = True) -> DataFrame:
     """(pair, kmer, in_orig, in_syn): one grouping gives intersection and both differences."""
-    km = kmers.kmers(seqs, k, pair, side, canonical=canonical)
-    return km.groupBy(pair, "kmer").agg(F.max(F.col(side) == "orig").alias("in_orig"), F.max(F.col(side) == "syn").alias("in_syn"))
+    km = kmers.code_counts(seqs, k, pair, side, canonical=canonical)
+    found = km.groupBy(pair, "code").agg(F.max(F.col(side) == "orig").alias("in_orig"), F.max(F.col(side) == "syn").alias("in_syn"))
+    return found.select(pair, kmers.kmer_of(F.col("code"), k).alias("kmer"), "in_orig", "in_syn")
 
 
 def pair_metrics(present: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -32,7 +33,7 @@ def fractions(seqs: DataFrame, ks: list[int], *by: str, canonical: bool = True)
     """Per entity and k: distinct k-mers, the space of 4 ** k, and how much of it is unused; zero-hit entities included."""
     out = None
     for k in sorted(set(ks)):
-        seen = kmers.kmers(seqs, k, *by, canonical=canonical).groupBy(*by).agg(F.count_distinct("kmer").alias("_n"))
+        seen = kmers.code_counts(seqs, k, *by, canonical=canonical).groupBy(*by).agg(F.count("*").alias("_n"))
         one = seqs.select(*by).distinct().join(seen, [*by], "left").select(*by, F.lit(k).alias("k"), F.coalesce("_n", F.lit(0)).alias("observed_distinct_kmers"))
         out = one if out is None else out.unionByName(one)
     space = F.pow(F.lit(4.0), "k").cast("long")

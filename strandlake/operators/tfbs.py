@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna, stats
-from .kmers import PIECE
+from ..functions import stats
+from . import kmers
 
 
 def background(seqs: DataFrame, seq: str = "seq", *by: str) -> DataFrame:
@@ -16,22 +20,77 @@ def background(seqs: DataFrame, seq: str = "seq", *by: str) -> DataFrame:
     return seqs.groupBy(*by).agg(*(F.when(total > 0, n[b] / total).otherwise(F.lit(0.25)).alias(b) for b in "ACGT"))
 
 
-def scan(seqs: DataFrame, motifs: DataFrame, *keep: str, seq: str = "seq") -> DataFrame:
-    """Hits of motifs (motif_id, motif_alt_id, w, scores: w rows of A, C, G, T log-odds, threshold) on both strands.
+#: A score is rounded to a whole number of these parts before its p-value is looked up.
+GRAIN = 1000
+#: Motifs are a reference table that every task holds; a larger one has to be scanned in parts.
+MOST_MOTIFS = 100_000
+
+
+def score_tail(scores: np.ndarray, base: np.ndarray) -> tuple[int, np.ndarray]:
+    """The least score of a motif in grains, and for each score from there the chance of it or more in random letters."""
+    grains = np.rint(np.asarray(scores) * GRAIN).astype(np.int64)
+    low = grains.min(axis=1)
+    chance = np.ones(1)
+    for row, lo in zip(grains, low, strict=True):
+        out = np.zeros(len(chance) + int(row.max() - lo))
+        for g, b in zip(row - lo, base, strict=True):
+            out[g : g + len(chance)] += b * chance
+        chance = out
+    return int(low.sum()), np.minimum(1.0, np.cumsum(chance[::-1])[::-1])
+
+
+def scan(seqs: DataFrame, motifs: DataFrame, *keep: str, seq: str = "seq", site_p: float | None = None, base: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """Hits of motifs (motif_id, motif_alt_id, w, scores: w rows of A, C, G, T log-odds, threshold) on both strands, with p-values.
 
-    Sequences are cut into short overlapping pieces first, so that a window's letters are near at hand; windows with other letters don't count.
+    A window is a hit if its score is at least the threshold and, if ``site_p``
+    is given, its p-value below that.  P-values are exact for scores in grains
+    under independent letters with the shares ``base``.  Windows with other
+    letters don't count.
     """
-    strands = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("_s").alias("s")), F.struct(F.lit("-").alias("strand"), dna.revcomp("_s").alias("s"))))
-    s = seqs.select(*keep, F.col(seq).alias("_s")).select(*keep, strands.alias("x")).select(*keep, "x.strand", "x.s")
-    s = s.crossJoin(F.broadcast(motifs)).where(F.length("s") >= F.col("w"))
-    s = s.select("*", F.length("s").alias("_n"), F.explode(F.sequence(F.lit(0), F.length("s") - F.col("w"), F.lit(PIECE))).alias("_at"))
-    codes = F.transform(F.split(F.substr("s", F.col("_at") + 1, PIECE - 1 + F.col("w")), ""), lambda c: F.instr(F.lit("ACGT"), c) - 1)
-    s = s.select(*keep, "motif_id", "motif_alt_id", "strand", "w", "scores", "threshold", "_n", "_at", codes.alias("_c"))
-    one = lambda i: F.aggregate(F.sequence(F.lit(0), F.col("w") - 1), F.lit(0.0), lambda a, j: a + F.get(F.get("scores", j), F.get("_c", i + j)))
-    places = F.transform(F.sequence(F.lit(0), F.size("_c") - F.col("w")), lambda i: F.struct((F.col("_at") + i).alias("at"), one(i).alias("score")))
-    out = s.select(*keep, "motif_id", "motif_alt_id", "strand", "w", "_n", F.explode(F.filter(places, lambda x: x["score"] >= F.col("threshold"))).alias("h"))
-    start = F.when(F.col("strand") == "+", F.col("h.at")).otherwise(F.col("_n") - F.col("w") - F.col("h.at"))
-    return out.select(*keep, "motif_id", "motif_alt_id", "strand", start.alias("start"), (start + F.col("w")).alias("end"), F.col("h.score").alias("score"))
+    table = motifs.limit(MOST_MOTIFS + 1).collect()
+    if len(table) > MOST_MOTIFS:
+        raise ValueError("too many motifs for one scan")
+    known = [(m.motif_id, m.motif_alt_id, m.threshold, np.array(m.scores, dtype=float)) for m in table]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tails = [score_tail(x, np.array(base)) for *_, x in known]
+        for batch in batches:
+            letter, first = kmers.letters(batch.column("_s"))
+            other = np.r_[0, np.cumsum(letter == 4)]
+            row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            for (name, alt, threshold, x), (least, tail) in zip(known, tails, strict=True):
+                n, w = len(letter) - len(x) + 1, len(x)
+                if n <= 0:
+                    continue
+                good = (other[w:] == other[:-w]) & (np.arange(n) + w <= first[row_of[:n] + 1])
+                for strand, y in (("+", x), ("-", x[::-1, ::-1])):
+                    y = np.c_[y, np.zeros(w)]
+                    score = sum(y[j][letter[j : j + n]] for j in range(w))
+                    hit = np.flatnonzero(good & (score >= threshold))
+                    p = tail[np.clip(np.rint(score[hit] * GRAIN).astype(np.int64) - least, 0, len(tail) - 1)]
+                    if site_p is not None:
+                        hit, p = hit[p < site_p], p[p < site_p]
+                    start = hit - first[row_of[hit]]
+                    own = [batch.column(c).take(pa.array(row_of[hit])) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(hit), pa.string()), pa.array([alt] * len(hit), pa.string()), pa.array([strand] * len(hit), pa.string()), pa.array(start, pa.int64()), pa.array(start + w, pa.int64()), pa.array(score[hit]), pa.array(p)], names=[*keep, *HITS])
+
+    schema = seqs.select(*keep).schema
+    types = ("string", "string", "string", "long", "long", "double", "double")
+    return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{c}` {t}" for c, t in zip(HITS, types, strict=True))]))
+
+
+HITS = ("motif_id", "motif_alt_id", "strand", "start", "end", "score", "p_value")
+
+
+def with_q(hits: DataFrame, *by: str) -> DataFrame:
+    """Hits with q-values within each motif (and ``by``)."""
+    return stats.bh(hits, "p_value", (*by, "motif_id"), "q_value")
+
+
+def hit_counts(hits: DataFrame, pair: str = "pair_id", side: str = "which") -> DataFrame:
+    """Hits of each motif (motif_key: its id and other name) on both sides over all pairs."""
+    key = F.concat_ws("|", "motif_id", "motif_alt_id").alias("motif_key")
+    return hits.groupBy(key).agg(F.count_if(F.col(side) == "orig").alias("hits_orig"), F.count_if(F.col(side) == "syn").alias("hits_syn"))
 
 
 def surviving(hits: DataFrame, site_p: float = 1e-4, site_q: float = 1.0) -> DataFrame:

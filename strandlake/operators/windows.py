@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
 
 
 def allocation(contigs: DataFrame, n_windows: int) -> DataFrame:
-    """Windows for each contig (name, length) by largest remainders, ties by name."""
-    share = F.lit(float(n_windows)) * F.col("length") / F.sum("length").over(W.partitionBy(F.lit(1)))
-    a = contigs.withColumn("_share", share).withColumn("_base", F.floor("_share"))
-    a = a.withColumn("_rest", F.lit(n_windows) - F.sum("_base").over(W.partitionBy(F.lit(1)))).withColumn("_r", F.row_number().over(W.orderBy(F.desc(F.col("_share") - F.col("_base")), "name")))
-    return a.select("name", "length", (F.col("_base") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)).cast("long").alias("n_windows"))
+    """Windows for each contig (name, length) by largest remainders, ties by name; null if no contig has a length.
+
+    No sort of all contigs: at most ``n_windows`` of them get one of the rest.
+    """
+    total = F.sum("length").alias("_total")
+    a = contigs.crossJoin(F.broadcast(contigs.agg(total))).withColumn("_share", F.try_divide(F.lit(float(n_windows)) * F.col("length"), F.col("_total")))
+    a = a.withColumn("_base", F.floor("_share")).withColumn("_left", F.col("_share") - F.col("_base"))
+    given = a.agg(F.sum("_base")).first()[0]
+    rest = 0 if given is None else max(0, n_windows - int(given))
+    more = a.orderBy(F.desc("_left"), "name").limit(rest).select(F.col("name").alias("_name"))
+    got = a.join(F.broadcast(more), F.col("name") == F.col("_name"), "left")
+    return got.select("name", "length", (F.col("_base") + F.when(F.col("_name").isNotNull(), 1).otherwise(0)).cast("long").alias("n_windows"))
 
 
 def candidates(contigs: DataFrame, length: int, tries: int, seed: int, max_n_ratio: float, seq: str = "seq") -> DataFrame:

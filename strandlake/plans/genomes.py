@@ -38,6 +38,22 @@ CELL_SQL = f"cell AS (SELECT pair_id, which, doc_id, ('0b'||translate(kmer,'ACGT
 SCORE_SQL = "s AS (SELECT d.doc_id AS item_id, quality AS label, lang AS tag, n_chars, (('0x'||substr(md5(concat(d.doc_id::varchar,':score')),1,8))::BIGINT % 1000) / 1000.0::DOUBLE AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
+def sf_sql(z: str) -> str:
+    """P(Z >= z) for z of zero or more, as stats.normal_sf has it."""
+    t = f"(1/(1+({z})/sqrt(2.0::DOUBLE)/2))"
+    series = f"({stats.ERFC[-1]}::DOUBLE)"
+    for c in reversed(stats.ERFC[:-1]):
+        series = f"(({c}::DOUBLE)+{t}*{series})"
+    return f"({t}*exp(-(({z})/sqrt(2.0::DOUBLE))*(({z})/sqrt(2.0::DOUBLE))+{series})/2)"
+
+
+def bh_sql(table: str, by: str = "", tie: str = "") -> str:
+    """All columns of a table with column p, and q."""
+    part = f"PARTITION BY {by}" if by else ""
+    ranked = f"(SELECT *, row_number() OVER ({part} ORDER BY p{', ' + tie if tie else ''}) AS _r, count(*) OVER ({part}) AS _m FROM {table})"
+    return f"(SELECT * EXCLUDE (_r, _m), least(1.0, min(p*_m/_r) OVER ({part} ORDER BY _r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM {ranked})"
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -125,6 +141,21 @@ def support_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kmers.support_stats(kmers.paired_support(_spectra(spark, sf, "pair_id", "which"))))
 
 
+@query(f"""WITH {TEXT_SQL}, {KM_SQL}, {SPEC_SQL}, gr AS (SELECT a.x, b.pair_id, cp, cq FROM (SELECT DISTINCT x FROM s2) a CROSS JOIN (SELECT DISTINCT pair_id FROM s2) b LEFT JOIN s2 ON a.x=s2.x AND b.pair_id=s2.pair_id),
+r AS (SELECT x, coalesce(last_value(cq IGNORE NULLS) OVER w,0)-coalesce(last_value(cp IGNORE NULLS) OVER w,0) AS d FROM gr WINDOW w AS (PARTITION BY pair_id ORDER BY x ROWS UNBOUNDED PRECEDING)), m AS (SELECT x, round(avg(d),9) AS d FROM r WHERE x<=500 GROUP BY x)
+SELECT max(abs(d)) AS max_abs_delta, (SELECT x FROM m ORDER BY abs(d) DESC, x LIMIT 1) AS x_at_max, (SELECT d FROM m ORDER BY x DESC LIMIT 1) AS last_delta FROM m""")
+def spectra_effect_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    s = kmers.support_stats(kmers.paired_support(_spectra(spark, sf, "pair_id", "which")))
+    return kmers.effect_sizes(s.withColumn("d_mean", F.round("d_mean", 9)))
+
+
+@query(f"""WITH {TEXT_SQL}, {KM_SQL}, {POOL_SQL}, s AS (SELECT grp, x, cdf, lead(x) OVER (PARTITION BY grp ORDER BY x) AS x1, lead(cdf) OVER (PARTITION BY grp ORDER BY x) AS c1, min(cdf) OVER (PARTITION BY grp) AS lo, max(cdf) OVER (PARTITION BY grp) AS hi FROM cd)
+SELECT grp, i/100.0::DOUBLE AS prob, round(min(CASE WHEN i/100.0::DOUBLE>=cdf AND i/100.0::DOUBLE<c1 THEN x+(i/100.0::DOUBLE-cdf)/(c1-cdf)*(x1-x) ELSE x END),6) AS x_q FROM s, range(1,100) t(i)
+WHERE (i/100.0::DOUBLE>=cdf AND i/100.0::DOUBLE<c1) OR (i/100.0::DOUBLE<lo AND cdf=lo) OR (i/100.0::DOUBLE>=hi AND c1 IS NULL) GROUP BY ALL""")
+def spectrum_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return kmers.quantiles(kmers.cdf(_spectra(spark, sf, "grp"), "grp"), "grp").withColumn("x_q", F.round("x_q", 6))
+
+
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, {POOL_SQL} SELECT grp, round(coalesce(sum(pmf) FILTER (x BETWEEN 1 AND 5),0),6) AS rare, round(coalesce(sum(pmf) FILTER (x BETWEEN 6 AND 50),0),6) AS mid, round(coalesce(sum(pmf) FILTER (x BETWEEN 51 AND 500),0),6) AS high FROM sp GROUP BY grp")
 def tail_masses(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kmers.zone_masses(_spectra(spark, sf, "grp"), 5, 50, 500, "grp"))
@@ -197,17 +228,21 @@ def nonb_motif_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(nonb.motif_summary(nonb.paired(_nonb(spark, sf), "n_hits")))
 
 
-@query(f"""WITH {NONB_SQL}, p AS (SELECT pair_id, motif, sum(n_hits) FILTER (which='orig') - sum(n_hits) FILTER (which='syn') AS d FROM h GROUP BY ALL), z AS (SELECT * FROM p WHERE d IS NOT NULL AND d<>0),
-r AS (SELECT motif, d, rank() OVER (PARTITION BY motif ORDER BY abs(d)) + (count(*) OVER (PARTITION BY motif, abs(d))-1)/2 AS r, count(*) OVER (PARTITION BY motif, abs(d)) AS t FROM z)
-SELECT motif, count(*) AS n, coalesce(sum(r) FILTER (d>0),0)::DOUBLE AS w_plus, round((coalesce(sum(r) FILTER (d>0),0)-count(*)*(count(*)+1)/4)/sqrt(count(*)*(count(*)+1)*(2*count(*)+1)/24-sum(t*t-1)/48),6) AS z FROM r GROUP BY motif""")
+WILCOXON_SQL = f"""{NONB_SQL}, p AS (SELECT pair_id, motif, sum(n_hits) FILTER (which='orig') - sum(n_hits) FILTER (which='syn') AS d FROM h GROUP BY ALL), z AS (SELECT * FROM p WHERE d IS NOT NULL AND d<>0),
+r AS (SELECT motif, d, rank() OVER (PARTITION BY motif ORDER BY abs(d)) + (count(*) OVER (PARTITION BY motif, abs(d))-1)/2 AS r, count(*) OVER (PARTITION BY motif, abs(d)) AS t FROM z),
+wx AS (SELECT motif, count(*) AS n, coalesce(sum(r) FILTER (d>0),0)::DOUBLE AS w_plus, (coalesce(sum(r) FILTER (d>0),0)-count(*)*(count(*)+1)/4)/sqrt(count(*)*(count(*)+1)*(2*count(*)+1)/24-sum(t*t-1)/48) AS z FROM r GROUP BY motif)"""
+
+
+@query(f"WITH {WILCOXON_SQL} SELECT motif, n, w_plus, round(z,6) AS z FROM wx")
 def wilcoxon_w(spark: SparkSession, sf: str) -> DataFrame:
     p = nonb.paired(_nonb(spark, sf), "n_hits").withColumn("d", F.col("orig") - F.col("syn"))
-    return rounded(stats.wilcoxon(p, "d", "motif"))
+    return rounded(stats.wilcoxon(p, "d", "motif").drop("tied"))
 
 
-@query()
+@query(f"WITH {WILCOXON_SQL}, pv AS (SELECT *, least(1.0, 2*{sf_sql('abs(z)')}) AS p FROM wx) SELECT 'n_hits' AS measure, motif, n, w_plus, round(z,6) AS z, round(p,9) AS p, round(q,9) AS q, CASE WHEN q<0.01 THEN '**' WHEN q<0.05 THEN '*' WHEN q<0.10 THEN '•' ELSE '' END AS mark FROM {bh_sql('pv', tie='motif')}")
 def nonb_significance(spark: SparkSession, sf: str) -> DataFrame:
-    return nonb.significance(nonb.paired(_nonb(spark, sf), "n_hits"))
+    r = nonb.significance(nonb.paired(_nonb(spark, sf), "n_hits"))
+    return r.select("measure", "motif", "n", "w_plus", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"), "mark")
 
 
 @query()
@@ -225,7 +260,64 @@ u AS (SELECT tag, count(*) FILTER (grp='synthetic') AS n1, count(*) FILTER (grp<
 v AS (SELECT *, s-n1*(n1+1)/2 AS u FROM u) SELECT tag, n1, n2, u::DOUBLE AS u, round(((u-n1*n2/2)-sign(u-n1*n2/2)*0.5)/sqrt(n1*n2/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1)))),6) AS z FROM v""")
 def mann_whitney_u(spark: SparkSession, sf: str) -> DataFrame:
     g = text_dna(spark, sf).withColumn("len", F.length("seq"))
-    return rounded(stats.mann_whitney(g, "len", F.col("grp") == "synthetic", "tag"))
+    return rounded(stats.mann_whitney(g, "len", F.col("grp") == "synthetic", "tag").drop("tied"))
+
+
+MW_SQL = """r AS (SELECT tag, grp, length(seq) v, rank() OVER (PARTITION BY tag ORDER BY length(seq)) + (count(*) OVER (PARTITION BY tag, length(seq))-1)/2 AS r, count(*) OVER (PARTITION BY tag, length(seq)) AS t FROM g),
+u AS (SELECT tag, count(*) FILTER (grp='synthetic') AS n1, count(*) FILTER (grp<>'synthetic') AS n2, sum(r) FILTER (grp='synthetic') AS s, sum(t*t-1) AS ties FROM r GROUP BY tag),
+v AS (SELECT *, s-n1*(n1+1)/2 AS u FROM u), mw AS (SELECT *, ((u-n1*n2/2)-sign(u-n1*n2/2)*0.5)/sqrt(n1*n2/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1)))) AS z FROM v)"""
+
+
+@query(f"WITH {TEXT_SQL}, {MW_SQL} SELECT tag, n1, n2, u::DOUBLE AS u, round(z,6) AS z, round(least(1.0, 2*{sf_sql('abs(z)')}),9) AS p FROM mw")
+def mann_whitney_p(spark: SparkSession, sf: str) -> DataFrame:
+    g = text_dna(spark, sf).withColumn("len", F.length("seq"))
+    r = stats.mann_whitney_p(g, "len", F.col("grp") == "synthetic", "tag")
+    return r.select("tag", "n1", "n2", "u", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
+
+
+REPS, SEED = 20, 11
+#: Motif rates by genome, the bins of genome lengths, and both groups of a bin made equally large.
+RATE_SQL = f"""{MD5_SQL}, h AS (SELECT doc_id, grp, length(seq) AS len, 'GQ' AS motif, 1000.0::DOUBLE*len({GQ})/length(seq) AS value FROM m
+UNION ALL SELECT doc_id, grp, length(seq), 'STR', 1000.0::DOUBLE*len(regexp_extract_all(seq,'((?:AC){{3,}})',1))/length(seq) FROM m),
+ed AS (SELECT list_sort(list_distinct([{", ".join(f"round(quantile_cont(length(seq), {i / 10}), 9)" for i in range(11))}])) AS e FROM m), ee AS (SELECT list_append(e[1:greatest(1, len(e)-1)], e[len(e)]+1) AS e FROM ed),
+bn AS (SELECT h.*, CASE WHEN len=e[1] THEN 1 ELSE len(list_filter(e, lambda v: v < len)) END AS pos, e FROM h, ee), bb AS (SELECT doc_id, grp, motif, value, (pos-1)::INT AS bin, trunc(e[pos])::BIGINT AS lo, trunc(e[pos+1])::BIGINT AS hi FROM bn),
+gt AS (SELECT motif, bin, min(n) AS m FROM (SELECT motif, bin, grp, count(*) AS n FROM bb GROUP BY ALL) GROUP BY ALL HAVING count(*)=2 AND min(n)>=10),
+ev AS (SELECT * FROM (SELECT bb.*, gt.m, row_number() OVER (PARTITION BY bb.motif, bb.bin, grp ORDER BY md5(concat('{SEED}:', doc_id::varchar)), doc_id) AS rn FROM bb JOIN gt ON bb.motif=gt.motif AND bb.bin=gt.bin) WHERE rn<=m)"""
+
+
+def stats_sql(by: str) -> str:
+    on = " AND ".join(f"o.{c}=d.{c}" for c in by.split(", "))
+    return f"""o AS (SELECT {by}, grp, value, row_number() OVER (PARTITION BY {by}, grp ORDER BY doc_id)-1 AS i, count(*) OVER (PARTITION BY {by}, grp) AS n FROM ev),
+d AS (SELECT {", ".join("o." + c for c in by.split(", "))}, o.grp, rep, ('0x'||substr(md5(concat('{SEED}:',rep::varchar,':',o.i::varchar)),1,8))::BIGINT % o.n AS i FROM o CROSS JOIN range(0,{REPS}) t(rep)),
+v AS (SELECT {", ".join("d." + c for c in by.split(", "))}, d.grp, rep, avg(o.value) AS m FROM d JOIN o ON {on} AND o.grp=d.grp AND o.i=d.i GROUP BY ALL),
+dx AS (SELECT {by}, rep, sum(m) FILTER (grp='synthetic')-sum(m) FILTER (grp='natural') AS d FROM v GROUP BY ALL), ci AS (SELECT {by}, quantile_cont(d,0.025) AS lo_, quantile_cont(d,0.975) AS hi_ FROM dx GROUP BY ALL),
+rk AS (SELECT {by}, grp, value, rank() OVER (PARTITION BY {by} ORDER BY value) + (count(*) OVER (PARTITION BY {by}, value)-1)/2 AS r, count(*) OVER (PARTITION BY {by}, value) AS t FROM ev),
+ru AS (SELECT {by}, count(*) FILTER (grp='natural') AS n_natural, count(*) FILTER (grp='synthetic') AS n_synthetic, avg(value) FILTER (grp='synthetic')-avg(value) FILTER (grp='natural') AS dm, sum(r) FILTER (grp='synthetic') AS s, sum(t*t-1) AS ties FROM rk GROUP BY ALL),
+rz AS (SELECT *, s-n_synthetic*(n_synthetic+1)/2-n_natural*n_synthetic/2 AS a, n_natural*n_synthetic/12*((n_natural+n_synthetic+1)-ties/((n_natural+n_synthetic)*(n_natural+n_synthetic-1))) AS vr FROM ru),
+pz AS (SELECT {", ".join("rz." + c for c in by.split(", "))}, n_natural, n_synthetic, dm, lo_, hi_, CASE WHEN vr<=0 THEN 1.0 ELSE least(1.0, 2*{sf_sql("abs((a-sign(a)*0.5)/sqrt(vr))")}) END AS p FROM rz JOIN ci ON {" AND ".join(f"rz.{c}=ci.{c}" for c in by.split(", "))})
+SELECT {by}, n_natural, n_synthetic, round(dm,6) AS delta_mean, round(lo_,6) AS delta_lo, round(hi_,6) AS delta_hi, round(p,9) AS p, round(q,9) AS q FROM {bh_sql("pz", tie=by)}"""
+
+
+def _rates(spark: SparkSession, sf: str) -> DataFrame:
+    m = md5_dna(spark, sf).withColumn("len", F.length("seq"))
+    keep = ("doc_id", "grp", "len")
+    h = nonb.quadruplex_counts(m, *keep).withColumn("motif", F.lit("GQ")).unionByName(nonb.repeat_counts(m, "AC", 3, *keep).withColumn("motif", F.lit("STR")))
+    lengths = binning.cut(m.select("doc_id", "len"), "len", 10).select("doc_id", "bin", "L_lo", "L_hi")
+    return h.withColumn("value", 1000.0 * F.col("n_hits") / F.col("len")).join(lengths, "doc_id").select("doc_id", "grp", "motif", "value", "bin", F.col("L_lo").alias("lo"), F.col("L_hi").alias("hi"))
+
+
+def _tests(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9 if c in ("p", "q") else 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"WITH {RATE_SQL}, {stats_sql('motif, bin, lo, hi')}")
+def per_bin_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _tests(binning.bin_stats(_rates(spark, sf), "value", "doc_id", REPS, SEED, "motif", "bin", "lo", "hi"))
+
+
+@query(f"WITH {RATE_SQL}, {stats_sql('motif')}")
+def overall_significance(spark: SparkSession, sf: str) -> DataFrame:
+    return _tests(binning.overall_stats(_rates(spark, sf), "value", "doc_id", REPS, SEED, ("motif", "bin"), "motif"))
 
 
 FISHER_COUNTS = "c AS (SELECT p_brand AS motif_key, count(*) FILTER (l_returnflag='R') AS hits_orig, count(*) FILTER (l_returnflag<>'R') AS hits_syn FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1)"
@@ -268,6 +360,56 @@ def motif_hits(spark: SparkSession, sf: str) -> DataFrame:
     return tfbs.scan(md5_dna(spark, sf), motifs, "doc_id").groupBy("doc_id", "motif_id", "strand").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
+#: Motifs of six letters whose log-odds are whole quarters, so that every score is exact.
+SCANNED = [("S1", [[1.5, -2, -2, -1], [-2, 1.75, -2, -2], [-1, -2, 1.25, 0.5], [1.5, -2, -2, -2], [-2, -2, -2, 1.75], [0.25, 0.25, -1, -1]]), ("S2", [[-2, -2, 1.75, -2]] * 3 + [[0, 0, 0, 0], [-1, 1.5, -2, -1], [1.25, -2, -2, 0.75]])]
+SITE_P = 2e-3
+_WORDS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS motif_id, i, {' || '.join(f'substr($$ACGT$$, ((i // {4**j}) % 4 + 1)::INT, 1)' for j in range(6))} AS word, {' + '.join(f'[{', '.join(f'{v}::DOUBLE' for v in row)}][((i // {4**j}) % 4 + 1)::INT]' for j, row in enumerate(rows))} AS score FROM range(0, 4096) t(i)"
+    for name, rows in SCANNED
+)
+
+
+@query(f"""WITH {MD5_SQL}, wd AS ({_WORDS_SQL}), pw AS (SELECT motif_id, word, score, sum(c) OVER (PARTITION BY motif_id ORDER BY score DESC RANGE UNBOUNDED PRECEDING) / 4096.0::DOUBLE AS p FROM (SELECT *, 1 AS c FROM wd)),
+st AS (SELECT pair_id, which, doc_id, '+' AS strand, seq AS s FROM m UNION ALL SELECT pair_id, which, doc_id, '-', reverse(translate(seq,'ACGT','TGCA')) FROM m),
+pc AS (SELECT pair_id, which, doc_id, strand, length(s) AS n, j*128 AS o, substr(s, (j*128+1)::INT, 133) AS s FROM st, unnest(range(0, (length(s)+127)//128)) t(j)),
+hw AS (SELECT pair_id, which, doc_id, strand, n, o+i-1 AS pos, substr(s, i::INT, 6) AS word FROM pc, unnest(range(1, length(s)-4)) t(i))
+SELECT pair_id, which, doc_id, motif_id, strand, CASE strand WHEN '+' THEN pos ELSE n-6-pos END AS start, score, round(p,9) AS p_value FROM hw JOIN pw USING (word) WHERE p < {SITE_P}""")
+def motif_scan(spark: SparkSession, sf: str) -> DataFrame:
+    hits = tfbs.scan(md5_dna(spark, sf), _scanned(spark), "pair_id", "which", "doc_id", site_p=SITE_P)
+    return hits.select("pair_id", "which", "doc_id", "motif_id", "strand", "start", "score", F.round("p_value", 9).alias("p_value"))
+
+
+def _scanned(spark: SparkSession) -> DataFrame:
+    rows = [(name, name, 6, [[float(v) for v in r] for r in x], -100.0) for name, x in SCANNED]
+    return spark.createDataFrame(rows, "motif_id string, motif_alt_id string, w int, scores array<array<double>>, threshold double")
+
+
+@query()
+def motif_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """From sequences to enrichment: scan, q-values, surviving hits, counts of both sides, Fisher."""
+    hits = tfbs.with_q(tfbs.scan(md5_dna(spark, sf), _scanned(spark), "pair_id", "which", site_p=SITE_P))
+    return rounded(tfbs.volcano(tfbs.enrichment(tfbs.hit_counts(tfbs.surviving(hits, SITE_P)))))
+
+
+@query(f"""WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL}, d AS (SELECT pair_id, x, y, sum(CASE WHEN which='orig' THEN p ELSE -p END) AS d FROM pr GROUP BY ALL), l AS (SELECT pair_id, round(sum(abs(d)),9) AS v FROM d GROUP BY pair_id), r AS (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM l)
+SELECT (CASE WHEN hi>lo THEN least(14, floor((v-lo)/(hi-lo)*15)) ELSE 0 END)::INT AS bin, count(*) AS n FROM r GROUP BY 1""")
+def fcgr_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return fcgr.histogram(rounded(fcgr.l1(fcgr.cells(text_dna(spark, sf), K, "pair_id", "which")), 9), "l1_fcgr")
+
+
+@query(f"WITH {SCORE_SQL} SELECT item_id % 50 AS item, round(avg(score*4-2),6) AS logit, round(1/(1+exp(-avg(score*4-2))),6) AS prob FROM s GROUP BY 1")
+def item_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = scores(spark, sf).select((F.col("item_id") % 50).alias("item"), (F.col("score") * 4 - 2).alias("logit"))
+    return rounded(classifier.item_probabilities(chunks, "item"))
+
+
+@query(f"""WITH {SCORE_SQL}, r AS (SELECT tag AS holdout_tag, n_chars % 3 * 256 AS distance_bp, avg(score) AS auc, avg(label) AS acc FROM s GROUP BY ALL)
+SELECT distance_bp, round(avg(auc),6) AS mean_auc, round(stddev_samp(auc),6) AS std_auc, round(avg(acc),6) AS mean_acc, round(stddev_samp(acc),6) AS std_acc, count(DISTINCT holdout_tag) AS n_tags FROM r GROUP BY 1""")
+def distance_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = scores(spark, sf).groupBy(F.col("tag").alias("holdout_tag"), (F.col("n_chars") % 3 * 256).alias("distance_bp")).agg(F.avg("score").alias("auc"), F.avg("label").alias("acc"))
+    return rounded(classifier.distance_summary(s))
+
+
 EDGES = ", ".join(f"round(quantile_cont(length(seq), {i / 10}), 9)" for i in range(11))
 
 
@@ -276,7 +418,7 @@ def bins_truncated(spark: SparkSession, sf: str) -> DataFrame:
     return binning.truncated(text_dna(spark, sf).select("doc_id", F.length("seq").alias("len")), "len", 10)
 
 
-@query(f"""WITH {TEXT_SQL}, e AS (SELECT list_sort(list_distinct([{EDGES}])) AS e FROM g), a AS (SELECT doc_id, length(seq) AS l, CASE WHEN length(seq)=e[1] THEN 1 ELSE len(list_filter(e, lambda v: v < length(seq))) END AS pos, e FROM g, e)
+@query(f"""WITH {TEXT_SQL}, e0 AS (SELECT list_sort(list_distinct([{EDGES}])) AS e FROM g), e AS (SELECT list_append(e[1:greatest(1, len(e)-1)], e[len(e)]+1) AS e FROM e0), a AS (SELECT doc_id, length(seq) AS l, CASE WHEN length(seq)=e[1] THEN 1 ELSE len(list_filter(e, lambda v: v < length(seq))) END AS pos, e FROM g, e)
 SELECT doc_id, l::INT AS len, (pos-1)::INT AS bin, trunc(e[pos])::BIGINT AS "L_lo", trunc(e[pos+1])::BIGINT AS "L_hi" FROM a""")
 def bins_cut(spark: SparkSession, sf: str) -> DataFrame:
     return binning.cut(text_dna(spark, sf).select("doc_id", F.length("seq").alias("len")), "len", 10)

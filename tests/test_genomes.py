@@ -84,6 +84,58 @@ def test_windows_keep_their_distance(spark):
     assert rows(windows.spaced(d, 100, 20), "start") == [(0,), (130,), (300,)]
 
 
+def test_cut_bins(spark):
+    d = spark.createDataFrame([(x,) for x in range(1, 11)], "len int")
+    assert {(r.bin, r.L_lo, r.L_hi) for r in binning.cut(d, "len", 2).collect()} == {(0, 1, 5), (1, 5, 11)}
+    same = spark.createDataFrame([(7,)] * 4, "len int")
+    assert {(r.bin, r.L_lo, r.L_hi) for r in binning.cut(same, "len", 2).collect()} == {(0, 7, 8)}
+
+
+def test_p_values(spark):
+    d = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, 4.0, 5.0)] + [("b", 0.0)] * 3 + [("c", x) for x in (-1.0, 2.0, 3.0)] + [("d", 1.0)] * 60, "g string, d double")
+    two = {r.g: r.p for r in stats.wilcoxon_p(d, "d", "g").collect()}
+    assert two["a"] == 2 / 32 and two["b"] == 1.0 and two["c"] == 0.5 and two["d"] < 1e-10
+    one = {r.g: (r.p, r.test) for r in stats.location_p(d, "d", 0.0, "g").collect()}
+    assert one["a"] == (1 / 32, "wilcoxon") and one["b"][0] == 1.0
+    assert {r.g: (r.n, r.k) for r in stats.sign_test(d, "d", "g").collect()}["c"] == (3, 2)
+    m = spark.createDataFrame([("a", v, v > 3) for v in range(1, 7)] + [("b", 1, True)] + [("c", 1, k > 1) for k in range(4)], "g string, v int, f boolean")
+    p = {r.g: (r.u, r.p) for r in stats.mann_whitney_p(m, "v", F.col("f"), "g").collect()}
+    assert p["a"] == (9.0, pytest.approx(0.1)) and p["b"] == (None, None) and p["c"][1] == 1.0
+    z = spark.createDataFrame([(0.0,), (1.959964,), (-1.0,), (8.0,)], "z double").select("z", stats.normal_sf("z").alias("p")).collect()
+    assert all(math.isclose(r.p, math.erfc(r.z / math.sqrt(2)) / 2, rel_tol=2e-7) for r in z)
+
+
+def test_exact_nulls_by_enumeration():
+    from itertools import combinations, product
+
+    for n in (1, 4, 6):
+        sums = [sum(k + 1 for k in range(n) if b[k]) for b in product((0, 1), repeat=n)]
+        assert all(math.isclose(stats._subset_sums(n)[w], sum(s >= w for s in sums) / 2**n) for w in range(n * (n + 1) // 2 + 1))
+    for a, b in ((1, 3), (3, 4), (5, 2)):
+        us = [sum(c) - a * (a + 1) // 2 for c in combinations(range(1, a + b + 1), a)]
+        assert all(math.isclose(stats._rank_sums(a, b)[u], sum(x >= u for x in us) / len(us)) for u in range(a * b + 1))
+
+
+def test_motif_p_values_by_enumeration(spark):
+    from itertools import product
+
+    x = [[1.5, -2.0, 0.25, -1.0], [0.0, 0.5, -0.75, 1.0], [-1.0, 1.25, 0.5, -2.0]]
+    base = (0.3, 0.2, 0.1, 0.4)
+    least, tail = tfbs.score_tail(x, base)
+    words = [(sum(x[j][c] for j, c in enumerate(w)), math.prod(base[c] for c in w)) for w in product(range(4), repeat=3)]
+    assert all(math.isclose(tail[round(s * tfbs.GRAIN) - least], sum(p for t, p in words if t >= s - 1e-9)) for s, _ in words)
+    m = spark.createDataFrame([("M", "M", 3, x, 1.0)], "motif_id string, motif_alt_id string, w int, scores array<array<double>>, threshold double")
+    d = spark.createDataFrame([("a", "ATCATCNATC"), ("b", "GAT"), ("c", None), ("d", "AT")], "id string, seq string")
+    hits = tfbs.scan(d, m, "id", base=base)
+    want = []
+    for i, seq in (("a", "ATCATCNATC"), ("b", "GAT")):
+        for k in range(len(seq) - 2):
+            for strand, w in (("+", seq[k : k + 3]), ("-", seq[k : k + 3][::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                if "N" not in w and (score := sum(x[j]["ACGT".index(c)] for j, c in enumerate(w))) >= 1:
+                    want.append((i, strand, k, score, round(sum(p for t, p in words if t >= score - 1e-9), 9)))
+    assert sorted((r.id, r.strand, r.start, r.score, round(r.p_value, 9)) for r in hits.collect()) == sorted(want)
+
+
 def test_contiguous_bins(spark):
     d = spark.createDataFrame([(x,) for x in (1, 1, 1, 1, 5, 9, 20)], "len int")
     r = rows(binning.contiguous(d, "len", 3), "lo", "hi")
