@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
+from . import kmers
 
 HITS = "class string, start long, end long, strand string, score double"
 
@@ -26,25 +28,29 @@ def repeat_counts(seqs: DataFrame, unit: str, copies: int, *keep: str, seq: str
 
 
 def g4hunter_regions(seq: str, window: int = 25, threshold: float = 1.2) -> list[tuple[int, int, float]]:
-    """Merged windows whose mean run score is at least the threshold: a G in a run of n scores min(n, 4), a C the negative."""
-    score, i = [], 0
-    while i < len(seq):
-        j = i
-        while j < len(seq) and seq[j] == seq[i]:
-            j += 1
-        score += [{"G": 1, "C": -1}.get(seq[i], 0) * min(j - i, 4)] * (j - i)
-        i = j
-    out: list[list[int]] = []
-    total = sum(score[:window])
-    for a in range(len(score) - window + 1):
-        if abs(total) >= threshold * window:
-            if out and a <= out[-1][1]:
-                out[-1][1] = a + window
-            else:
-                out.append([a, a + window])
-        if a + window < len(score):
-            total += score[a + window] - score[a]
-    return [(a, b, sum(score[a:b]) / (b - a)) for a, b in out]
+    """Merged windows whose mean run score is at least the threshold, cut to whole runs of G or C at their ends.
+
+    A G in a run of n scores min(n, 4), a C the negative, anything else 0; a region scores its mean.
+    """
+    s = np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)
+    if len(s) < window:
+        return []
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    end = np.r_[begin[1:], len(s)]
+    sign = (s == ord("G")).astype(np.int64) - (s == ord("C"))
+    total = np.r_[0, np.cumsum(sign * np.minimum(np.repeat(end - begin, end - begin), 4))]
+    good = np.flatnonzero(np.abs(total[window:] - total[:-window]) >= threshold * window)
+    if not len(good):
+        return []
+    new = np.flatnonzero(np.r_[True, good[1:] > good[:-1] + window])
+    first, last = good[new], good[np.r_[new[1:] - 1, len(good) - 1]] + window
+    run = np.repeat(np.arange(len(begin)), end - begin)
+    out = []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        inside = np.flatnonzero(sign[a:b]) + a
+        a, b = int(begin[run[inside[0]]]), int(end[run[inside[-1]]])
+        out.append((a, b, float(total[b] - total[a]) / (b - a)))
+    return out
 
 
 #: Weights of dinucleotide steps towards Z-DNA.
@@ -52,29 +58,77 @@ Z_WEIGHTS = {"GC": 7.0, "CG": 7.0, "GT": 1.25, "AC": 1.25, "TG": 1.25, "CA": 1.2
 
 
 def zdna_regions(seq: str, minimum: float = 50.0, penalty: float = 3.0) -> list[tuple[int, int, float]]:
-    """Stretches with a best summed weight of at least the minimum; other steps cost a growing penalty."""
-    out, total, best, start, end, bad = [], 0.0, 0.0, 0, 0, 0
-    for i in range(len(seq) - 1):
-        w = Z_WEIGHTS.get(seq[i : i + 2])
-        bad = bad + 1 if w is None else 0
-        total += w if w is not None else -penalty * bad
-        if total > best:
-            best, end = total, i + 2
-        if total <= 0 or i == len(seq) - 2:
-            if best >= minimum:
-                out.append((start, end, best))
-            total = best = 0.0
-            start, bad = i + 1, 0
+    """All maximal stretches whose summed weight is at least the minimum; other steps cost a penalty that grows with their run.
+
+    A stretch ends at its best sum once the sum has fallen to zero or by more than the minimum; the search goes on behind that end.
+    """
+    out, i, last = [], 0, len(seq) - 1
+    while i < last:
+        total, best, end, bad, k = 0.0, 0.0, i, 0, i
+        while k < last:
+            w = Z_WEIGHTS.get(seq[k : k + 2])
+            bad = bad + 1 if w is None else 0
+            total += -penalty * bad if w is None else w
+            if total > best:
+                best, end = total, k + 2
+            if total <= 0 or best - total > minimum:
+                break
+            k += 1
+        if best >= minimum:
+            out.append((i, end, best))
+            i = end - 1
+        else:
+            i = k + 1
     return out
 
 
+def repeat_regions(seq: str, most_arm: int = 300) -> list[tuple[str, int, int, int]]:
+    """Direct, inverted, mirror and short tandem repeats: (class, start, end, arm or unit).
+
+    DR: equal arms of 10..most_arm, at most 10 apart.  IR: an arm of 6 or more and its reverse
+    complement, at most 100 apart.  MR: an arm of 10 or more and its reverse, at most 100 apart.
+    Arms of both are followed at least as far as most_arm.
+    STR: a unit of 1..9 at least 3 times and at least 10 letters.  Only the longest of the repeats with one shift or centre.
+    """
+    c = kmers.LETTERS[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)].astype(np.int16)
+    n, out, known = len(c), [], c < 4
+
+    def runs(match: np.ndarray) -> zip:
+        d = np.diff(np.r_[0, match.astype(np.int8), 0])
+        return zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)
+
+    for shift in range(1, min(n, most_arm + 11)):
+        same = (c[shift:] == c[:-shift]) & known[shift:]
+        for a, b in runs(same):
+            if shift <= 9 and b - a + shift >= max(10, 3 * shift) and not any(shift % u == 0 and seq[a : b + shift - u] == seq[a + u : b + shift] for u in range(1, shift)):
+                out.append(("STR", a, b + shift, shift))
+            arm = min(b - a, shift, most_arm)
+            if arm >= 10 and shift - arm <= 10:
+                out.append(("DR", a, a + shift + arm, arm))
+    for name, least, partner in (("IR", 6, 3 - c), ("MR", 10, c)):
+        for centre in range(1, 2 * n - 2):  # the sum of two paired places
+            lo = max(0, centre - n + 1, (centre + 1) // 2 - 50 - most_arm)
+            left = np.arange(lo, (centre + 1) // 2)
+            pair = (partner[left] == c[centre - left]) & known[left] & known[centre - left]
+            for a, b in runs(pair):
+                a, b = a + lo, b + lo
+                gap = centre - 2 * b + 1
+                if b - a >= least and gap <= 100:
+                    out.append((name, a, centre - a + 1, b - a))
+    return sorted(out)
+
+
 def call(seqs: DataFrame, caller: str, *keep: str, seq: str = "seq", **options: float) -> DataFrame:
-    """Hits of g4hunter or zdna as (keep, class, start, end, strand, score), 0-based and half open."""
-    regions, name = {"g4hunter": (g4hunter_regions, "GQ"), "zdna": (zdna_regions, "Z_DNA")}[caller]
+    """Hits of g4hunter, zdna or the repeat finder as (keep, class, start, end, strand, score), 0-based and half open."""
+    if caller == "repeats":
+        regions = lambda text, **o: [(a, b, float(arm), c) for c, a, b, arm in repeat_regions(text, **o)]
+    else:
+        find, name = {"g4hunter": (g4hunter_regions, "GQ"), "zdna": (zdna_regions, "Z_DNA")}[caller]
+        regions = lambda text, **o: [(a, b, s, name) for a, b, s in find(text, **o)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(*key, name, a, b, "." if name == "Z_DNA" else "+" if s > 0 else "-", s) for *key, text in pdf.itertuples(index=False) for a, b, s in regions(text or "", **options)]
+            rows = [(*key, c, a, b, ("+" if s > 0 else "-") if c == "GQ" else ".", s) for *key, text in pdf.itertuples(index=False) for a, b, s, c in regions(text or "", **options)]
             yield pd.DataFrame(rows, columns=[*keep, "class", "start", "end", "strand", "score"])
 
     schema = seqs.select(*keep).schema

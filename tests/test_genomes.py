@@ -73,10 +73,38 @@ def test_classifier_metrics(spark):
 
 
 def test_callers():
-    assert nonb.g4hunter_regions("A" * 30) == []
+    assert nonb.g4hunter_regions("A" * 30) == [] and nonb.g4hunter_regions("GG") == []
     (region,) = nonb.g4hunter_regions("A" * 20 + "GGGGTTGGGGTTGGGGTTGGGGTT" + "A" * 30)
-    assert region[2] > 1.2
+    assert region[:2] == (20, 42) and region[2] == 64 / 22  # from the first to the last run of G
     assert nonb.zdna_regions("AAAA" + "GC" * 10 + "AAAA")[0][:2] == (4, 25)  # the step from C to the first A counts too
+    both = nonb.zdna_regions("GC" * 15 + "A" * 9 + "GC" * 8 + "A" * 40)
+    assert [r[2] for r in both] == [204.25, 106.25]
+
+
+def test_repeats_by_brute_force():
+    import random
+
+    rng = random.Random(4)
+    comp = str.maketrans("ACGT", "TGCA")
+    for _ in range(8):
+        s = "".join(rng.choice("ACGTN" if rng.random() < 0.05 else "ACGT") for _ in range(60))
+        s = s[:40] + s[10:24] + "AC" * 7 + s[:12][::-1] + s[20:33][::-1].translate(comp)
+        found = nonb.repeat_regions(s)
+        for c, a, b, arm in found:
+            left, right = s[a : a + arm], s[b - arm : b]
+            assert "N" not in left
+            assert {"DR": left == right, "IR": left == right[::-1].translate(comp), "MR": left == right[::-1], "STR": all(s[i] == s[i + arm] for i in range(a, b - arm))}[c]
+        spans = {(c, a, b) for c, a, b, _ in found}
+        for name, least, turn in (("IR", 6, lambda x: x[::-1].translate(comp)), ("MR", 10, lambda x: x[::-1])):
+            for i in range(len(s) - least + 1):
+                for j in range(i + least, min(i + least + 101, len(s) - least + 1)):
+                    if "N" not in s[i : i + least] and s[j : j + least] == turn(s[i : i + least]):
+                        assert any(c == name and a <= i and j + least <= b and a + b == i + j + least for c, a, b in spans)
+
+
+def test_repeat_hits(spark):
+    d = spark.createDataFrame([("a", "ACACACACACACGT"), ("b", None)], "id string, seq string")
+    assert rows(nonb.call(d, "repeats", "id").where("class = 'STR'"), "id", "start", "end", "score") == [("a", 0, 12, 2.0)]
 
 
 def test_windows_keep_their_distance(spark):
@@ -200,8 +228,22 @@ def test_queries_match_sql(spark, sf, duck):
 def test_rows_only_queries(spark, sf):
     from strandlake.plans import genomes
 
-    for name in set(genomes.QUERIES) - set(genomes.ORACLE_SQL):
-        assert genomes.QUERIES[name](spark, sf).columns, name
+    seqs = [(r.pair_id, r.which, r.seq) for r in genomes.md5_dna(spark, sf).collect()]
+    for name, find, cls in (("g4hunter_hits", nonb.g4hunter_regions, "GQ"), ("zdna_hits", nonb.zdna_regions, "Z_DNA")):
+        got = rows(genomes.QUERIES[name](spark, sf), "pair_id", "which", "class", "start", "end", "score")
+        assert got == sorted((p, w, cls, a, b, s) for p, w, q in seqs for a, b, s in find(q)) and got
+    text = {str(r.doc_id): r.seq for r in genomes.text_dna(spark, sf).collect()}
+    starts = {}
+    for r in genomes.window_sample(spark, sf).collect():
+        starts.setdefault(r.name, []).append(r.start)
+        window = text[r.name][r.start : r.start + 200]
+        assert len(window) == 200 and window.count("N") <= 60
+    for own in starts.values():
+        own.sort()
+        assert all(b - a > 220 for a, b in zip(own, own[1:]))
+    volcano = genomes.motif_enrichment(spark, sf).collect()
+    hits = genomes.motif_scan(spark, sf)
+    assert sum(r.hits_orig + r.hits_syn for r in volcano) == hits.count()
 
 
 def test_entry_without_llm():
