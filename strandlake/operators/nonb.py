@@ -106,15 +106,22 @@ def repeat_regions(seq: str, most_arm: int = 300) -> list[tuple[str, int, int, i
             if arm >= 10 and shift - arm <= 10:
                 out.append(("DR", a, a + shift + arm, arm))
     for name, least, partner in (("IR", 6, 3 - c), ("MR", 10, c)):
-        for centre in range(1, 2 * n - 2):  # the sum of two paired places
-            lo = max(0, centre - n + 1, (centre + 1) // 2 - 50 - most_arm)
-            left = np.arange(lo, (centre + 1) // 2)
-            pair = (partner[left] == c[centre - left]) & known[left] & known[centre - left]
-            for a, b in runs(pair):
-                a, b = a + lo, b + lo
-                gap = centre - 2 * b + 1
-                if b - a >= least and gap <= 100:
-                    out.append((name, a, centre - a + 1, b - a))
+        # arms grow inwards: the run of pairs that ends at (i, i + d) is one longer than that at (i - 1, i + d + 1)
+        outer: dict[int, np.ndarray] = {}
+
+        def ended(d: int, run: np.ndarray, inner: np.ndarray | None) -> None:
+            stop = (run >= least) if inner is None else (run >= least) & ~inner[1 : len(run) + 1]
+            out.extend((name, i - r + 1, i + d + r, r) for i, r in zip(np.flatnonzero(stop).tolist(), run[stop].tolist(), strict=True) if d <= 101)  # noqa: B023
+
+        for d in range(min(n - 1, 101 + 2 * most_arm), 0, -1):
+            pair = (partner[: n - d] == c[d:]) & known[: n - d] & known[d:]
+            run = np.ones(n - d, dtype=np.int32)
+            if d + 2 in outer:
+                run[1 : n - d - 1] += outer[d + 2]
+                ended(d + 2, outer.pop(d + 2), pair)
+            outer[d] = run * pair
+        for d, run in outer.items():
+            ended(d, run, None)
     return sorted(out)
 
 

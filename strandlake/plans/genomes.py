@@ -263,6 +263,14 @@ def mann_whitney_u(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.mann_whitney(g, "len", F.col("grp") == "synthetic", "tag").drop("tied"))
 
 
+@query()
+def repeat_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits and covered letters of direct, inverted, mirror and tandem repeats of each sequence, zeros included."""
+    m = md5_dna(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # a letter costs far more than its shuffle
+    hits = nonb.call(m, "repeats", "pair_id", "which").withColumnRenamed("class", "motif").withColumn("class", F.col("motif"))
+    return nonb.zero_filled(nonb.metrics(hits, "pair_id", "which", "motif"), m, ["DR", "IR", "MR", "STR"], "pair_id", "which")
+
+
 MW_SQL = """r AS (SELECT tag, grp, length(seq) v, rank() OVER (PARTITION BY tag ORDER BY length(seq)) + (count(*) OVER (PARTITION BY tag, length(seq))-1)/2 AS r, count(*) OVER (PARTITION BY tag, length(seq)) AS t FROM g),
 u AS (SELECT tag, count(*) FILTER (grp='synthetic') AS n1, count(*) FILTER (grp<>'synthetic') AS n2, sum(r) FILTER (grp='synthetic') AS s, sum(t*t-1) AS ties FROM r GROUP BY tag),
 v AS (SELECT *, s-n1*(n1+1)/2 AS u FROM u), mw AS (SELECT *, ((u-n1*n2/2)-sign(u-n1*n2/2)*0.5)/sqrt(n1*n2/12*((n1+n2+1)-ties/((n1+n2)*(n1+n2-1)))) AS z FROM v)"""

@@ -232,6 +232,12 @@ def test_rows_only_queries(spark, sf):
     for name, find, cls in (("g4hunter_hits", nonb.g4hunter_regions, "GQ"), ("zdna_hits", nonb.zdna_regions, "Z_DNA")):
         got = rows(genomes.QUERIES[name](spark, sf), "pair_id", "which", "class", "start", "end", "score")
         assert got == sorted((p, w, cls, a, b, s) for p, w, q in seqs for a, b, s in find(q)) and got
+    want = {(p, w, c): [0, 0] for p, w, _ in seqs for c in ("DR", "IR", "MR", "STR")}
+    for p, w, q in seqs:
+        for c, a, b, _ in nonb.repeat_regions(q):
+            want[p, w, c][0] += 1
+            want[p, w, c][1] += b - a
+    assert rows(genomes.repeat_metrics(spark, sf), "pair_id", "which", "motif", "n_hits", "bp_covered") == sorted((*k, *v) for k, v in want.items())
     text = {str(r.doc_id): r.seq for r in genomes.text_dna(spark, sf).collect()}
     starts = {}
     for r in genomes.window_sample(spark, sf).collect():
