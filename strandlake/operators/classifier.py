@@ -55,7 +55,7 @@ def fold_summary(folds: DataFrame, *by: str) -> DataFrame:
     """Means over tags, the smallest AUC and its tag."""
     return folds.groupBy(*by).agg(
         F.avg("auc").alias("mean_auc"), F.avg("f1").alias("mean_f1"), F.avg("acc").alias("mean_acc"), F.min("auc").alias("min_auc"),
-        F.min_by("holdout_tag", F.struct("auc", "holdout_tag")).alias("worst_tag"), F.count_distinct("holdout_tag").alias("n_tags"),
+        F.min_by("holdout_tag", F.when(F.col("auc").isNotNull(), F.struct("auc", "holdout_tag"))).alias("worst_tag"), F.count_distinct("holdout_tag").alias("n_tags"),
     )
 
 
@@ -92,3 +92,62 @@ def shuffled_labels(items: DataFrame, seed: int, tag: str = "tag", key: str = "i
     a = items.withColumn("_r", F.row_number().over(W.partitionBy(tag).orderBy(key)))
     b = items.select(F.col(tag).alias("_t"), F.col("label").alias("_l"), F.row_number().over(W.partitionBy(tag).orderBy(order, key)).alias("_q"))
     return a.join(b, (F.col(tag) == F.col("_t")) & (F.col("_r") == F.col("_q"))).drop("label", "_r", "_t", "_q").withColumnRenamed("_l", "label")
+
+
+#: The bases in the order of a one-hot matrix's rows.
+BASES = "ACGT"
+
+
+def one_hot(chunk: str = "chunk"):
+    """Four arrays of 0 and 1, for A, C, G and T; other letters are zero in all of them, lower case counts."""
+    letters = F.split(F.upper(F.col(chunk)), "")
+    row = lambda b: F.transform(letters, lambda x: (x == b).cast("tinyint"))
+    return F.when(F.length(chunk) == 0, F.transform(F.array(*map(F.lit, BASES)), lambda _: F.array().cast("array<tinyint>"))).otherwise(F.array(*map(row, BASES)))
+
+
+def labelled(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Pairs (orig, syn) as one row a file: keep, which, label (orig 0, syn 1) and file."""
+    side = lambda name, label: F.struct(F.lit(name).alias("which"), F.lit(label).alias("label"), F.col(name).alias("file"))
+    return pairs.select(*keep, F.explode(F.array(side("orig", 0), side("syn", 1))).alias("_x")).select(*keep, "_x.*")
+
+
+def distance_rows(scores: DataFrame, distances: list[int], threshold: float, tag: str = "tag") -> DataFrame:
+    """AUROC and the metrics at a threshold for every tag and distance; null where a class is missing, with n_used.
+
+    ``scores`` is (tag, distance_bp, label, score).  The grid is as large as the result.
+    """
+    grid = scores.select(tag).distinct().select(tag, F.explode(F.array(*map(F.lit, distances))).alias("distance_bp"))
+    s = scores.withColumn("distance_bp", F.col("distance_bp").cast("int"))
+    m = at_threshold(s, threshold, tag, "distance_bp").join(auroc(s, tag, "distance_bp"), [tag, "distance_bp"])
+    g = grid.join(m, [tag, "distance_bp"], "left")
+    known = F.col("auc").isNotNull()
+    return g.select(
+        F.col(tag).alias("holdout_tag"), "distance_bp", "auc", *(F.when(known, F.col(c)).alias(c) for c in ("acc", "f1", "precision", "recall")),
+        F.lit(float(threshold)).alias("thr"), F.coalesce(F.col("n_pos") + F.col("n_neg"), F.lit(0)).alias("n_used"),
+    )
+
+
+def allowed(rows: DataFrame, allow: DataFrame, domain: str = "domain", tag: str = "tag") -> DataFrame:
+    """Rows whose tag is listed for their domain; a domain that is not listed keeps all of its rows."""
+    names = allow.select(F.col("domain").alias("_d"), F.col("tag").alias("_t")).distinct()
+    listed = rows.join(names, (F.col(domain) == F.col("_d")) & (F.col(tag) == F.col("_t")), "left_semi")
+    free = rows.join(names.select("_d").distinct(), F.col(domain) == F.col("_d"), "left_anti")
+    return listed.unionByName(free)
+
+
+def by_chunk_count(rows: DataFrame, metric: str) -> DataFrame:
+    """Mean and sample deviation of a metric and the number of tags for each domain and n_eval_chunks; rows without a count are left out."""
+    return rows.where(F.col("n_eval_chunks").isNotNull()).groupBy("domain", "n_eval_chunks").agg(
+        F.avg(metric).alias("mean_metric"), F.stddev_samp(metric).alias("std_metric"), F.count_distinct("holdout_tag").alias("n_tags")
+    )
+
+
+def merged(tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables of several domains one under another, with their domain; a column that one lacks is null there."""
+    out = None
+    for name, t in tables.items():
+        t = t.withColumn("domain", F.lit(name))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no tables to merge")
+    return out

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,19 +44,31 @@ def codes(base: np.ndarray, first: np.ndarray, k: int, canonical: bool = False)
     return (np.minimum(forward, back) if canonical else forward)[good], row[good]
 
 
-def code_counts(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    """(by, code, n): k-mers (k of 31 at most) as numbers, first counted within each sequence, so that only numbers are shuffled."""
-    if not 1 <= k <= 31:
-        raise ValueError("k must be within 1..31")
+def code_counts(seqs: DataFrame, k: int | str, *by: str, seq: str = "seq", canonical: bool = False) -> DataFrame:
+    """(by, code, n): k-mers (k of 31 at most) as numbers, first counted within each sequence, so that only numbers are shuffled.
+
+    ``k`` may be the name of a ``by`` column with each sequence's own k.
+    """
+    if k not in by if isinstance(k, str) else not 1 <= k <= 31:
+        raise ValueError("k must be within 1..31 or name a column to group by")
     if by:
         keyed = seqs.select(*by, F.col(seq).alias("_s"))
     else:
         keyed = seqs.select(F.lit(0).alias("_one"), F.col(seq).alias("_s"))
     keys = keyed.columns[:-1]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_k(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
         for batch in batches:
-            code, row = codes(*letters(batch.column("_s")), k, canonical)
+            if isinstance(k, int):
+                yield batch, k
+                continue
+            own = batch.column(k)
+            for one in own.unique().drop_null().to_pylist():
+                yield batch.filter(pc.equal(own, one)), one
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, size in own_k(batches):
+            code, row = codes(*letters(batch.column("_s")), size, canonical)
             if by:
                 order = np.lexsort((code, row))
                 code, row = code[order], row[order]
@@ -123,6 +136,23 @@ def pair_metrics(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "wh
     return distances(paired_support(spec, pair, side), pair).join(lengths, pair).withColumn("k_used", F.lit(k))
 
 
+def own_k(seqs: DataFrame, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
+    """Effective lengths and k of each pair: the k that suits its shorter side, and ``status``, missing_fasta if a side has no row."""
+    lengths = seqs.groupBy(pair).agg(*(F.sum(F.when(F.col(side) == s, dna.effective_length(seq))).alias(f"L_{s}_ACGT") for s in ("orig", "syn")))
+    both = F.col("L_orig_ACGT").isNotNull() & F.col("L_syn_ACGT").isNotNull()
+    k = F.when(both, dna.auto_k(F.least("L_orig_ACGT", "L_syn_ACGT"))).alias("k_used")
+    return lengths.select(pair, k, "L_orig_ACGT", "L_syn_ACGT", F.when(both, "ok").otherwise("missing_fasta").alias("status"))
+
+
+def pair_metrics_own_k(seqs: DataFrame, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
+    """As ``pair_metrics``, each pair with its own k; a pair without both sides keeps its row with a status and null distances."""
+    rows = own_k(seqs, pair, side, seq)
+    keyed = seqs.select(pair, side, F.col(seq).alias("seq")).join(rows.where(F.col("status") == "ok").select(pair, "k_used"), pair)
+    spec = spectrum(code_counts(keyed, "k_used", pair, side, "k_used"), pair, side, "k_used")
+    spec = spec.withColumn("pmf", F.col("n_x") / F.pow(F.lit(4.0), F.col("k_used")))
+    return rows.join(distances(paired_support(spec, pair, side), pair), pair, "left")
+
+
 def support_stats(support: DataFrame) -> DataFrame:
     """Over all pairs, for each abundance: mean and central 95 % of both pmfs, cdfs and the cdf difference.
 

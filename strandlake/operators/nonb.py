@@ -177,3 +177,9 @@ def significance(pairs: DataFrame) -> DataFrame:
 
 def mark(q):
     return F.when(q < 0.01, "**").when(q < 0.05, "*").when(q < 0.10, "•").otherwise("")
+
+
+def quartiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """What a box plot shows of each group: n, low, q1, middle, q3, high."""
+    at = lambda q: F.percentile(value, F.lit(q))
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).cast("double").alias("low"), at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"), F.max(value).cast("double").alias("high"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +43,48 @@ def spaced(possible: DataFrame, length: int, min_gap: int) -> DataFrame:
     g = possible.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("try", "start"))).alias("c"))
     fold = F.aggregate("c", F.array().cast("array<int>"), lambda kept, x: F.when(clash(kept, x["start"]), kept).otherwise(F.concat(kept, F.array(x["start"]))))
     return g.select("name", F.explode(fold).alias("start"))
+
+
+def filled(contigs: DataFrame, length: int, min_gap: int, max_n_ratio: float, seed: int, seq: str = "seq", tries: int = 20_000, relaxed_tries: int = 50_000) -> DataFrame:
+    """As many windows of each contig (name, seq, n_windows) as it was given: name, start, length, relaxed, window.
+
+    Places are drawn one after another from the seed and the contig's name; one
+    that is rich in N or nearer than ``min_gap`` to a window already taken is
+    rejected.  After ``tries`` the rest is drawn without the test for N
+    (``relaxed``), up to ``relaxed_tries``; a contig without room gets fewer.  A
+    contig shorter than a window is one window.  Each contig is a row of its
+    own, so nothing is shuffled.
+    """
+
+    def sample(batches):
+        for batch in batches:
+            names, starts, sizes, loose, cut = [], [], [], [], []
+            for name, text, need in zip(batch["name"].to_pylist(), batch["_s"].to_pylist(), batch["n_windows"].to_pylist(), strict=True):
+                size = min(length, len(text))
+                if not size or not need:
+                    continue
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
+                letters = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+                n_before = np.r_[0, np.cumsum((letters == ord("N")) | (letters == ord("n")))]
+                taken: list[int] = []  # sorted, at least min_gap apart: only the neighbours can clash
+                for relax, limit in ((False, tries), (True, relaxed_tries)):
+                    got = len(taken)
+                    for start in rng.integers(0, len(text) - size + 1, limit if got < need else 0).tolist():
+                        if not relax and n_before[start + size] - n_before[start] > max_n_ratio * size:
+                            continue
+                        at = bisect.bisect(taken, start)
+                        if (at and start <= taken[at - 1] + size - 1 + min_gap) or (at < len(taken) and taken[at] <= start + size - 1 + min_gap):
+                            continue
+                        taken.insert(at, start)
+                        names.append(name), starts.append(start), sizes.append(size), loose.append(relax), cut.append(text[start : start + size])
+                        if len(taken) == need:
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(loose, pa.bool_()), pa.array(cut, pa.string())], names=["name", "start", "length", "relaxed", "window"])
+
+    rows = contigs.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce(F.col(seq), F.lit("")).alias("_s"), F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"))
+    return rows.where("n_windows > 0").mapInArrow(sample, "name string, start long, length long, relaxed boolean, window string")
+
+
+def window_header(name: str = "name", start: str = "start", length: str = "length"):
+    """The FASTA header of a window: the contig and its place, counted from one, both ends included."""
+    return F.concat(F.col(name), F.lit(":"), (F.col(start) + 1).cast("string"), F.lit("-"), (F.col(start) + F.col(length)).cast("string"))

@@ -498,12 +498,6 @@ def window_allocation(spark: SparkSession, sf: str) -> DataFrame:
     return windows.allocation(text_dna(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.length("seq").alias("length")), 100)
 
 
-@query()
-def window_sample(spark: SparkSession, sf: str) -> DataFrame:
-    c = text_dna(spark, sf).select(F.col("doc_id").cast("string").alias("name"), "seq")
-    return windows.spaced(windows.candidates(c, 200, 10, 5, 0.3), 200, 20)
-
-
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL")
 def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(streams.windowed_counts(spark.read.parquet(f"{sf}/events.parquet"), "ts", "event_type", "value"), 4)

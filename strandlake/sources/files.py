@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import dna, names
 
 
 def fasta(spark: SparkSession, paths: str | list[str], softmask_to_n: bool = False) -> DataFrame:
@@ -96,6 +96,87 @@ def fimo(spark: SparkSession, path: str) -> DataFrame:
     return t.select("motif_id", "motif_alt_id", _number("p-value").alias("p_value"), _number("q-value").alias("q_value")).na.drop(subset=["p_value", "q_value"])
 
 
+def delimiter(spark: SparkSession, path: str) -> str:
+    """A comma if the first line has more commas than tabs, else a tab; an empty file gives a tab."""
+    first = spark.read.text(path).head()
+    line = first[0] if first else ""
+    return "," if line.count(",") > line.count("\t") else "\t"
+
+
+def headed(spark: SparkSession, path: str, required: tuple[str, ...] = (), sep: str | None = None) -> DataFrame:
+    """A headed table whose delimiter is told by its first line, with columns that it must have."""
+    t = spark.read.option("sep", sep or delimiter(spark, path)).option("header", True).csv(path)
+    if missing := set(required) - set(t.columns):
+        raise ValueError(f"{path} lacks {sorted(missing)}")
+    return t
+
+
+def g4hunter(spark: SparkSession, path: str) -> DataFrame:
+    """Quadruplex calls in the tidy form of all callers; rows without a place are left out, a missing length is end minus start."""
+    t = headed(spark, path, ("seqID", "start", "end"), "\t")
+    has = lambda c, otherwise: F.col(c) if c in t.columns else otherwise
+    start, end = (_number(c).cast("long") for c in ("start", "end"))
+    length = _number("length").cast("long") if "length" in t.columns else end - start
+    score = _number("score") if "score" in t.columns else F.lit(None).cast("double")
+    out = t.select(
+        F.lit("g4hunter").alias("source"), has("type", F.lit("pG4")).alias("class"), F.col("seqID").alias("contig"), start.alias("start"), end.alias("end"),
+        has("strand", F.lit(".")).alias("strand"), score.alias("score"), length.alias("length"),
+    )
+    return out.na.drop(subset=["start", "end"])
+
+
+def hits_per_file(hits: DataFrame, path: str = "path", one_format: bool = False) -> DataFrame:
+    """Hits and covered bases of each (pair_id, which, motif) file from (path, start, end); the directory is the pair, the name tells the rest.
+
+    Files whose side or motif is not told are left out.  With ``one_format`` a
+    caller's second file of the same hits (.gff beside .tsv) doesn't count.
+    """
+    named = hits.select(
+        F.col(path).alias("_p"), F.element_at(F.split(path, "/"), -2).alias("pair_id"), names.side_in(path).alias("which"), names.motif_in(path).alias("motif"),
+        F.greatest(F.lit(0), F.col("end") - F.col("start")).alias("_bp"),
+    ).where("which <> 'unk' AND motif <> 'UNK'")
+    files = named.groupBy("pair_id", "which", "motif", "_p").agg(F.count("*").alias("n_hits"), F.sum("_bp").alias("bp_covered"))
+    if one_format:
+        files = files.groupBy("pair_id", "which", "motif").agg(F.max_by(F.struct("n_hits", "bp_covered"), "_p").alias("_x")).select("pair_id", "which", "motif", "_x.*")
+    return files.drop("_p")
+
+
+def pair_tables(spark: SparkSession, pattern: str) -> DataFrame:
+    """All Parquet files that match; unreadable ones are skipped, columns are merged by name."""
+    return spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(pattern)
+
+
+def support_tables(spark: SparkSession, folder: str, tag: str | None = None, k: int | None = None) -> DataFrame:
+    """All ``*.support_stats.csv`` below a folder: tag, k, bin, lo, hi from the name, x and the mean cdfs; of a tag and a k if given."""
+    t = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.support_stats.csv").csv(folder)
+    if missing := {"abundance", "nat_cdf_mean", "syn_cdf_mean", "delta_cdf_mean"} - set(t.columns):
+        raise ValueError(f"support tables lack {sorted(missing)}")
+    name = F.col("_metadata.file_name")
+    t = t.where(names.has_prefix(name, tag, k)).select(names.support_parts(name).alias("_n"), "*")
+    numbers = (("abundance", "x", "long"), ("nat_cdf_mean", "nat", "double"), ("syn_cdf_mean", "syn", "double"), ("delta_cdf_mean", "delta", "double"))
+    return t.select("_n.*", *(_number(c).cast(kind).alias(to) for c, to, kind in numbers))
+
+
+def summary_order(summaries: DataFrame) -> DataFrame:
+    """By tag, k (unknown first) and bin (unknown last)."""
+    return summaries.orderBy("tag", F.coalesce("k", F.lit(-1)), F.coalesce("bin", F.lit(1_000_000_000)))
+
+
+def general_format(x: Column, digits: int = 6) -> Column:
+    """A number as the general format (%g) of so many digits writes it."""
+    shown = F.format_string(f"%.{digits - 1}e", x)
+    power = F.substring_index(shown, "e", -1).try_cast("int")  # null for what is not finite
+    trim = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    fixed = F.coalesce(*(F.when(power == p, F.format_string(f"%.{max(0, digits - 1 - p)}f", x)) for p in range(-4, digits)))
+    mantissa, exponent = trim(F.substring_index(shown, "e", 1)), F.substring_index(shown, "e", -1)
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0").when(power.between(-4, digits - 1), trim(fixed)).otherwise(F.concat(mantissa, F.lit("e"), exponent))
+
+
+def formatted_numbers(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Every double as text of so many digits, null as nan: what a metrics CSV holds."""
+    return df.select(*(F.coalesce(general_format(F.col(f"`{c}`"), digits), F.lit("nan")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
 def write_fasta(records: DataFrame, path: str, width: int = 60) -> None:
     """Text files of record_id and seq, wrapped."""
     body = F.regexp_replace("seq", f"(.{{{width}}})(?!$)", "$1\n")
