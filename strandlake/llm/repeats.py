@@ -340,7 +340,8 @@ def removed(docs: DataFrame, m: Method, id_col: str, text_col: str, hot: int | N
 
 def _passes(texts: DataFrame, size: int, m: Method, hot: int, made: list[DataFrame]) -> DataFrame:
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counters, groups = max(n, -(-size // COUNT_BYTES)), max(n, -(-size // GROUP_BYTES))
+    counters, tasks = max(n, -(-size // COUNT_BYTES)), max(n, -(-size // (2 * GROUP_BYTES)))
+    groups = 8 * tasks  # several for each task, so that chance doesn't give one task many times its share
 
     def keys(table: pa.Table) -> pa.Table:
         a = m.anchors(Texts.of(table, m.words))
@@ -460,10 +461,10 @@ def _passes(texts: DataFrame, size: int, m: Method, hot: int, made: list[DataFra
         return made[-1]
 
     by_chunk = texts.groupBy("chunk")
-    # the number of tasks grows with the data, two groups of anchors for each
+    # the number of tasks grows with the data
     repeated = kept(by_chunk.applyInArrow(keys, KEYS).repartition(counters, "bucket").groupBy("bucket").applyInArrow(repeated_keys, NOTES))
     records = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(send, RECORDS)
-    verdicts = kept(records.repartition(max(n, groups // 2), "bucket").groupBy("bucket").applyInArrow(settle, NOTES))
+    verdicts = kept(records.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle, NOTES))
     return materialize(by_chunk.cogroup(repeated.unionAll(verdicts).groupBy("chunk")).applyInArrow(mark, m.schema))
 
 
