@@ -100,9 +100,14 @@ def phrases(t: Texts, window: int = WINDOW, gram: int = GRAM, modulus: int = MOD
 
 
 def sorted_with_common(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows of symbols, and how many first ones each row in this order shares with the one before."""
+    """The order of rows of symbols, and how many first ones each row in this order shares with the one before.
+
+    Rows are padded with zeros, which the comparison of byte strings ignores, so rows that differ only in how many
+    zeros they end with are ordered by size first.
+    """
     rows = np.ascontiguousarray(rows)
-    order = np.argsort(rows.view(f"S{rows.shape[1] * rows.itemsize}").ravel(), kind="stable")
+    order = np.argsort(size, kind="stable")
+    order = order[np.argsort(rows.view(f"S{rows.shape[1] * rows.itemsize}").ravel()[order], kind="stable")]
     s = rows[order]
     differ = np.pad(s[1:] != s[:-1], ((0, 0), (0, 1)), constant_values=True)
     return order, np.r_[-1, np.minimum(differ.argmax(axis=1), np.minimum(size[order][1:], size[order][:-1]))]
