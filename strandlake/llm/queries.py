@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, packing, parsing, quality_rules, sharding, simhash, suffix_trees, toxicity
+from . import chat, exact_dedup, filter_audit, mixing, packing, parsing, pii, quality_rules, sharding, simhash, suffix_trees, toxicity, whitening
 from .common import read_table
 
 
@@ -53,7 +53,19 @@ def op10_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op7_suffix_trees, op8_simhash, op9_quality_rules, op10_parsing)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_chat, op3_mixing, op4_exact_dedup, op5_toxicity, op6_packing, op7_suffix_trees, op8_simhash, op9_quality_rules, op10_parsing, op11_pii, op12_whitening, op13_filter_audit)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text,''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -103,7 +115,27 @@ b AS (SELECT *, ({bits})::BIGINT AS failure_bits FROM m)
 SELECT *, (failure_bits & {quality_rules.BASE.mask}) <> 0 AS base_failed, (failure_bits & {mask}) = 0 AS kept, '{quality_rules.DEFAULT_POLICY}' AS policy FROM b"""
 
 
-#: Sharding and SimHash need hashes that DuckDB lacks, toxicity and packing a trained model and a tokenizer.
+def _audit_sql() -> str:
+    fails = {
+        "A": "len(w) < 200", "B": "100 * len(list_distinct(w)) < 50 * len(w)", "C": "100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t)",
+        "D": "regexp_matches(t, '[#$%&*|]')", "E": "coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)",
+    }
+    letters = " || ".join(f"CASE WHEN {c} THEN '{f}' ELSE '' END" for f, c in fails.items())
+    orders = ", ".join(f"'{o}'" for o in filter_audit.ORDERS)
+    gone = "translate(substr(o, 1, s - 1), f, '') <> substr(o, 1, s - 1)"
+    hit = "contains(f, substr(o, s, 1))"
+    total = lambda what, cond, name: f"coalesce(sum({what}) FILTER ({cond}), 0)::BIGINT AS {name}"
+    return f"""WITH t AS (SELECT doc_id, coalesce(source,'') AS part, coalesce(text,'') AS t, {_WORDS} AS w FROM documents), m AS (SELECT doc_id, part, {letters} AS f FROM t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+c AS (SELECT part, f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY part, f),
+x AS (SELECT part, f, n, good, bad, o, s::INT AS s FROM c, unnest([{orders}]) a(o), unnest(range(1, 6)) b(s)),
+g AS (SELECT part, o AS filter_order, s AS step, substr(o, s, 1) AS "filter", {total("n", f"NOT ({gone}) AND NOT {hit}", "kept")}, {total("n", f"NOT ({gone}) AND {hit}", "removed")}, {total("n", f"({gone}) AND {hit}", "redundant")},
+ {total("n", "f = substr(o, s, 1)", "unique_fails")}, {total("good", f"NOT ({gone}) AND {hit}", "good_lost")}, {total("bad", f"NOT ({gone}) AND {hit}", "toxic_lost")} FROM x GROUP BY part, o, s)
+SELECT *, (sum(removed) OVER (PARTITION BY part, "filter"))::BIGINT AS shapley FROM g"""
+
+
+#: Sharding and SimHash need hashes that DuckDB lacks, toxicity, personal data and packing a trained model
+#: or a tokenizer, whitening an eigenvalue solver.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations
 UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
@@ -120,6 +152,7 @@ l AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM s GROUP BY 1), v AS (SELE
 k AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.p) AS kept FROM v LEFT JOIN s ON v.doc_id = s.doc_id AND v.p = s.p WHERE s.p IS NULL GROUP BY 1)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN k ON t.doc_id = k.doc_id""",
     "op9_quality_rules": _quality_sql(),
+    "op13_filter_audit": _audit_sql(),
     "op10_parsing": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text,''))) AS x FROM documents),
 c AS (SELECT doc_id, j * 128 AS o, substr(x, (j * 256 + 1)::BIGINT, 454) AS c FROM t, unnest(range(0, (length(x) // 2 + 127) // 128)) u(j)),
 w AS (SELECT doc_id, o + i AS s, hash(substr(c, (2 * i + 1)::BIGINT, 200)) AS h FROM c, unnest(range(0, least(128, length(c) // 2 - 99))) u(i)),
