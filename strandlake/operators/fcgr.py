@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kmers
+from . import kmers, superkmers
 
 
 def cells(seqs: DataFrame, k: int, *by: str, seq: str = "seq") -> DataFrame:
@@ -28,6 +28,26 @@ def l1(cell: DataFrame, pair: str = "pair_id", side: str = "which") -> DataFrame
     return both.groupBy(pair).agg(F.sum(F.abs("d")).alias("l1_fcgr"))
 
 
+def joint_l1(joint: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """The same from a pair's joint spectrum, with the total k-mers of both sides; a side without k-mers counts as an empty matrix."""
+    totals = joint.groupBy(pair).agg(F.sum(F.col("orig") * F.col("n")).alias("orig_total_kmers"), F.sum(F.col("syn") * F.col("n")).alias("syn_total_kmers"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"{c}_total_kmers")), F.lit(0.0))
+    rows = joint.join(totals, pair).groupBy(pair, "orig_total_kmers", "syn_total_kmers")
+    return rows.agg(F.sum(F.abs(share("orig") - share("syn")) * F.col("n")).alias("l1_fcgr"))
+
+
+def pair_rows(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
+    """The result row of each pair: status, lengths of all letters, total k-mers and the L1 distance; null where a side is missing."""
+    lengths = seqs.groupBy(pair).agg(*(F.sum(F.when(F.col(side) == s, F.length(seq))).alias(f"{s}_len") for s in ("orig", "syn")))
+    found = joint_l1(superkmers.joint_spectrum(seqs, k, pair, side, seq), pair)
+    both = F.col("orig_len").isNotNull() & F.col("syn_len").isNotNull()
+    j = lengths.join(found, pair, "left").withColumn("status", F.when(both, "ok").otherwise("missing_fasta"))
+    return j.select(
+        pair, "status", "orig_len", "syn_len", *(F.when(both, F.coalesce(c, F.lit(0))).alias(c) for c in ("orig_total_kmers", "syn_total_kmers")),
+        F.when(both, F.coalesce("l1_fcgr", F.lit(0.0))).alias("l1_fcgr"),
+    )
+
+
 def mean_matrix(cell: DataFrame, entity: str, *by: str) -> DataFrame:
     """Mean probability of each cell over all entities of a group; absent cells count as zero."""
     p = normalised(cell, *by, entity)

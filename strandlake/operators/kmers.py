@@ -131,7 +131,9 @@ def distances(support: DataFrame, pair: str = "pair_id", eps: float = 1e-12) ->
 
 def pair_metrics(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
     """The result row of each pair: distances and effective lengths."""
-    spec = pmf(spectrum(counts(seqs, k, pair, side, seq=seq), pair, side), k)
+    from . import superkmers  # it builds on this module
+
+    spec = superkmers.both_spectra(superkmers.joint_spectrum(seqs, k, pair, side, seq), k, pair)
     lengths = seqs.groupBy(pair).agg(*(F.sum(F.when(F.col(side) == s, dna.effective_length(seq))).alias(f"L_{s}_ACGT") for s in ("orig", "syn")))
     return distances(paired_support(spec, pair, side), pair).join(lengths, pair).withColumn("k_used", F.lit(k))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kmers
+from . import kmers, superkmers
 
 
 def presence(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", canonical: bool = True) -> DataFrame:
@@ -16,10 +16,17 @@ def presence(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which"
 
 
 def pair_metrics(present: DataFrame, pair: str = "pair_id") -> DataFrame:
+    return metrics_by(present, pair)
+
+
+def metrics_by(present: DataFrame, *by: str) -> DataFrame:
     o, s = F.col("in_orig"), F.col("in_syn")
-    m = present.groupBy(pair).agg(
+    return _rates(present.groupBy(*by).agg(
         F.count_if(o).alias("orig_unique"), F.count_if(s).alias("syn_unique"), F.count_if(o & s).alias("shared_unique"), F.count_if(o & ~s).alias("missing_in_syn"), F.count_if(s & ~o).alias("novel_in_syn")
-    )
+    ))
+
+
+def _rates(m: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     return m.select(
         "*",
@@ -29,6 +36,30 @@ def pair_metrics(present: DataFrame, pair: str = "pair_id") -> DataFrame:
     )
 
 
+def joint_metrics(joint: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """The same from a pair's joint spectrum, without a row for each k-mer."""
+    o, s, n = F.col("orig") > 0, F.col("syn") > 0, F.col("n")
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    return _rates(joint.groupBy(pair).agg(
+        total(o).alias("orig_unique"), total(s).alias("syn_unique"), total(o & s).alias("shared_unique"), total(o & ~s).alias("missing_in_syn"), total(s & ~o).alias("novel_in_syn")
+    ))
+
+
+STATUSES = ("ok", "missing_fasta", "empty_kmc_db")  # fixed values
+
+
+def pair_rows(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
+    """The result row of every pair with k and its status: a side without a row is missing, one without k-mers is empty; such rows are zero."""
+    sides = seqs.groupBy(pair).agg(F.count_if(F.col(side) == "orig").alias("_o"), F.count_if(F.col(side) == "syn").alias("_s"))
+    j = sides.join(joint_metrics(superkmers.joint_spectrum(seqs, k, pair, side, seq, canonical=True), pair), pair, "left")
+    missing = (F.col("_o") == 0) | (F.col("_s") == 0)
+    empty = (F.coalesce("orig_unique", F.lit(0)) == 0) | (F.coalesce("syn_unique", F.lit(0)) == 0)
+    values = [c for c in j.columns if c not in (pair, "_o", "_s")]
+    shown = lambda c: F.when(missing | empty | F.col(c).isNull(), F.lit(0)).otherwise(F.col(c)).alias(c)
+    status = F.when(missing, STATUSES[1]).when(empty, STATUSES[2]).otherwise(STATUSES[0])
+    return j.select(pair, F.lit(k).alias("k"), *map(shown, values), status.alias("status"))
+
+
 def fractions(seqs: DataFrame, ks: list[int], *by: str, canonical: bool = True) -> DataFrame:
     """Per entity and k: distinct k-mers, the space of 4 ** k, and how much of it is unused; zero-hit entities included."""
     out = None
@@ -36,6 +67,11 @@ def fractions(seqs: DataFrame, ks: list[int], *by: str, canonical: bool = True)
         seen = kmers.code_counts(seqs, k, *by, canonical=canonical).groupBy(*by).agg(F.count("*").alias("_n"))
         one = seqs.select(*by).distinct().join(seen, [*by], "left").select(*by, F.lit(k).alias("k"), F.coalesce("_n", F.lit(0)).alias("observed_distinct_kmers"))
         out = one if out is None else out.unionByName(one)
+    return with_space(out)
+
+
+def with_space(out: DataFrame) -> DataFrame:
+    """Of (k, observed_distinct_kmers): the space of 4 ** k and how much of it is unused."""
     space = F.pow(F.lit(4.0), "k").cast("long")
     return out.select("*", space.alias("kmer_space"), (space - F.col("observed_distinct_kmers")).alias("nullomer_count"), ((space - F.col("observed_distinct_kmers")) / space).alias("nullomer_fraction"))
 

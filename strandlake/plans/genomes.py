@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
-from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, tfbs, windows
+from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, superkmers, tfbs, windows
 from ..streaming import hits as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,7 @@ def acgt_background(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL} SELECT grp, kmer, count(*) AS n FROM km GROUP BY ALL")
 def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.counts(text_dna(spark, sf), K, "grp")
+    return superkmers.counts(text_dna(spark, sf), K, "grp").select("grp", kmers.kmer_of(F.col("code"), K).alias("kmer"), "n")
 
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL} SELECT least(kmer, {RC}) AS kmer, count(*) AS n FROM km GROUP BY 1")
@@ -175,7 +175,7 @@ def fcgr_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL}, d AS (SELECT pair_id, x, y, sum(CASE WHEN which='orig' THEN p ELSE -p END) AS d FROM pr GROUP BY ALL) SELECT pair_id, round(sum(abs(d)),6) AS l1_fcgr FROM d GROUP BY pair_id")
 def fcgr_pair_l1(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fcgr.l1(fcgr.cells(text_dna(spark, sf), K, "pair_id", "which")))
+    return rounded(fcgr.joint_l1(superkmers.joint_spectrum(text_dna(spark, sf), K)).select("pair_id", "l1_fcgr"))
 
 
 @query(f"""WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL}, ne AS (SELECT which, count(DISTINCT pair_id) AS e FROM pr GROUP BY which), mm AS (SELECT which, x, y, sum(p) / any_value(e) AS p FROM pr JOIN ne USING (which) GROUP BY ALL),
@@ -191,7 +191,7 @@ def fcgr_log2ratio(spark: SparkSession, sf: str) -> DataFrame:
 n AS (SELECT pair_id, count(*) FILTER (o) AS orig_unique, count(*) FILTER (s) AS syn_unique, count(*) FILTER (o AND s) AS shared_unique, count(*) FILTER (o AND NOT s) AS missing_in_syn, count(*) FILTER (s AND NOT o) AS novel_in_syn FROM pa GROUP BY 1)
 SELECT *, round(CASE WHEN orig_unique+syn_unique-shared_unique>0 THEN shared_unique/(orig_unique+syn_unique-shared_unique) ELSE 0 END,6) AS jaccard, round(CASE WHEN orig_unique>0 THEN missing_in_syn/orig_unique ELSE 0 END,6) AS missing_rate, round(CASE WHEN syn_unique>0 THEN novel_in_syn/syn_unique ELSE 0 END,6) AS novel_rate FROM n""")
 def nullomer_pair_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(nullomers.pair_metrics(nullomers.presence(text_dna(spark, sf), K)))
+    return rounded(nullomers.joint_metrics(superkmers.joint_spectrum(text_dna(spark, sf), K, canonical=True)))
 
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, n AS (SELECT g.doc_id, count(DISTINCT least(kmer,{RC})) AS n FROM g LEFT JOIN km ON km.doc_id=g.doc_id GROUP BY 1) SELECT doc_id, {K} AS k, n AS observed_distinct_kmers, {4**K}::BIGINT AS kmer_space, {4**K}-n AS nullomer_count, round(({4**K}-n)/{4**K},6) AS nullomer_fraction FROM n")
@@ -402,7 +402,7 @@ def motif_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL}, d AS (SELECT pair_id, x, y, sum(CASE WHEN which='orig' THEN p ELSE -p END) AS d FROM pr GROUP BY ALL), l AS (SELECT pair_id, round(sum(abs(d)),9) AS v FROM d GROUP BY pair_id), r AS (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM l)
 SELECT (CASE WHEN hi>lo THEN least(14, floor((v-lo)/(hi-lo)*15)) ELSE 0 END)::INT AS bin, count(*) AS n FROM r GROUP BY 1""")
 def fcgr_distance_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return fcgr.histogram(rounded(fcgr.l1(fcgr.cells(text_dna(spark, sf), K, "pair_id", "which")), 9), "l1_fcgr")
+    return fcgr.histogram(rounded(fcgr.joint_l1(superkmers.joint_spectrum(text_dna(spark, sf), K)), 9), "l1_fcgr")
 
 
 @query(f"WITH {SCORE_SQL} SELECT item_id % 50 AS item, round(avg(score*4-2),6) AS logit, round(1/(1+exp(-avg(score*4-2))),6) AS prob FROM s GROUP BY 1")
