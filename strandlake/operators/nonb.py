@@ -57,18 +57,61 @@ def g4hunter_regions(seq: str, window: int = 25, threshold: float = 1.2) -> list
 Z_WEIGHTS = {"GC": 7.0, "CG": 7.0, "GT": 1.25, "AC": 1.25, "TG": 1.25, "CA": 1.25, "AT": 0.5, "TA": 0.5}
 
 
+def _z_steps(seq: str, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each step between two letters, and for penalised ones their place in their run, counted from 1 (else 0)."""
+    c = kmers.LETTERS[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)].astype(np.int64)
+    weight = np.zeros(25)
+    for step, w in Z_WEIGHTS.items():
+        weight["ACGT".index(step[0]) * 5 + "ACGT".index(step[1])] = w
+    w = weight[c[:-1] * 5 + c[1:]]
+    good = np.flatnonzero(w > 0)
+    last = np.full(len(w), -1)
+    last[good] = good
+    place = np.arange(len(w)) - np.maximum.accumulate(last) if len(w) else last
+    return np.where(place > 0, -penalty * place, w), place
+
+
+def _z_limit(minimum: float, penalty: float) -> int:
+    """Penalised steps in a row that end every stretch."""
+    n = 1
+    while penalty * n * (n + 1) / 2 <= minimum:
+        n += 1
+    return n
+
+
+def zdna_breaks(seq: str, minimum: float = 50.0, penalty: float = 3.0) -> tuple[int, int] | None:
+    """The first and the last place at which a search begins anew whatever is before it; None if there is no such place."""
+    at = np.flatnonzero(_z_steps(seq, penalty)[1] >= _z_limit(minimum, penalty)) + 1 if len(seq) > 1 else ()
+    return (int(at[0]), int(at[-1])) if len(at) else None
+
+
 def zdna_regions(seq: str, minimum: float = 50.0, penalty: float = 3.0) -> list[tuple[int, int, float]]:
     """All maximal stretches whose summed weight is at least the minimum; other steps cost a penalty that grows with their run.
 
     A stretch ends at its best sum once the sum has fallen to zero or by more than the minimum; the search goes on behind that end.
+    Only parts between breaks whose sum rises by the minimum somewhere are walked step by step.
     """
-    out, i, last = [], 0, len(seq) - 1
+    if len(seq) < 2:
+        return []
+    value, place = _z_steps(seq, penalty)
+    total = np.cumsum(value)
+    risen = np.flatnonzero(total - np.minimum.accumulate(np.r_[0.0, total])[:-1] >= minimum)
+    if not len(risen):
+        return []
+    edge = np.r_[0, np.flatnonzero(place == _z_limit(minimum, penalty)) + 1, len(value)]
+    out = []
+    for part in np.unique(np.searchsorted(edge, risen, side="right") - 1).tolist():
+        begin = int(edge[part])
+        out += [(a + begin, b + begin, s) for a, b, s in _z_walk(value[begin : edge[part + 1]].tolist(), minimum)]
+    return out
+
+
+def _z_walk(value: list[float], minimum: float) -> list[tuple[int, int, float]]:
+    out, i, last = [], 0, len(value)
     while i < last:
-        total, best, end, bad, k = 0.0, 0.0, i, 0, i
+        total, best, end, k = 0.0, 0.0, i, i
         while k < last:
-            w = Z_WEIGHTS.get(seq[k : k + 2])
-            bad = bad + 1 if w is None else 0
-            total += -penalty * bad if w is None else w
+            total += value[k]
             if total > best:
                 best, end = total, k + 2
             if total <= 0 or best - total > minimum:
@@ -82,6 +125,116 @@ def zdna_regions(seq: str, minimum: float = 50.0, penalty: float = 3.0) -> list[
     return out
 
 
+def g4hunter_breaks(seq: str, window: int = 25, threshold: float = 1.2) -> tuple[int, int] | None:
+    """The first and the last place that no region reaches or merges across, whatever is around ``seq``; None if there is none.
+
+    Such a place is the beginning of a run of letters with no good window that begins within ``window`` letters before it.
+    """
+    s = np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    if len(begin) < 3 or len(s) < 2 * window:
+        return None
+    size = np.diff(np.r_[begin, len(s)])
+    sign = (s == ord("G")).astype(np.int64) - (s == ord("C"))
+    total = np.r_[0, np.cumsum(sign * np.minimum(np.repeat(size, size), 4))]
+    good = np.r_[0, np.cumsum(np.abs(total[window:] - total[:-window]) >= threshold * window)]
+    # the first and last run may go on outside
+    at = begin[(begin - window >= begin[1]) & (begin + window - 1 <= begin[-1])]
+    at = at[good[at] == good[at - window]]
+    return (int(at[0]), int(at[-1])) if len(at) else None
+
+
+def _bases(seq: str) -> np.ndarray:
+    return kmers.LETTERS[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)].astype(np.int64)
+
+
+def _seeds(c: np.ndarray, k: int, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the number of the k letters there, that of their reverse (complement), and whether all are bases."""
+    n = max(0, len(c) - k + 1)
+    forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for j in range(k):
+        forward = forward << 2 | (c[j : j + n] & 3)
+        back |= ((3 - (c[j : j + n] & 3)) if other == "complement" else (c[j : j + n] & 3)) << 2 * j
+    bad = np.r_[0, np.cumsum(c == 4)]
+    return forward, back, bad[k : k + n] == bad[:n]
+
+
+def _partners(key: np.ndarray, at: np.ndarray, of: np.ndarray, where: np.ndarray, near: int, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (p, q) of ``at`` and ``where`` with equal numbers and near <= q - p <= far, a few million at once."""
+    n = int(max(at.max(initial=0), where.max(initial=0))) + far + 2
+    index, asked = np.sort(of * n + where), np.sort(key * n + at)  # ascending questions stay in the cache
+    lo, hi = np.searchsorted(index, asked + near), np.searchsorted(index, asked + far, side="right")
+    some = hi > lo
+    lo, count, at = lo[some], (hi - lo)[some], (asked % n)[some]
+    upto, begin = np.cumsum(count), 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + (1 << 22), side="right")))
+        c = count[begin:end]
+        place = np.repeat(lo[begin:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        yield np.repeat(at[begin:end], c), index[place] % n
+        begin = end
+
+
+def bounded_repeats(seq: str, most_arm: int = 300, own: range | None = None) -> list[tuple[str, int, int, int]]:
+    """Direct repeats that begin, and inverted and mirror repeats whose inner pair has its left letter, in ``own`` (all of the sequence).
+
+    Every repeat holds a pair of equal seeds: 10 letters and themselves for
+    DR, 6 and their reverse complement for IR, 10 and their reverse for MR.
+    The pairs within reach are looked up in a sorted index, and arms extended.
+    """
+    c, out = _bases(seq), []
+    n = len(c)
+    own = range(n) if own is None else own
+    forward, _, known = _seeds(c, 10, "same")
+    where = np.flatnonzero(known)
+    at = where[(where >= own.start) & (where < own.stop)]
+    for p, q in _partners(forward[at], at, forward[where], where, 10, most_arm + 10):
+        first = (p == 0) | (c[p - 1] != c[q - 1]) | (c[p - 1] == 4)
+        p, q = p[first], q[first]
+        arm, shift = np.full(len(p), 10), q - p
+        live = np.arange(len(p))
+        while len(live):
+            live = live[(arm[live] < np.minimum(shift[live], most_arm)) & (q[live] + arm[live] < n)]
+            live = live[(c[p[live] + arm[live]] == c[q[live] + arm[live]]) & (c[p[live] + arm[live]] < 4)]
+            arm[live] += 1
+        good = shift - arm <= 10
+        out += [("DR", a, b + r, r) for a, b, r in zip(p[good].tolist(), q[good].tolist(), arm[good].tolist(), strict=True)]
+    for name, least, other in (("IR", 6, "complement"), ("MR", 10, "same")):
+        forward, back, known = _seeds(c, least, other)
+        where = np.flatnonzero(known)
+        at = where[(where + least - 1 >= own.start) & (where + least - 1 < own.stop)]
+        pair = (lambda i, j: (c[i] + c[j] == 3) & (c[i] < 4) & (c[j] < 4)) if name == "IR" else (lambda i, j: (c[i] == c[j]) & (c[i] < 4))
+        for p, j in _partners(forward[at], at, back[where], where, least, least + 100):
+            i = p + least - 1
+            d = j - i
+            inner = (d <= 2) | ~pair(i + 1, j - 1)
+            i, j, d = i[inner], j[inner], d[inner]
+            arm, cap = np.full(len(i), least), (101 + 2 * most_arm - d) // 2 + 1
+            live = np.arange(len(i))
+            while len(live):
+                live = live[(arm[live] < cap[live]) & (i[live] - arm[live] >= 0) & (j[live] + arm[live] < n)]
+                live = live[pair(i[live] - arm[live], j[live] + arm[live])]
+                arm[live] += 1
+            out += [(name, x - r + 1, y + r, r) for x, y, r in zip(i.tolist(), j.tolist(), arm.tolist(), strict=True)]
+    return out
+
+
+def tandem_runs(seq: str, own: range | None = None) -> list[tuple[int, int, int]]:
+    """Runs (first, last + 1, unit) of letters of ``own`` that are repeated 1..9 letters later: long ones, and those at an end of ``own``."""
+    c, out = _bases(seq), []
+    own = range(len(c)) if own is None else own
+    for unit in range(1, 10):
+        stop = min(own.stop, len(c) - unit)
+        if stop <= own.start:
+            continue
+        same = (c[own.start + unit : stop + unit] == c[own.start : stop]) & (c[own.start : stop] < 4)
+        d = np.diff(np.r_[0, same.astype(np.int8), 0])
+        a, b = np.flatnonzero(d == 1) + own.start, np.flatnonzero(d == -1) + own.start
+        keep = (b - a + unit >= max(10, 3 * unit)) | (a == own.start) | (b == own.stop)
+        out += [(x, y, unit) for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
+    return out
+
+
 def repeat_regions(seq: str, most_arm: int = 300) -> list[tuple[str, int, int, int]]:
     """Direct, inverted, mirror and short tandem repeats: (class, start, end, arm or unit).
 
@@ -90,39 +243,9 @@ def repeat_regions(seq: str, most_arm: int = 300) -> list[tuple[str, int, int, i
     Arms of both are followed at least as far as most_arm.
     STR: a unit of 1..9 at least 3 times and at least 10 letters.  Only the longest of the repeats with one shift or centre.
     """
-    c = kmers.LETTERS[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)].astype(np.int16)
-    n, out, known = len(c), [], c < 4
-
-    def runs(match: np.ndarray) -> zip:
-        d = np.diff(np.r_[0, match.astype(np.int8), 0])
-        return zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True)
-
-    for shift in range(1, min(n, most_arm + 11)):
-        same = (c[shift:] == c[:-shift]) & known[shift:]
-        for a, b in runs(same):
-            if shift <= 9 and b - a + shift >= max(10, 3 * shift) and not any(shift % u == 0 and seq[a : b + shift - u] == seq[a + u : b + shift] for u in range(1, shift)):
-                out.append(("STR", a, b + shift, shift))
-            arm = min(b - a, shift, most_arm)
-            if arm >= 10 and shift - arm <= 10:
-                out.append(("DR", a, a + shift + arm, arm))
-    for name, least, partner in (("IR", 6, 3 - c), ("MR", 10, c)):
-        # arms grow inwards: the run of pairs that ends at (i, i + d) is one longer than that at (i - 1, i + d + 1)
-        outer: dict[int, np.ndarray] = {}
-
-        def ended(d: int, run: np.ndarray, inner: np.ndarray | None) -> None:
-            stop = (run >= least) if inner is None else (run >= least) & ~inner[1 : len(run) + 1]
-            out.extend((name, i - r + 1, i + d + r, r) for i, r in zip(np.flatnonzero(stop).tolist(), run[stop].tolist(), strict=True) if d <= 101)  # noqa: B023
-
-        for d in range(min(n - 1, 101 + 2 * most_arm), 0, -1):
-            pair = (partner[: n - d] == c[d:]) & known[: n - d] & known[d:]
-            run = np.ones(n - d, dtype=np.int32)
-            if d + 2 in outer:
-                run[1 : n - d - 1] += outer[d + 2]
-                ended(d + 2, outer.pop(d + 2), pair)
-            outer[d] = run * pair
-        for d, run in outer.items():
-            ended(d, run, None)
-    return sorted(out)
+    tandem = [(a, b + u, u) for a, b, u in tandem_runs(seq) if b - a + u >= max(10, 3 * u)]
+    primitive = lambda a, u: not any(u % v == 0 and seq[a : a + u - v] == seq[a + v : a + u] for v in range(1, u))
+    return sorted(bounded_repeats(seq, most_arm) + [("STR", a, b, u) for a, b, u in tandem if primitive(a, u)])
 
 
 def call(seqs: DataFrame, caller: str, *keep: str, seq: str = "seq", **options: float) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
-from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, superkmers, tfbs, windows
+from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, superkmers, tfbs, tiled, windows
+from ..sources import tiles
 from ..streaming import hits as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,14 +246,34 @@ def nonb_significance(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("measure", "motif", "n", "w_plus", F.round("z", 6).alias("z"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"), "mark")
 
 
-@query()
+#: Letters of a tile: so few that most sequences have several, and their hits are joined.
+TILE = 1000
+LETTER_SQL = f"{MD5_SQL}, le AS (SELECT pair_id, which, i::INT AS i, substr(pc, (i - j*128 + 1)::INT, 1) AS c FROM (SELECT pair_id, which, j, substr(seq, (j*128+1)::INT, 128) AS pc FROM m, unnest(range(0, (length(seq)+127)//128)) t(j)), unnest(range(j*128, j*128+length(pc))) u(i))"
+SEQ = "PARTITION BY pair_id, which"
+G4_SQL = f"""{LETTER_SQL}, ru AS (SELECT *, i - row_number() OVER ({SEQ}, c ORDER BY i) AS r FROM le), rl AS (SELECT *, min(i) OVER w AS ra, max(i) OVER w + 1 AS rb, count(*) OVER w AS n FROM ru WINDOW w AS ({SEQ}, c, r)),
+sc AS (SELECT *, CASE c WHEN 'G' THEN 1 WHEN 'C' THEN -1 ELSE 0 END AS sg FROM rl), pf AS (SELECT *, sum(sg * least(n, 4)) OVER ({SEQ} ORDER BY i) AS p, sum(sg * least(n, 4)) OVER ({SEQ} ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS ws, count(*) OVER ({SEQ} ORDER BY i ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS wn FROM sc),
+gd AS (SELECT pair_id, which, i, CASE WHEN i - lag(i) OVER ({SEQ} ORDER BY i) <= 25 THEN 0 ELSE 1 END AS f FROM pf WHERE wn = 25 AND abs(ws) >= 30), gc AS (SELECT pair_id, which, n, min(i) AS a, max(i) + 25 AS b FROM (SELECT *, sum(f) OVER ({SEQ} ORDER BY i) AS n FROM gd) GROUP BY ALL),
+ge AS (SELECT gc.pair_id, gc.which, gc.n, min(ra) AS a, max(rb) AS b FROM gc JOIN pf ON gc.pair_id = pf.pair_id AND gc.which = pf.which AND pf.i >= gc.a AND pf.i < gc.b AND sg <> 0 GROUP BY ALL),
+hg AS (SELECT ge.pair_id, ge.which, 'GQ' AS class, a::BIGINT AS start, b::BIGINT AS "end", (e.p - coalesce(s.p, 0)) / (b - a) AS score FROM ge JOIN pf e ON e.pair_id = ge.pair_id AND e.which = ge.which AND e.i = b - 1 LEFT JOIN pf s ON s.pair_id = ge.pair_id AND s.which = ge.which AND s.i = a - 1)"""
+STEP_SQL = "CASE WHEN c || d IN ('GC','CG') THEN 7.0 WHEN c || d IN ('GT','AC','TG','CA') THEN 1.25 WHEN c || d IN ('AT','TA') THEN 0.5 END"
+Z_SQL = f"""RECURSIVE {LETTER_SQL}, zs AS (SELECT pair_id, which, i, {STEP_SQL}::DOUBLE AS w FROM (SELECT *, lead(c) OVER ({SEQ} ORDER BY i) AS d FROM le) WHERE d IS NOT NULL),
+zp AS (SELECT *, i - coalesce(max(CASE WHEN w IS NOT NULL THEN i END) OVER ({SEQ} ORDER BY i), -1) AS pl FROM zs), zv AS (SELECT *, CASE WHEN pl > 0 THEN -3.0 * pl ELSE w END AS v, coalesce(sum((pl = 6)::INT) OVER ({SEQ} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sg FROM zp),
+zt AS (SELECT *, sum(v) OVER ({SEQ} ORDER BY i) AS t FROM zv), zr AS (SELECT *, t - least(0, min(t) OVER ({SEQ} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS e FROM zt),
+zl AS MATERIALIZED (SELECT pair_id, which, sg, min(i) AS k0, list(v ORDER BY i) AS vs FROM zr GROUP BY ALL HAVING max(e) >= 50),
+zw AS (SELECT pair_id, which, sg, 1 AS i, 1 AS k, 0.0::DOUBLE AS total, 0.0::DOUBLE AS best, 1 AS en, NULL::INT AS ha, NULL::INT AS hb, NULL::DOUBLE AS hs FROM zl
+ UNION ALL SELECT pair_id, which, sg, CASE WHEN st THEN ni ELSE i END, CASE WHEN st THEN ni ELSE k + 1 END, CASE WHEN st THEN 0 ELSE t END, CASE WHEN st THEN 0 ELSE b END, CASE WHEN st THEN ni ELSE e END, CASE WHEN st AND b >= 50 THEN i END, CASE WHEN st AND b >= 50 THEN e END, CASE WHEN st AND b >= 50 THEN b END FROM
+ (SELECT *, CASE WHEN b >= 50 THEN e - 1 ELSE k + 1 END AS ni FROM (SELECT *, t <= 0 OR b - t > 50 OR k = n AS st FROM (SELECT *, greatest(best, t) AS b, CASE WHEN t > best THEN k + 2 ELSE en END AS e FROM (SELECT zw.*, zw.total + zl.vs[zw.k] AS t, len(zl.vs) AS n FROM zw JOIN zl USING (pair_id, which, sg) WHERE zw.k <= len(zl.vs)))))),
+hz AS (SELECT pair_id, which, 'Z_DNA' AS class, (k0 + ha - 1)::BIGINT AS start, (k0 + hb - 1)::BIGINT AS "end", hs AS score FROM zw JOIN zl USING (pair_id, which, sg) WHERE hs IS NOT NULL)"""
+
+
+@query(f"""WITH {G4_SQL} SELECT pair_id, which, class, start, "end", CASE WHEN score > 0 THEN '+' ELSE '-' END AS strand, round(score, 6) AS score FROM hg""")
 def g4hunter_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return nonb.call(md5_dna(spark, sf), "g4hunter", "pair_id", "which")
+    return rounded(tiled.call(tiles.tiled(md5_dna(spark, sf), "pair_id", "which", size=TILE), "g4hunter", "pair_id", "which"))
 
 
-@query()
+@query(f"""WITH {Z_SQL} SELECT pair_id, which, class, start, "end", '.' AS strand, score FROM hz""")
 def zdna_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return nonb.call(md5_dna(spark, sf), "zdna", "pair_id", "which")
+    return tiled.call(tiles.tiled(md5_dna(spark, sf), "pair_id", "which", size=TILE), "zdna", "pair_id", "which")
 
 
 @query(f"""WITH {TEXT_SQL}, r AS (SELECT tag, grp, length(seq) v, rank() OVER (PARTITION BY tag ORDER BY length(seq)) + (count(*) OVER (PARTITION BY tag, length(seq))-1)/2 AS r, count(*) OVER (PARTITION BY tag, length(seq)) AS t FROM g),
@@ -266,8 +287,8 @@ def mann_whitney_u(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def repeat_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and covered letters of direct, inverted, mirror and tandem repeats of each sequence, zeros included."""
-    m = md5_dna(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # a letter costs far more than its shuffle
-    hits = nonb.call(m, "repeats", "pair_id", "which").withColumnRenamed("class", "motif").withColumn("class", F.col("motif"))
+    m = md5_dna(spark, sf)
+    hits = tiled.call_repeats(tiles.tiled(m, "pair_id", "which", left=tiled.HALO, right=tiled.HALO), "pair_id", "which").withColumn("motif", F.col("class"))
     return nonb.zero_filled(nonb.metrics(hits, "pair_id", "which", "motif"), m, ["DR", "IR", "MR", "STR"], "pair_id", "which")
 
 

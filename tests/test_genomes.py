@@ -226,17 +226,15 @@ def test_queries_match_sql(spark, sf, duck):
 
 
 def test_rows_only_queries(spark, sf):
+    """Those without SQL: the repeat finder is tested against brute force in test_scale."""
     from strandlake.plans import genomes
 
-    seqs = [(r.pair_id, r.which, r.seq) for r in genomes.md5_dna(spark, sf).collect()]
-    for name, find, cls in (("g4hunter_hits", nonb.g4hunter_regions, "GQ"), ("zdna_hits", nonb.zdna_regions, "Z_DNA")):
-        got = rows(genomes.QUERIES[name](spark, sf), "pair_id", "which", "class", "start", "end", "score")
-        assert got == sorted((p, w, cls, a, b, s) for p, w, q in seqs for a, b, s in find(q)) and got
-    want = {(p, w, c): [0, 0] for p, w, _ in seqs for c in ("DR", "IR", "MR", "STR")}
-    for p, w, q in seqs:
-        for c, a, b, _ in nonb.repeat_regions(q):
-            want[p, w, c][0] += 1
-            want[p, w, c][1] += b - a
+    want = {}
+    for r in genomes.md5_dna(spark, sf).collect():
+        want |= {(r.pair_id, r.which, c): [0, 0] for c in ("DR", "IR", "MR", "STR")}
+        for c, a, b, _ in nonb.repeat_regions(r.seq):
+            want[r.pair_id, r.which, c][0] += 1
+            want[r.pair_id, r.which, c][1] += b - a
     assert rows(genomes.repeat_metrics(spark, sf), "pair_id", "which", "motif", "n_hits", "bp_covered") == sorted((*k, *v) for k, v in want.items())
     volcano = genomes.motif_enrichment(spark, sf).collect()
     hits = genomes.motif_scan(spark, sf)

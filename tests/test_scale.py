@@ -1,12 +1,14 @@
 """Super-k-mers, stored sets, tiles, distributed ranks and resumed runs against brute force."""
 
+import gzip
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import kmer_sets, kmers, nullomers, superkmers
+from strandlake.operators import kmer_sets, nonb, nullomers, superkmers, tiled
+from strandlake.sources import tiles
 
 
 def brute_counts(seqs, k, canonical):
@@ -80,3 +82,129 @@ def test_stored_sets_merge_without_a_shuffle(spark, odd_seqs):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         kmer_sets.drop(spark, "sets_of_test")
+
+
+def dna_of(rng, n, rich=True):
+    """Random letters with runs, alternations, repeats and their reverses."""
+    pick = lambda m, letters="ACGT": "".join(rng.choice(letters) for _ in range(m))
+    out = ""
+    while len(out) < n:
+        kind = rng.random() if rich else 0
+        if kind < 0.3 or len(out) < 80:
+            out += pick(rng.randrange(1, 60))
+        elif kind < 0.5:
+            out += pick(rng.randrange(1, 10)) * rng.randrange(9)
+        elif kind < 0.65:
+            out += rng.choice(["CG", "GC", "CA", "TG"]) * rng.randrange(40)
+        elif kind < 0.72:
+            out += rng.choice("ACGTN") * rng.randrange(30)
+        elif kind < 0.85:
+            at = rng.randrange(len(out) - 60)
+            w = out[at : at + rng.randrange(8, 60)]
+            out += pick(rng.randrange(12)) + rng.choice([w, w[::-1], w[::-1].translate(str.maketrans("ACGT", "TGCA"))])
+        else:
+            out += pick(rng.randrange(60), "CGGGA")
+    return out[:n]
+
+
+def brute_repeats(s, most_arm):
+    """All repeats by their definitions: each shift, each centre, letter by letter."""
+    n, out = len(s), set()
+    rc = str.maketrans("ACGT", "TGCA")
+    for shift in range(1, min(n, most_arm + 11)):
+        i = 0
+        while i + shift < n:
+            j = i
+            while j + shift < n and s[j] == s[j + shift] != "N":
+                j += 1
+            if shift <= 9 and j - i + shift >= max(10, 3 * shift) and not any(shift % u == 0 and s[i : i + u] * (shift // u) == s[i : i + shift] for u in range(1, shift)):
+                out.add(("STR", i, j + shift, shift))
+            arm = min(j - i, shift, most_arm)
+            if arm >= 10 and shift - arm <= 10:
+                out.add(("DR", i, i + shift + arm, arm))
+            i = j + 1
+    for name, least, pair in (("IR", 6, lambda a, b: a != "N" and a.translate(rc) == b), ("MR", 10, lambda a, b: a == b != "N")):
+        for i in range(n):
+            for j in range(i + 1, min(n, i + 102)):
+                if j - i > 2 and pair(s[i + 1], s[j - 1]):
+                    continue
+                r = 0
+                while i - r >= 0 and j + r < n and pair(s[i - r], s[j + r]) and j - i + 2 * r <= 101 + 2 * most_arm:
+                    r += 1
+                if r >= least:
+                    out.add((name, i - r + 1, j + r, r))
+    return out
+
+
+def walked_zdna(seq, minimum=50.0, penalty=3.0):
+    """The caller's rule step by step."""
+    out, i = [], 0
+    while i < len(seq) - 1:
+        total, best, end, bad, k = 0.0, 0.0, i, 0, i
+        while k < len(seq) - 1:
+            w = nonb.Z_WEIGHTS.get(seq[k : k + 2])
+            bad = bad + 1 if w is None else 0
+            total += -penalty * bad if w is None else w
+            if total > best:
+                best, end = total, k + 2
+            if total <= 0 or best - total > minimum:
+                break
+            k += 1
+        out += [(i, end, best)] if best >= minimum else []
+        i = end - 1 if best >= minimum else k + 1
+    return out
+
+
+def test_repeats_by_seeds_are_complete():
+    rng = random.Random(5)
+    for n in (0, 5, 30, 120, 300, 300, 300):
+        s = dna_of(rng, n)
+        assert sorted(brute_repeats(s, 40)) == nonb.repeat_regions(s, 40)
+
+
+def test_zdna_by_parts_is_the_walk():
+    rng = random.Random(6)
+    for _ in range(60):
+        s = dna_of(rng, rng.choice([0, 1, 2, 50, 700]))
+        assert nonb.zdna_regions(s) == walked_zdna(s)
+
+
+def test_callers_over_tiles(spark):
+    rng = random.Random(7)
+    seqs = [(f"c{i}", dna_of(rng, n)) for i, n in enumerate((0, 1, 30, 700, 2500, 2500))] + [("cg", "CG" * 900), ("g", "G" * 700 + dna_of(rng, 300)), (None, dna_of(rng, 800)), ("none", None)]
+    df = spark.createDataFrame(seqs, "id string, seq string")
+    found = lambda df, *cols: sorted(tuple(r) for r in df.where("id IS NOT NULL").select(*cols).collect())
+    for size in (7, 64, 311, 100_000):
+        cut = tiles.tiled(df, "id", size=size)
+        for caller, find in (("zdna", nonb.zdna_regions), ("g4hunter", nonb.g4hunter_regions)):
+            want = sorted((i, a, b, pytest.approx(s)) for i, q in seqs if i for a, b, s in find(q or ""))
+            assert want and found(tiled.call(cut, caller, "id"), "id", "start", "end", "score") == want, (size, caller)
+        own = tiles.tiled(df, "id", size=size, left=200, right=200)
+        want = sorted((i, c, a, b, float(arm)) for i, q in seqs if i for c, a, b, arm in nonb.repeat_regions(q or "", 25))
+        assert found(tiled.call_repeats(own, "id", most_arm=25), "id", "class", "start", "end", "score") == want, size
+    assert tiled.call(tiles.tiled(df.limit(0), "id"), "zdna", "id").count() == 0
+
+
+def test_fasta_tiles(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(tiles, "LINE", 50)
+    wrap = lambda s, w, end: end.join(s[i : i + w] for i in range(0, len(s), w))
+    records = [("a long " + "x" * 120, dna_of(rng, 1500)), ("b", ""), ("c", dna_of(rng, 70)), ("d", "acgt" * 30), ("e", dna_of(rng, 333))]
+    body = "ACGT before\n" + "".join(f">{h}\n" + wrap(s, 60, "\n") + "\n" for h, s in records)
+    (tmp_path / "a.fa").write_text(body)
+    (tmp_path / "b.fa").write_text("".join(f">{h}\r\n{s}\r\n" for h, s in records))  # each record one line
+    with gzip.open(tmp_path / "c.fa.gz", "wt") as f:
+        f.write(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        for size, left, right in ((100, 0, 0), (64, 10, 33), (5000, 20, 20)):
+            got = tiles.fasta_tiles(spark, [str(tmp_path / n) for n in ("a.fa", "b.fa", "c.fa.gz")], size, left, right).collect()
+            want = [(k, h.split()[0], h, t, t * size, min(len(s), (t + 1) * size), min(t * size, left), s.upper()[max(0, t * size - left) : (t + 1) * size + right]) for k, (h, s) in enumerate(records) for t in range(-(-len(s) // size))]
+            for name in ("a.fa", "b.fa", "c.fa.gz"):
+                assert sorted((r.record_ix, r.record_id, r.header, r.tile_ix, r.start, r.stop, r.lead, r.seq) for r in got if r.path.endswith(name)) == want, (name, size)
+        kept = tiles.fasta_tiles(spark, str(tmp_path / "a.fa"), 100, headless=True).where("record_ix = -1").collect()
+        assert [(r.record_id, r.seq) for r in kept] == [("NA", "ACGTBEFORE")]
+        hits = tiled.call(tiles.fasta_tiles(spark, str(tmp_path / "b.fa"), 64), "zdna", "record_ix")
+        assert sorted((r.record_ix, r.start, r.end) for r in hits.collect()) == sorted((k, a, b) for k, (_, s) in enumerate(records) for a, b, _ in nonb.zdna_regions(s.upper()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
