@@ -12,32 +12,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import settled
 
-def bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), q: str = "q", tie: tuple[str, ...] = ()) -> DataFrame:
-    """Adds Benjamini-Hochberg q-values within ``by``; null p stays null."""
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    known = F.col(p).isNotNull()
-    up = W.partitionBy(known, *part).orderBy(F.col(p), *tie)
-    m = F.count(F.lit(1)).over(W.partitionBy(known, *part))
-    r = df.withColumn("_r", F.row_number().over(up)).withColumn("_m", m)
-    down = W.partitionBy(known, *part).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)
-    return r.withColumn(q, F.when(known, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down)))).drop("_r", "_m")
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet; the keys stay once."""
+    other = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same, how).drop(*(f"_k{i}" for i in range(len(keys))))
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Ranks from 1 within ``by``; ties share their mean rank."""
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    return F.rank().over(W.partitionBy(*part).orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*part, value)) - 1) / 2
+
+def _ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def value_ranks(df: DataFrame, value: str, *by: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each value (not null) of each ``by``: _n rows with it, _less rows with a smaller one, _m rows in all, and further ``sums``.
+
+    Rows are counted by value first.  Values are dealt into ranges by their
+    quantiles; running sums over the ranges of a ``by``, and over the values of
+    one range, give the counts below.  So no task sorts all of a group.
+    """
+    keys = ["_g", *by]
+    rows = df.where(F.col(value).isNotNull()).withColumn("_g", F.lit(0))
+    counted = settled(rows.groupBy(*keys, value).agg(F.count("*").alias("_n"), *(c.alias(k) for k, c in (sums or {}).items())))
+    n = _ranges(df)
+    edges = counted.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)] or [0.5], 10_000).alias("_e"))
+    ranged = counted.crossJoin(F.broadcast(edges)).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(value).cast("double")))).drop("_e")  # one row
+    return _running(ranged, keys, [value]).drop("_g", "_b")
+
+
+def _running(ranged: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with _n and their range _b -> _less, the sum of _n before them within ``keys``, and _m, the sum of all."""
+    whole = W.partitionBy(*keys)
+    totals = ranged.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
+    totals = totals.select(*keys, "_b", F.coalesce(F.sum("_t").over(whole.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_t").over(whole).alias("_m"))
+    inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = ranged.withColumn("_less", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return joined(own, totals, [*keys, "_b"]).withColumn("_less", F.col("_less") + F.col("_before")).drop("_before")
+
+
+def hash_places(df: DataFrame, seed: int, key: str, *by: str) -> DataFrame:
+    """Adds _r, each row's place from 1 within ``by`` in the order of a hash of the key, and _m, the rows of ``by``.
+
+    Hashes are dealt into equal ranges, so rows are numbered range by range.
+    """
+    keys = ["_g", *by]
+    n = _ranges(df)
+    hashed = df.withColumn("_g", F.lit(0)).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))).withColumn("_n", F.lit(1))
+    ranged = hashed.withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * n / 2**32).cast("int"))
+    return _running(ranged, keys, ["_h", key]).withColumn("_r", F.col("_less") + 1).drop("_g", "_h", "_n", "_b", "_less")
+
+
+def bh(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), q: str = "q", tie: tuple[str, ...] = ()) -> DataFrame:
+    """Adds Benjamini-Hochberg q-values within ``by``; null p stays null.
+
+    Equal p have equal q, so q is found for each distinct p and joined back; ``tie`` is not needed for that.
+    """
+    keys = ["_g", *by]
+    n, df = _ranges(df), settled(df)
+    ranks = value_ranks(df, p, *by).withColumn("_g", F.lit(0)).withColumn("_v", F.col(p) * F.col("_m") / (F.col("_less") + F.col("_n")))
+    # the least of all values from here on: within a range of ranks, then over the later ranges
+    ranged = ranks.withColumn("_b", F.floor(F.col("_less") * n / F.col("_m")).cast("int"))
+    least = ranged.groupBy(*keys, "_b").agg(F.min("_v").alias("_t"))
+    least = least.select(*keys, "_b", F.min("_t").over(W.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
+    own = ranged.withColumn("_v", F.min("_v").over(W.partitionBy(*keys, "_b").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)))
+    found = joined(own, least, [*keys, "_b"]).select(*by, p, F.least(F.lit(1.0), F.least("_v", "_after")).alias(q))
+    return joined(df, found, [*by, p], "left")
 
 
 def wilcoxon(df: DataFrame, diff: str, *by: str) -> DataFrame:
     """Signed-rank statistic of ``diff`` per group, zeros dropped: n, w_plus, and the tie-corrected normal z."""
     d = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_a", F.abs(diff))
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    d = d.withColumn("_r", average_rank(F.col("_a"), *by)).withColumn("_t", F.count(F.lit(1)).over(W.partitionBy(*part, "_a")))
-    g = d.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties")
-    )
+    r = value_ranks(d, "_a", *by, sums={"_up": F.count_if(F.col(diff) > 0)})
+    k = F.col("_n")
+    g = r.groupBy(*by).agg(F.sum(k).alias("n"), F.sum(F.col("_up") * (F.col("_less") + (k + 1) / 2)).alias("w_plus"), F.sum(k * (k * k - 1)).alias("_ties"))
+    if not by:  # one row also of nothing
+        g = g.select(F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "_ties")
     n = F.col("n")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     return g.select(*by, "n", "w_plus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(var)).alias("z"), (F.col("_ties") > 0).alias("tied"))
@@ -75,11 +126,10 @@ def location_p(df: DataFrame, value: str, delta: float, *by: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, first: Column, *by: str) -> DataFrame:
     """U of the rows where ``first`` holds against the others, per group: n1, n2, u, and the tie-corrected z with continuity."""
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    d = df.where(F.col(value).isNotNull()).withColumn("_f", first).withColumn("_r", average_rank(F.col(value), *by))
-    d = d.withColumn("_t", F.count(F.lit(1)).over(W.partitionBy(*part, value)))
-    g = d.groupBy(*by).agg(
-        F.count_if("_f").alias("n1"), F.count_if(~F.col("_f")).alias("n2"), F.sum(F.when(F.col("_f"), F.col("_r"))).alias("_rank"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties")
+    r = value_ranks(df, value, *by, sums={"_f": F.count_if(first)})
+    k = F.col("_n")
+    g = r.groupBy(*by).agg(
+        F.sum("_f").alias("n1"), F.sum(k - F.col("_f")).alias("n2"), F.sum(F.col("_f") * (F.col("_less") + (k + 1) / 2)).alias("_rank"), F.sum(k * (k * k - 1)).alias("_ties")
     )
     n1, n2 = F.col("n1"), F.col("n2")
     n, u = n1 + n2, F.col("_rank") - n1 * (n1 + 1) / 2

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.shared import settled
 
 
 def quantile_edges(rows: DataFrame, length: str, bins: int) -> DataFrame:
@@ -56,12 +56,10 @@ def manifest(binned: DataFrame, group: str, groups: list[str], bins: int) -> Dat
 
 def balanced(rows: DataFrame, group: str, key: str, seed: int, *by: str) -> DataFrame:
     """As many rows of each group as the smaller one has, within ``by``, in an order fixed by the seed."""
-    part = [F.col(c) for c in by] or [F.lit(1)]
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    r = rows.withColumn("_r", F.row_number().over(W.partitionBy(*part, group).orderBy(order, key))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*part, group)))
-    least = F.min("_n").over(W.partitionBy(*part))
-    both = F.size(F.collect_set(group).over(W.partitionBy(*part)))
-    return r.withColumn("_m", least).withColumn("_g", both).where((F.col("_g") == 2) & (F.col("_r") <= F.col("_m"))).drop("_r", "_n", "_m", "_g")
+    r = stats.hash_places(rows, seed, key, *by, group).withColumnRenamed("_m", "_own")
+    n = rows.groupBy(*by, group).count().groupBy(*by).agg(F.min("count").alias("_least"), F.count(group).alias("_groups"))
+    r = stats.joined(r, n, [*by]) if by else r.crossJoin(F.broadcast(n))  # one row
+    return r.where((F.col("_groups") == 2) & (F.col("_r") <= F.col("_least"))).drop("_r", "_own", "_least", "_groups")
 
 
 def gated(rows: DataFrame, group: str, least: int, *by: str) -> DataFrame:
@@ -83,7 +81,7 @@ def bin_stats(rows: DataFrame, value: str, key: str, reps: int, seed: int, *by:
 
     Rows of synthetic against natural; q over all rows of the table.
     """
-    even = balanced(gated(rows, "grp", least, *by), "grp", key, seed, *by)
+    even = settled(balanced(gated(settled(rows), "grp", least, *by), "grp", key, seed, *by))
     n = even.groupBy(*by).agg(F.count_if(F.col("grp") == "natural").alias("n_natural"), F.count_if(F.col("grp") == "synthetic").alias("n_synthetic"))
     delta = delta_intervals(even, value, "grp", key, reps, seed, *by)
     p = stats.mann_whitney_p(even, value, F.col("grp") == "synthetic", *by).select(*by, "p")
@@ -92,7 +90,7 @@ def bin_stats(rows: DataFrame, value: str, key: str, reps: int, seed: int, *by:
 
 def overall_stats(rows: DataFrame, value: str, key: str, reps: int, seed: int, bin_by: tuple[str, ...], *by: str, least: int = 10) -> DataFrame:
     """The same over all bins of a ``by`` together, each bin gated and balanced first."""
-    even = balanced(gated(rows, "grp", least, *bin_by), "grp", key, seed, *bin_by)
+    even = settled(balanced(gated(settled(rows), "grp", least, *bin_by), "grp", key, seed, *bin_by))
     n = even.groupBy(*by).agg(F.count_if(F.col("grp") == "natural").alias("n_natural"), F.count_if(F.col("grp") == "synthetic").alias("n_synthetic"))
     delta = delta_intervals(even, value, "grp", key, reps, seed, *by)
     p = stats.mann_whitney_p(even, value, F.col("grp") == "synthetic", *by).select(*by, "p")

@@ -11,8 +11,8 @@ from ..functions import stats
 
 def auroc(scores: DataFrame, *by: str) -> DataFrame:
     """Rank-sum AUROC of (label, score); null with one class only."""
-    r = scores.withColumn("_r", stats.average_rank(F.col("score"), *by))
-    g = r.groupBy(*by).agg(F.sum(F.when(F.col("label") == 1, F.col("_r"))).alias("_s"), F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
+    r = stats.value_ranks(scores, "score", *by, sums={"_p": F.count_if(F.col("label") == 1), "_q": F.count_if(F.col("label") == 0)})
+    g = r.groupBy(*by).agg(F.sum(F.col("_p") * (F.col("_less") + (F.col("_n") + 1) / 2)).alias("_s"), F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"))
     p, n = F.col("n_pos"), F.col("n_neg")
     return g.select(*by, "n_pos", "n_neg", F.when((p > 0) & (n > 0), (F.col("_s") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
@@ -40,9 +40,8 @@ def best_threshold(scores: DataFrame, *by: str) -> DataFrame:
 
 def stratified_split(items: DataFrame, fraction: float, seed: int, key: str = "item_id", label: str = "label") -> DataFrame:
     """Marks round(n * fraction) items of each label as calibration rows."""
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    r = items.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(order, key))).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(label)))
-    return r.withColumn("calibration", F.col("_r") <= F.bround(F.col("_n") * fraction, 0)).drop("_r", "_n")
+    r = stats.hash_places(items, seed, key, label)
+    return r.withColumn("calibration", F.col("_r") <= F.bround(F.col("_m") * fraction, 0)).drop("_r", "_m")
 
 
 def leave_one_out(items: DataFrame, tag: str = "tag") -> DataFrame:
