@@ -9,6 +9,11 @@ from ..functions import stats
 from ..functions.shared import settled
 
 
+def pooled(rows: DataFrame, group: str = "group", genome: str = "genome_id", length: str = "length") -> DataFrame:
+    """One length for each genome of a group, however many rows (motifs, k) it has: the largest, should they differ."""
+    return rows.groupBy(group, genome).agg(F.max(length).alias(length))
+
+
 def quantile_edges(rows: DataFrame, length: str, bins: int) -> DataFrame:
     """One row with the array of the bins + 1 quantiles of the lengths, without the dust of interpolation."""
     edges = F.percentile(F.col(length), F.array(*(F.lit(i / bins) for i in range(bins + 1))))

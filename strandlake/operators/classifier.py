@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import kmers
 
 
 def auroc(scores: DataFrame, *by: str) -> DataFrame:
@@ -79,6 +85,47 @@ def sampled_chunks(seqs: DataFrame, length: int, n: int, seed: int, key: str, *k
     return s.select(*keep, key, "chunk_ix", at.alias("start"), F.substr("_s", at + 1, F.lit(length)).alias("chunk"))
 
 
+def base_chunks(seqs: DataFrame, length: int, n: int, seed: int, key: str, *keep: str, seq: str = "seq") -> DataFrame:
+    """``n`` pieces of A, C, G and T only of each sequence: (keep, key, chunk_ix, start, redrawn, chunk).
+
+    A running count of other letters gives the starts of pieces without any, of
+    which the draw picks one; that is what drawing places until one fits comes
+    to, without a limit of tries.  A sequence without such a place gives a piece
+    from any, its other letters redrawn.  Short sequences are repeated first,
+    and an empty or null one is all drawn.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keep, key]
+        for batch in batches:
+            rows = []
+            for i, (own, text) in enumerate(zip(batch.column(key).to_pylist(), batch.column("_s").to_pylist(), strict=True)):
+                text = text or "N" * length
+                if len(text) < length:
+                    text = (text * (length // len(text) + 1))[:length]
+                other = np.r_[0, np.cumsum(kmers.LETTERS[np.frombuffer(text.encode("ascii", "replace"), np.uint8)] == 4)]
+                fit = np.flatnonzero(other[length:] == other[:-length])
+                for c in range(n):
+                    at = counter(seed, own, c)
+                    start = int(fit[at % len(fit)]) if len(fit) else at % (len(text) - length + 1)
+                    chunk = text[start : start + length]
+                    if not len(fit):
+                        chunk = "".join(x if x in BASES else BASES[counter(seed, own, c, j) % 4] for j, x in enumerate(chunk))
+                    rows.append((i, c, start, not len(fit), chunk))
+            if rows:
+                at, ix, start, redrawn, chunk = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in names), pa.array(ix, pa.int32()), pa.array(start, pa.int64()), pa.array(redrawn), pa.array(chunk)], names=[*names, "chunk_ix", "start", "redrawn", "chunk"])
+
+    rows = seqs.select(*keep, key, F.col(seq).alias("_s"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(cut, ", ".join([*kinds, "chunk_ix int, start long, redrawn boolean, chunk string"]))
+
+
+def counter(*key: object) -> int:
+    """As ``stats.draw``, for one key."""
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16)
+
+
 def item_probabilities(chunk_logits: DataFrame, *item: str) -> DataFrame:
     """Mean logit of an item's pieces and its sigmoid."""
     m = chunk_logits.groupBy(*item).agg(F.avg("logit").alias("logit"))
@@ -150,3 +197,40 @@ def merged(tables: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no tables to merge")
     return out
+
+
+#: Tags of each domain (fixed values).
+TAGS = {
+    "eukaryotes": (
+        "Aedes_aegypti", "Apis_mellifera", "Arabidopsis_thaliana", "Bos_taurus", "Branchiostoma_floridae", "Caenorhabditis_elegans", "Canis_familiaris_lupus", "Danio_rerio",
+        "Drosophila_melanogaster", "Gallus_gallus", "Gossypium_barbadense", "Homo_sapiens", "Mus_musculus", "Nematostella_vectensis", "Oryza_sativa", "Saccharina_japonica",
+        "Takifugu_rubripes", "Triticum_aestivum", "Xenopus_tropicalis", "Zea_mays",
+    ),
+    "prokaryotes": ("Archaea", "Chlamydiota", "Mycoplasmatota", "Pseudomonadota"),
+    "viruses": ("Kitrinoviricota", "Nucleocytoviricota", "Peploviricota", "Preplasmiviricota", "Uroviricota", "megaDNA_bacteriophages"),
+}
+
+
+def tag_table(spark: SparkSession) -> DataFrame:
+    """(domain, tag) of all tags."""
+    return spark.createDataFrame([(d, t) for d, tags in TAGS.items() for t in tags], "domain string, tag string")
+
+
+def distance_curve(table: DataFrame, metric: str) -> DataFrame:
+    """(distance_bp, y, y_std) of a summary (columns mean_*) or of rows of tags, told apart by their columns.
+
+    A summary that lacks the metric's mean gives that of auc; y_std is null where the summary has none.
+    """
+    if "distance_bp" not in table.columns:
+        raise ValueError("the table lacks distance_bp")
+    if any(c.startswith("mean_") for c in table.columns):
+        mean = f"mean_{metric}" if f"mean_{metric}" in table.columns else "mean_auc"
+        if mean not in table.columns:
+            raise ValueError(f"the summary lacks {mean}")
+        std = next((c for c in (f"std_{metric}", "std_auc") if c in table.columns), None)
+        return table.select(F.col("distance_bp").cast("double"), F.col(mean).cast("double").alias("y"), (F.col(std) if std else F.lit(None)).cast("double").alias("y_std")).orderBy("distance_bp")
+    metric = "auc" if metric == "mean_auc" else metric
+    if metric not in table.columns:
+        raise ValueError(f"the table lacks {metric}")
+    known = table.where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+    return known.groupBy(F.col("distance_bp").cast("double").alias("distance_bp")).agg(F.avg(metric).alias("y"), F.stddev_samp(metric).alias("y_std")).orderBy("distance_bp")

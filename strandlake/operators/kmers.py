@@ -231,3 +231,19 @@ def bin_summary(delta: DataFrame, early: int, *by: str) -> DataFrame:
 def verdict(share: Column) -> Column:
     """How general a sign is over bins."""
     return F.when(share >= 0.7, "mostly positive").when(share <= 0.3, "mostly negative").otherwise("mixed")
+
+
+def general_pattern(summaries: DataFrame, *by: str) -> DataFrame:
+    """Signs of the bins' summaries (of ``bin_summary``) counted over all bins, and a verdict for coverage and for the early part.
+
+    Only finite values count; a verdict without any is null.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    cov, early = F.col("delta_coverage"), F.col("early_mean")
+    g = summaries.groupBy(*by).agg(
+        F.count("*").alias("n_bins"), F.count_if(finite("delta_coverage")).alias("n_coverage"), F.count_if(finite("delta_coverage") & (cov < 0)).alias("coverage_negative"),
+        F.count_if(finite("delta_coverage") & (cov > 0)).alias("coverage_positive"), F.count_if(finite("early_mean")).alias("n_early"), F.count_if(finite("early_mean") & (early > 0)).alias("early_positive"),
+        F.count_if(finite("early_mean") & (early < 0)).alias("early_negative"), F.count_if("crosses").alias("n_split"),
+    )
+    told = lambda k, n, most, least: F.when(F.col(n) > 0, F.when(F.col(k) / F.col(n) >= 0.7, most).when(F.col(k) / F.col(n) <= 0.3, least).otherwise("mixed"))
+    return g.select("*", told("coverage_negative", "n_coverage", "lower", "higher").alias("coverage"), told("early_positive", "n_early", "positive", "negative").alias("early"))

@@ -265,6 +265,43 @@ def call(seqs: DataFrame, caller: str, *keep: str, seq: str = "seq", **options:
     return seqs.select(*keep, seq).mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), HITS]))
 
 
+#: Names of all motifs in the order in which tables show them, and those of the interval finder (fixed values).
+MOTIF_ORDER, FINDER_MOTIFS = ("GQ", "Z-DNA", "DR", "IR", "MR", "STR"), ("DR", "IR", "MR", "STR")
+
+
+def tidy(g4: DataFrame, zdna: DataFrame, finder: DataFrame, only: tuple[str, ...] = MOTIF_ORDER) -> DataFrame:
+    """The metrics of three callers as one table (pair_id, which, motif, n_hits, bp_covered).
+
+    The first two tables have no motif column, the third one may hold motifs
+    that are not the finder's; these are left out, as are motifs not in
+    ``only``.  Sides are told by the beginning of their labels; what is no
+    number counts as zero.
+    """
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c)
+    shown = lambda t, motif: t.select("pair_id", dna.label_of("which").alias("which"), motif.alias("motif"), number("n_hits"), number("bp_covered"))
+    all_ = shown(g4, F.lit("GQ")).unionByName(shown(zdna, F.lit("Z-DNA"))).unionByName(shown(finder.where(F.col("motif").isin(*FINDER_MOTIFS)), F.col("motif")))
+    return all_.where(F.col("motif").isin(*only))
+
+
+def grid(rows: DataFrame, bins: list[int], measures: tuple[str, ...] = ("bp_covered", "n_hits"), motifs: tuple[str, ...] = MOTIF_ORDER, group: str = "grp") -> DataFrame:
+    """For every measure and motif, over each bin and (bin null) over all: rows and means of both groups and the difference.
+
+    ``rows`` has motif, bin, the group and the measures.  Grouping sets give bins and
+    totals in one pass; a cell of the full grid without rows has zero counts and null means.
+    """
+    long = rows.select("motif", "bin", group, F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))))
+    of = lambda f, g: f(F.when(F.col(group) == g, F.col("value")))
+    sets = [[F.col("measure"), F.col("motif"), F.col("bin")], [F.col("measure"), F.col("motif")]]
+    cells = long.groupingSets(sets, F.col("measure"), F.col("motif"), F.col("bin")).agg(
+        F.grouping("bin").alias("_all"), *(of(f, g).alias(f"{name}_{g}") for g in ("natural", "synthetic") for name, f in (("n", F.count), ("mean", F.avg)))
+    )
+    spark = rows.sparkSession
+    full = spark.createDataFrame([(m, t, b, int(b is None)) for m in measures for t in motifs for b in [*bins, None]], "measure string, motif string, bin int, _all int")
+    j = stats.joined(full, cells.withColumn("bin", F.col("bin").cast("int")), ["measure", "motif", "bin", "_all"], "left")
+    n = [F.coalesce(f"n_{g}", F.lit(0)).alias(f"n_{g}") for g in ("natural", "synthetic")]
+    return j.select("measure", "motif", "bin", *n, "mean_natural", "mean_synthetic", (F.col("mean_synthetic") - F.col("mean_natural")).alias("delta"))
+
+
 def metrics(hits: DataFrame, *by: str) -> DataFrame:
     """n_hits and bp_covered per group; overlaps count twice, groups without hits are absent."""
     return hits.groupBy(*by).agg(F.count("class").alias("n_hits"), F.sum(F.greatest(F.lit(0), F.col("end") - F.col("start"))).alias("bp_covered"))

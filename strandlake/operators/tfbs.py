@@ -55,33 +55,74 @@ def scan(seqs: DataFrame, motifs: DataFrame, *keep: str, seq: str = "seq", site_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tails = [score_tail(x, np.array(base)) for *_, x in known]
         for batch in batches:
-            letter, first = kmers.letters(batch.column("_s"))
-            other = np.r_[0, np.cumsum(letter == 4)]
-            row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            for (name, alt, threshold, x), (least, tail) in zip(known, tails, strict=True):
-                n, w = len(letter) - len(x) + 1, len(x)
-                if n <= 0:
-                    continue
-                good = (other[w:] == other[:-w]) & (np.arange(n) + w <= first[row_of[:n] + 1])
-                for strand, y in (("+", x), ("-", x[::-1, ::-1])):
-                    y = np.c_[y, np.zeros(w)]
-                    score = sum(y[j][letter[j : j + n]] for j in range(w))
-                    hit = np.flatnonzero(good & (score >= threshold))
-                    p = tail[np.clip(np.rint(score[hit] * GRAIN).astype(np.int64) - least, 0, len(tail) - 1)]
-                    if site_p is not None:
-                        hit, p = hit[p < site_p], p[p < site_p]
-                    start = hit - first[row_of[hit]]
-                    own = [batch.column(c).take(pa.array(row_of[hit])) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(hit), pa.string()), pa.array([alt] * len(hit), pa.string()), pa.array([strand] * len(hit), pa.string()), pa.array(start, pa.int64()), pa.array(start + w, pa.int64()), pa.array(score[hit]), pa.array(p)], names=[*keep, *HITS])
-
-    schema = seqs.select(*keep).schema
+            yield from _scanned(batch, keep, known, tails, site_p)
+
+    return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(run, _schema(seqs, keep))
+
+
+def _schema(seqs: DataFrame, keep: tuple[str, ...]) -> str:
     types = ("string", "string", "string", "long", "long", "double", "double")
-    return seqs.select(*keep, F.col(seq).alias("_s")).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"`{c}` {t}" for c, t in zip(HITS, types, strict=True))]))
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.select(*keep).schema), *(f"`{c}` {t}" for c, t in zip(HITS, types, strict=True))])
+
+
+def _scanned(batch: pa.RecordBatch, keep: tuple[str, ...], known: list[tuple], tails: list[tuple[int, np.ndarray]], site_p: float | None) -> Iterator[pa.RecordBatch]:
+    """Hits of motifs (id, other name, threshold, scores) in the sequences of a batch."""
+    letter, first = kmers.letters(batch.column("_s"))
+    other = np.r_[0, np.cumsum(letter == 4)]
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for (name, alt, threshold, x), (least, tail) in zip(known, tails, strict=True):
+        n, w = len(letter) - len(x) + 1, len(x)
+        if n <= 0:
+            continue
+        good = (other[w:] == other[:-w]) & (np.arange(n) + w <= first[row_of[:n] + 1])
+        for strand, y in (("+", x), ("-", x[::-1, ::-1])):
+            y = np.c_[y, np.zeros(w)]
+            score = sum(y[j][letter[j : j + n]] for j in range(w))
+            hit = np.flatnonzero(good & (score >= threshold))
+            p = tail[np.clip(np.rint(score[hit] * GRAIN).astype(np.int64) - least, 0, len(tail) - 1)]
+            if site_p is not None:
+                hit, p = hit[p < site_p], p[p < site_p]
+            start = hit - first[row_of[hit]]
+            own = [batch.column(c).take(pa.array(row_of[hit])) for c in keep]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([name] * len(hit), pa.string()), pa.array([alt] * len(hit), pa.string()), pa.array([strand] * len(hit), pa.string()), pa.array(start, pa.int64()), pa.array(start + w, pa.int64()), pa.array(score[hit]), pa.array(p)], names=[*keep, *HITS])
 
 
 HITS = ("motif_id", "motif_alt_id", "strand", "start", "end", "score", "p_value")
 
 
+def scan_own(seqs: DataFrame, motifs: DataFrame, *keep: str, seq: str = "seq", base: str = "base", site_p: float = 1e-4, pseudocount: float = 0.1, digits: int = 2) -> DataFrame:
+    """Hits below ``site_p`` of motifs (motif_id, motif_alt_id, matrix) against each sequence's own background.
+
+    ``base`` names an array of the sequence's shares of A, C, G and T; they are
+    rounded to ``digits``, and never below one unit there, so that scores and
+    p-value tables of a background are made once in a task and kept for the
+    sequences that share it.  Scores are log2 odds in grains, p-values exact
+    for them.
+    """
+    table = motifs.limit(MOST_MOTIFS + 1).collect()
+    if len(table) > MOST_MOTIFS:
+        raise ValueError("too many motifs for one scan")
+    matrices = [(m.motif_id, m.motif_alt_id, np.array(m.matrix, dtype=float)) for m in table]
+    unit = 10.0**-digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[tuple[float, ...], tuple[list, list]] = {}
+        for batch in batches:
+            shares = np.array([b or [0.25] * 4 for b in batch.column("_b").to_pylist()], dtype=float).reshape(-1, 4)
+            shares = np.maximum(np.rint(shares / unit), 1)
+            shares /= shares.sum(axis=1, keepdims=True)
+            for b in np.unique(shares, axis=0):
+                key = tuple(b)
+                if key not in made:
+                    if len(made) >= 64:  # bounds a task's memory; the oldest goes
+                        made.pop(next(iter(made)))
+                    scores = [np.rint(np.log2((m + pseudocount * b) / (1 + pseudocount) / b) * GRAIN) / GRAIN for *_, m in matrices]
+                    made[key] = ([(i, alt, -np.inf, x) for (i, alt, _), x in zip(matrices, scores, strict=True)], [score_tail(x, b) for x in scores])
+                yield from _scanned(batch.filter(pa.array((shares == b).all(axis=1))), keep, *made[key], site_p)
+
+    return seqs.select(*keep, F.col(seq).alias("_s"), F.col(base).cast("array<double>").alias("_b")).mapInArrow(run, _schema(seqs, keep))
+
+
 def with_q(hits: DataFrame, *by: str) -> DataFrame:
     """Hits with q-values within each motif (and ``by``)."""
     return stats.bh(hits, "p_value", (*by, "motif_id"), "q_value")

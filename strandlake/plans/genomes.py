@@ -359,13 +359,14 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     return tfbs.volcano(tfbs.enrichment(counts))
 
 
-FISHER_SQL = f"""WITH {FISHER_COUNTS}, t AS (SELECT c.*, sum(hits_orig) OVER () AS total_orig, sum(hits_syn) OVER () AS total_syn FROM c),
+_FISHER = """t AS (SELECT c.*, sum(hits_orig) OVER () AS total_orig, sum(hits_syn) OVER () AS total_syn FROM c),
 f AS (SELECT *, hits_orig AS a, hits_orig+hits_syn AS c1, total_orig AS r1, total_syn AS r2 FROM t WHERE hits_orig+hits_syn>0),
 x AS (SELECT motif_key, a, unnest(range(greatest(0,c1-r2)::BIGINT, least(r1,c1)::BIGINT+1)) AS x, r1, r2, c1 FROM f),
 lp AS (SELECT motif_key, x=a AS own, lgamma(r1+1)+lgamma(r2+1)+lgamma(c1+1)+lgamma(r1+r2-c1+1)-lgamma(r1+r2+1)-lgamma(x+1)-lgamma(r1-x+1)-lgamma(c1-x+1)-lgamma(r2-c1+x+1) AS lp FROM x),
 p AS (SELECT motif_key, least(1.0, sum(exp(lp)) FILTER (lp <= o+1e-7)) AS p FROM (SELECT *, max(lp) FILTER (own) OVER (PARTITION BY motif_key) AS o FROM lp) GROUP BY motif_key),
 q AS (SELECT *, least(1.0, min(p*m/r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, motif_key) AS r, count(*) OVER () AS m FROM p))
 SELECT f.motif_key, hits_orig, hits_syn, total_orig::BIGINT AS total_orig, total_syn::BIGINT AS total_syn, round(log2((hits_orig+0.5)/(hits_syn+0.5)),6) AS log2fc, round(p,6) AS p, round(-log10(p),6) AS neglog10_p, round(q,6) AS p_fdr, CASE WHEN p<0.05 AND abs(log2((hits_orig+0.5)/(hits_syn+0.5)))>1 THEN CASE WHEN hits_orig>hits_syn THEN 'red' ELSE 'blue' END ELSE 'grey' END AS colour FROM f JOIN q USING (motif_key)"""
+FISHER_SQL = f"WITH {FISHER_COUNTS}, {_FISHER}"
 
 
 @query(FISHER_SQL)
@@ -398,11 +399,13 @@ _WORDS_SQL = " UNION ALL ".join(
 )
 
 
-@query(f"""WITH {MD5_SQL}, wd AS ({_WORDS_SQL}), pw AS (SELECT motif_id, word, score, sum(c) OVER (PARTITION BY motif_id ORDER BY score DESC RANGE UNBOUNDED PRECEDING) / 4096.0::DOUBLE AS p FROM (SELECT *, 1 AS c FROM wd)),
-st AS (SELECT pair_id, which, doc_id, '+' AS strand, seq AS s FROM m UNION ALL SELECT pair_id, which, doc_id, '-', reverse(translate(seq,'ACGT','TGCA')) FROM m),
-pc AS (SELECT pair_id, which, doc_id, strand, length(s) AS n, j*128 AS o, substr(s, (j*128+1)::INT, 133) AS s FROM st, unnest(range(0, (length(s)+127)//128)) t(j)),
-hw AS (SELECT pair_id, which, doc_id, strand, n, o+i-1 AS pos, substr(s, i::INT, 6) AS word FROM pc, unnest(range(1, length(s)-4)) t(i))
-SELECT pair_id, which, doc_id, motif_id, strand, CASE strand WHEN '+' THEN pos ELSE n-6-pos END AS start, score, round(p,9) AS p_value FROM hw JOIN pw USING (word) WHERE p < {SITE_P}""")
+SCAN_SQL = f"""{MD5_SQL}, wd AS ({_WORDS_SQL}), pw AS (SELECT motif_id, word, score, sum(c) OVER (PARTITION BY motif_id ORDER BY score DESC RANGE UNBOUNDED PRECEDING) / 4096.0::DOUBLE AS p FROM (SELECT *, 1 AS c FROM wd)),
+st AS (SELECT grp, pair_id, which, doc_id, '+' AS strand, seq AS s FROM m UNION ALL SELECT grp, pair_id, which, doc_id, '-', reverse(translate(seq,'ACGT','TGCA')) FROM m),
+pc AS (SELECT grp, pair_id, which, doc_id, strand, length(s) AS n, j*128 AS o, substr(s, (j*128+1)::INT, 133) AS s FROM st, unnest(range(0, (length(s)+127)//128)) t(j)),
+hw AS (SELECT grp, pair_id, which, doc_id, strand, n, o+i-1 AS pos, substr(s, i::INT, 6) AS word FROM pc, unnest(range(1, length(s)-4)) t(i))"""
+
+
+@query(f"WITH {SCAN_SQL} SELECT pair_id, which, doc_id, motif_id, strand, CASE strand WHEN '+' THEN pos ELSE n-6-pos END AS start, score, round(p,9) AS p_value FROM hw JOIN pw USING (word) WHERE p < {SITE_P}")
 def motif_scan(spark: SparkSession, sf: str) -> DataFrame:
     hits = tfbs.scan(md5_dna(spark, sf), _scanned(spark), "pair_id", "which", "doc_id", site_p=SITE_P)
     return hits.select("pair_id", "which", "doc_id", "motif_id", "strand", "start", "score", F.round("p_value", 9).alias("p_value"))
@@ -413,7 +416,8 @@ def _scanned(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "motif_id string, motif_alt_id string, w int, scores array<array<double>>, threshold double")
 
 
-@query()
+@query(f"""WITH {SCAN_SQL}, ht AS (SELECT which, motif_id, p FROM hw JOIN pw USING (word) WHERE p < {SITE_P}), hq AS {bh_sql("ht", "motif_id")},
+c AS (SELECT concat(motif_id, '|', motif_id) AS motif_key, count(*) FILTER (which='orig') AS hits_orig, count(*) FILTER (which='syn') AS hits_syn FROM hq WHERE q < 1.0 GROUP BY 1), {_FISHER}""")
 def motif_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """From sequences to enrichment: scan, q-values, surviving hits, counts of both sides, Fisher."""
     hits = tfbs.with_q(tfbs.scan(md5_dna(spark, sf), _scanned(spark), "pair_id", "which", site_p=SITE_P))

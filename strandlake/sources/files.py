@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import dna, names
 
 
-def fasta(spark: SparkSession, paths: str | list[str], softmask_to_n: bool = False) -> DataFrame:
+def fasta(spark: SparkSession, paths: str | list[str], softmask_to_n: bool = False, headless: bool = True) -> DataFrame:
     """Records of plain or gzipped FASTA files: path, record_ix, record_id, header, seq, length, eff_len.
 
-    Text before the first header is a record without one; empty records are kept.
+    Text before the first header is a record without one, or left out if not
+    ``headless``; empty records are kept.  A record is one row: for long ones
+    there is ``tiles.fasta_tiles``.
     """
     text = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_i"), "value")
     first = F.row_number().over(W.partitionBy("path").orderBy("_i")) == 1
     body = F.when(first, F.col("value")).otherwise(F.concat(F.lit(">"), F.col("value")))
     r = text.select("path", "_i", body.alias("b")).where(F.trim("b") != "")
+    r = r if headless else r.where(F.col("b").startswith(">"))
     header = F.when(F.col("b").startswith(">"), F.regexp_extract("b", r"^>([^\r\n]*)", 1))
     seq = F.regexp_replace(F.when(F.col("b").startswith(">"), F.regexp_replace("b", r"^>[^\n]*\n?", "")).otherwise(F.col("b")), r"\s", "")
     r = r.select("path", (F.row_number().over(W.partitionBy("path").orderBy("_i")) - 1).alias("record_ix"), header.alias("header"), dna.clean(seq, softmask_to_n).alias("seq"))
@@ -45,6 +48,39 @@ def selected_pairs(pairs: DataFrame, tokens: list[str]) -> DataFrame:
     return pairs.where(F.col("row_ix").isin([int(t) for t in tokens if t.isdigit()]) | F.col("id").isin([t for t in tokens if not t.isdigit()]))
 
 
+def first_of(rows: DataFrame, n: int | None, index: str = "row_ix", *by: str) -> DataFrame:
+    """The first ``n`` rows in the order of the file, of each ``by`` if named; all without a limit.  The index counts from any number, without gaps or with."""
+    if n is None:
+        return rows
+    if not by:
+        last = rows.select(index).orderBy(index).limit(n).agg(F.max(index).alias("_last"))
+        return rows.crossJoin(F.broadcast(last)).where(F.col(index) <= F.col("_last")).drop("_last")  # one row
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(index))).where(F.col("_r") <= n).drop("_r")
+
+
+def motif_folders(spark: SparkSession, orig: str, syn: str, site_p: float = 1e-4, site_q: float = 1.0) -> DataFrame:
+    """Surviving hits of both sides for each motif folder of the orig side: motif, hits_orig, hits_syn.
+
+    Folders hold fimo.tsv or fimo.tsv.gz.  The orig side decides which motifs there are; a missing file has no hits.
+    """
+
+    def hits(folder: str, name: str) -> DataFrame:
+        t = spark.read.option("sep", "\t").option("comment", "#").option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "fimo.tsv*").option("ignoreMissingFiles", True)
+        t = t.schema("motif_id string, motif_alt_id string, sequence_name string, start string, stop string, strand string, score string, `p-value` string, `q-value` string, matched_sequence string").csv(folder)
+        good = (_number("p-value") < site_p) & (_number("q-value") < site_q)
+        return t.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("motif"), good.alias("_g")).groupBy("motif").agg(F.count_if("_g").alias(name))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "fimo.tsv*").load(orig).select(F.element_at(F.split("path", "/"), -2).alias("motif")).distinct()
+    both = files.join(hits(orig, "hits_orig"), "motif", "left").join(hits(syn, "hits_syn"), "motif", "left")
+    return both.select("motif", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("hits_orig", "hits_syn")))
+
+
+def background_lines(shares: DataFrame) -> DataFrame:
+    """The lines of a background file (letter, share) of one row with the shares A, C, G and T."""
+    letter = F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.col(b).alias("p")) for b in "ACGT"))).alias("x")
+    return shares.select(letter).select(F.concat(F.col("x.b"), F.lit(" "), F.format_string("%.6f", "x.p")).alias("value"))
+
+
 def with_files(pairs: DataFrame, records: DataFrame, policy: str = "status") -> DataFrame:
     """Pairs in long form (id, which, path) with their sequences; a missing file gets a status, is skipped, or fails."""
     long = pairs.select("id", F.explode(F.array(F.struct(F.lit("orig").alias("which"), F.col("orig").alias("file")), F.struct(F.lit("syn").alias("which"), F.col("syn").alias("file")))).alias("x")).select("id", "x.*")
@@ -66,10 +102,11 @@ def meme(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.get(head, 0).alias("motif_id"), F.coalesce(F.nullif(F.get(head, 1), F.lit("")), F.get(head, 0)).alias("motif_alt_id"), F.size(matrix).alias("w"), matrix.alias("matrix"))
 
 
-def log_odds(motifs: DataFrame, pseudocount: float = 0.1, background: float = 0.25) -> DataFrame:
-    """Motifs with ``scores``, the log2 odds of each cell."""
-    cell = lambda p: F.log2((p + pseudocount * background) / (1 + pseudocount) / background)
-    return motifs.withColumn("scores", F.transform("matrix", lambda r: F.transform(r, cell)))
+def log_odds(motifs: DataFrame, pseudocount: float = 0.1, background: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """Motifs with ``scores``, the log2 odds of each cell against the shares of A, C, G and T."""
+    base = F.array(*map(F.lit, background))
+    cell = lambda p, b: F.log2((p + pseudocount * b) / (1 + pseudocount) / b)
+    return motifs.withColumn("scores", F.transform("matrix", lambda r: F.zip_with(r, base, cell)))
 
 
 def _number(c: str) -> Column:
