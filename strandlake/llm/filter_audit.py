@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import discard, materialize, words_of
 
 FILTERS = "ABCDE"
 SYMBOLS = "#$%&*|"
@@ -102,4 +102,9 @@ def audit(table: DataFrame) -> DataFrame:
 
 
 def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
-    return audit(cells(masks(docs, id_col, text_col, part_col), labels))
+    """The texts are read once: their masks are written, counted into cells, and deleted; the cells are the table that stays."""
+    rows = materialize(masks(docs, id_col, text_col, part_col))
+    try:
+        return audit(materialize(cells(rows, labels)))
+    finally:
+        discard(rows)
