@@ -1,10 +1,11 @@
 """Chat formatting of reply trees (operator 2).
 
-Messages with a parent form trees.  Root-to-leaf paths are enumerated by
-repeated self-joins: each round doubles the distance of the jump pointers and
-of the known part of every path, so a thread of n messages takes log2(n)
-rounds.  Branches are ranked by the sum of their scores, and each chosen path
-is written as one conversation.
+Messages with a parent form trees.  Repeated self-joins enumerate root-to-leaf
+paths: each round doubles the distance of the jump pointers and sums the
+scores that they pass, so a thread of n messages takes log2(n) rounds of n
+rows.  Leaves are ranked by the sums of their branches; then only the chosen
+branches are spelled out, by the pointers of the same rounds, and each is
+written as one conversation.
 
 The template writes a turn as ``### role: text</turn>`` and a line end.  In
 texts a backslash becomes two, ``###`` becomes ``\\h`` and ``</turn>`` becomes
@@ -14,8 +15,10 @@ assistant texts in the output, in code points.
 Defined results: null role or text counts as empty; rows of a conversation
 with equal turns are ordered by role and text, repeated ones are all kept; a
 null turn comes first; a null conversation is one of its own; a message whose
-parent is missing is a root, and messages on a cycle belong to no path; an
-empty table gives no rows; other columns are ignored.
+parent is missing is a root, and messages on a cycle belong to no path; texts
+of any length are written whole, a conversation as one row; an empty table
+gives no rows; other columns are ignored.  The formatted conversations are the
+only table that a call leaves behind.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 ASSISTANT = "assistant"
 
@@ -38,27 +41,47 @@ def threads(rows: DataFrame) -> DataFrame:
     )
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up) for every root-to-leaf path: ``up`` steps above its leaf stands ``node``."""
-    key = lambda t, n: F.struct(F.col(t).alias("tree"), F.col(n).alias("node"))  # noqa: E731  null trees compare equal within a struct key
-    nodes = materialize(messages.select("tree", "node", "parent"))
+def climbs(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, total): the scores from each node to its root, summed; and the jump pointers (tree, node, to) of 1, 2, 4 and more steps.
+
+    Nodes that hang from a cycle have no total.  The tables are written; the caller discards them.
+    """
+    nodes = messages.select("tree", "node", "parent", "score")
     size = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    exists = nodes.select(F.xxhash64(key("tree", "node")).alias("_h"), F.col("tree").alias("_t"), F.col("node").alias("_n"))
+    exists = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     same_tree = F.col("tree").eqNullSafe(F.col("_t"))
-    jump = materialize(nodes.join(exists, same_tree & (F.col("parent") == F.col("_n")), "left_semi").select("tree", "node", F.col("parent").alias("to")))
-    used = jump.select(F.col("tree").alias("_t"), F.col("to").alias("_n"))
-    part = materialize(nodes.join(used, same_tree & (F.col("node") == F.col("_n")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    step = 1
-    while step < max(2, 2 * size) and not jump.isEmpty():
-        far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"))
-        more = part.join(far, same_tree & (F.col("node") == F.col("_n"))).select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + step).alias("up"))
-        part = materialize(part.unionAll(more))
-        jump = materialize(jump.join(far, same_tree & (F.col("to") == F.col("_n"))).select("tree", "node", F.col("_to").alias("to")))
+    state = materialize(nodes.join(exists, same_tree & (F.col("parent") == F.col("_n")), "left").select("tree", "node", F.col("_n").alias("to"), "score"))
+    tables, step = [state], 1
+    while step < max(2, 2 * size) and not (state := tables[-1]).where("to IS NOT NULL").isEmpty():
+        far = state.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("score").alias("_s"))
+        on = state.join(far, same_tree & (F.col("to") == F.col("_n")), "left")
+        tables.append(materialize(on.select("tree", "node", F.col("_to").alias("to"), (F.col("score") + F.coalesce("_s", F.lit(0))).alias("score"))))
         step *= 2
-    if jump.isEmpty():
-        return part
-    endless = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))  # hangs from a cycle
-    return part.join(endless, same_tree & (F.col("leaf") == F.col("_n")), "left_anti")
+    return tables[-1].where("to IS NULL").select("tree", "node", F.col("score").alias("total")), tables
+
+
+def branches(messages: DataFrame, totals: DataFrame, best: int) -> DataFrame:
+    """(tree, leaf, score, rank) of the ``best`` leaves of each tree."""
+    same = F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))
+    used = messages.select(F.col("tree").alias("_t"), F.col("parent").alias("_n"))
+    leaves = totals.join(used, same, "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("score"))
+    return leaves.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).where(F.col("rank") <= best)
+
+
+def spelled(leaves: DataFrame, jumps: list[DataFrame], written: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up) for the paths of ``leaves``: ``up`` steps above its leaf stands ``node``.
+
+    Tables that are written on the way are added to ``written``.
+    """
+    part = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        far = jump.where("to IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"))
+        more = part.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
+        part = part.unionAll(more.select("tree", "leaf", F.col("_to").alias("node"), (F.col("up") + 2**k).alias("up")))
+        if k % 2:  # each round reads the one before twice
+            part = materialize(part)
+            written.append(part)
+    return part
 
 
 def escape(text: Column, role: bool = False) -> Column:
@@ -78,12 +101,23 @@ def unescape(text: Column) -> Column:
 def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """The ``best`` paths of each tree by score: tree, leaf, rank, score, formatted, loss_spans (start, length)."""
     messages = materialize(messages)
-    p = paths(messages)
-    m = messages.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text", "score")
+    totals, jumps = climbs(messages)
+    tables = [messages, *jumps]
+    try:
+        leaves = materialize(branches(messages, totals, best))
+        tables.append(leaves)
+        return materialize(_formatted(messages, leaves, spelled(leaves, jumps, tables)))
+    finally:
+        discard(*tables)
+
+
+def _formatted(messages: DataFrame, leaves: DataFrame, p: DataFrame) -> DataFrame:
+    m = messages.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text")
     full = p.join(m, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
     turn = F.struct((-F.col("up")).alias("o"), "role", "text")
-    whole = full.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
-    ranked = whole.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= best)
+    whole = full.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    chosen = leaves.select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "rank", "score")
+    ranked = whole.join(chosen, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("leaf") == F.col("_l")))
     shaped = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("### "), escape(t["role"], True), F.lit(": ")).alias("head"), escape(t["text"]).alias("body")))
     ranked = ranked.select("tree", "leaf", "rank", "score", shaped.alias("s"))
     end = "</turn>\n"

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import filter_audit, parsing, pii, pii_examples, queries, whitening
+from strandlake.llm import chat, filter_audit, parsing, pii, pii_examples, queries, whitening
 
 DOCS = "doc_id long, text string, source string, digest string, n int, _t string"
 
@@ -192,3 +192,37 @@ def test_queries_read_their_tables(spark, sf):
     assert queries.op11_pii(spark, sf).where(F.length("spans") > 0).count() > 0
     assert queries.op12_whitening(spark, sf).agg(F.max("identity_error")).first()[0] < 1e-4
     assert queries.op13_filter_audit(spark, sf).count() % 600 == 0
+
+
+def test_deep_trees_are_ranked_before_they_are_spelled_out(spark, monkeypatch):
+    rng = random.Random(12)
+    comb = [("comb", i, i - 1 if i else None, "user", f"t{i}", 1) for i in range(400)] + [("comb", 1000 + i, i, "assistant", f"leaf{i}", rng.randrange(900)) for i in range(400)]
+    trees = [(t, i, rng.randrange(i) if i else None, rng.choice(["user", "assistant"]), f"{t}-{i}", rng.randrange(-3, 9)) for t in ("a", "b", None) for i in range(60)]
+    trees += [("loop", 0, 1, "user", "x", 1), ("loop", 1, 0, "user", "y", 1), ("loop", 2, 1, "user", "z", 1), ("loop", 3, 99, "user", "own root", 1)]
+    written = []
+
+    def counting(df, *by):
+        out = chat_materialize(df, *by)
+        written.append(out.count())
+        return out
+
+    chat_materialize = chat.materialize
+    monkeypatch.setattr(chat, "materialize", counting)
+    rows = comb + trees
+    got = chat.read_back(chat.format_paths(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score long"), best=3)).collect()
+    assert max(written) <= 2 * len(rows) + 3 * 800
+    by_tree = {}
+    for r in rows:
+        by_tree.setdefault(r[0], {})[r[1]] = r
+    for tree, nodes in by_tree.items():
+        parents, found = {r[2] for r in nodes.values()}, []
+        for leaf in nodes.keys() - parents:
+            path, at = [], leaf
+            while at in nodes and len(path) <= len(nodes):
+                path.append(nodes[at])
+                at = nodes[at][2]
+            if len(path) <= len(nodes):
+                found.append((-sum(r[5] for r in path), leaf, [(r[3], r[4]) for r in reversed(path)]))
+        want = [(-s, leaf, turns) for s, leaf, turns in sorted(found)[:3]]
+        own = sorted((r for r in got if r.tree == tree), key=lambda r: r["rank"])
+        assert [(r.score, r.leaf, [(t.role, t.text) for t in r.turns]) for r in own] == want
