@@ -49,16 +49,19 @@ def run_domain(run_id: Column | str, renamed: dict[str, str] | None = None) -> C
 
 
 def support_parts(path: Column | str) -> Column:
-    """tag, k, bin, lo and hi of a ``TAG.kK.binN_Llo_to_hi.support_stats.csv`` name; what a shorter name lacks is null."""
+    """tag, k, bin, lo and hi of a ``TAG.kK.binN_Llo_to_hi.support_stats.csv`` name; what a shorter name lacks is null.
+
+    The name is split at its last ``.kK``, then its bin, then the bin's range.
+    """
     b = base_name(path)
-    end = r"\.support_stats\.csv$"
-    full, binned, plain = rf"^(.+)\.k(\d+)\.bin(\d+)_L(\d+)_to_(\d+){end}", rf"^(.+)\.k(\d+)\.bin(\d+).+{end}", rf"^(.+)\.k(\d+).+{end}"
-    part = lambda pattern, i: F.nullif(F.regexp_extract(b, pattern, i), F.lit(""))
-    first = lambda i, *patterns: F.coalesce(*(part(p, i) for p in patterns))
-    return F.struct(
-        F.coalesce(first(1, full, binned, plain), F.regexp_replace(b, r"(?<=.)\.[^.]*$", "")).alias("tag"), first(2, full, binned, plain).cast("int").alias("k"),
-        first(3, full, binned).cast("int").alias("bin"), part(full, 4).cast("long").alias("lo"), part(full, 5).cast("long").alias("hi"),
-    )
+    whole = rf"^(.+)\.k(\d+)(?:\.bin(\d+)(?:_L(\d+)_to_(\d+)|.+)|.+){SUPPORT}$"
+    parts = [F.nullif(F.regexp_extract(b, whole, i), F.lit("")) for i in range(1, 6)]
+    tag = F.coalesce(parts[0], F.regexp_replace(b, r"(?<=.)\.[^.]*$", ""))
+    return F.struct(tag.alias("tag"), *(p.cast(t).alias(n) for p, n, t in zip(parts[1:], ("k", "bin", "lo", "hi"), ("int", "int", "long", "long"), strict=True)))
+
+
+#: How names of support tables end (fixed value).
+SUPPORT = r"\.support_stats\.csv"
 
 
 def has_prefix(path: Column | str, tag: str | None = None, k: int | None = None) -> Column:

@@ -200,32 +200,48 @@ def rank_sum_sf(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([float(_rank_sums(int(x), int(y))[int(a)]) if ok(a, x, y) else None for a, x, y in zip(u, n1, n2, strict=True)], dtype="float64")
 
 
+@cache
+def _log_factorials(size: int) -> np.ndarray:
+    """log n! for n below a power of two."""
+    return np.r_[0.0, np.cumsum(np.log(np.arange(1, size)))]
+
+
+def _log_factorial(top: int) -> np.ndarray:
+    return _log_factorials(1 << max(10, int(top + 1).bit_length()))
+
+
 @F.pandas_udf(T.DoubleType())
 def binomial_sf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= k) of a binomial, summed in log space."""
 
     def one(k: int, n: int, p: float) -> float:
-        if k <= 0:
-            return 1.0
-        if k > n:
-            return 0.0
-        terms = (math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k, n + 1))
-        return min(1.0, math.fsum(map(math.exp, terms)))
+        if k <= 0 or k > n:
+            return float(k <= 0)
+        f, j = _log_factorial(n), np.arange(k, n + 1)
+        return min(1.0, math.fsum(np.exp(f[n] - f[j] - f[n - j] + j * math.log(p) + (n - j) * math.log1p(-p)).tolist()))
 
     return pd.Series([one(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
 
 
+#: Up to this total, logarithms of factorials come from a table; beyond it the far tails, which have no weight, are left out too.
+FISHER_TABLE = 1 << 22
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Fisher's exact test of [[a, b], [c, d]]: all tables no likelier than this one."""
 
     def one(a: int, b: int, c: int, d: int) -> float:
         r1, r2, c1 = a + b, c + d, a + c
-        lf = lambda x: math.lgamma(x + 1)
-        base = lf(r1) + lf(r2) + lf(c1) + lf(r1 + r2 - c1) - lf(r1 + r2)
-        lp = lambda x: base - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x)
-        limit = lp(a) + 1e-7
-        return min(1.0, math.fsum(math.exp(v) for x in range(max(0, c1 - r2), min(r1, c1) + 1) if (v := lp(x)) <= limit))
+        x = np.arange(max(0, c1 - r2), min(r1, c1) + 1)
+        if r1 + r2 < FISHER_TABLE:
+            f = _log_factorial(r1 + r2)
+            lp = f[r1] + f[r2] + f[c1] + f[r1 + r2 - c1] - f[r1 + r2] - f[x] - f[r1 - x] - f[c1 - x] - f[r2 - c1 + x]
+        else:  # by the ratios of neighbouring tables, from the least x on
+            ratio = np.log((r1 - x[:-1]) * (c1 - x[:-1] + 0.0)) - np.log((x[:-1] + 1.0) * (r2 - c1 + x[:-1] + 1))
+            lp = np.r_[0.0, np.cumsum(ratio)]
+            lp -= lp.max() + math.log(np.exp(lp - lp.max()).sum())
+        return min(1.0, math.fsum(np.exp(lp[lp <= lp[a - x[0]] + 1e-7]).tolist()))
 
     return pd.Series([one(*(int(v) for v in row)) for row in zip(a, b, c, d, strict=True)])
 

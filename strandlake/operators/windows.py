@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
+from ..functions.shared import settled
 
 
 def allocation(contigs: DataFrame, n_windows: int) -> DataFrame:
@@ -18,7 +19,7 @@ def allocation(contigs: DataFrame, n_windows: int) -> DataFrame:
 
     No sort of all contigs: at most ``n_windows`` of them get one of the rest.
     """
-    contigs = contigs.select("name", "length").persist()  # two narrow columns, read four times
+    contigs = settled(contigs.select("name", "length"))  # two narrow columns, read four times
     total = F.sum("length").alias("_total")
     a = contigs.crossJoin(F.broadcast(contigs.agg(total))).withColumn("_share", F.try_divide(F.lit(float(n_windows)) * F.col("length"), F.col("_total")))
     a = a.withColumn("_base", F.floor("_share")).withColumn("_left", F.col("_share") - F.col("_base"))

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,10 +242,17 @@ def test_rows_only_queries(spark, sf):
     assert sum(r.hits_orig + r.hits_syn for r in volcano) == hits.count()
 
 
-def test_entry_without_llm():
-    import __spark_entry__
+def test_entry_without_llm(tmp_path):
+    """The rest imports and registers its queries once both folders and the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
 
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "strandlake"), tmp_path / "strandlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = set(e.queries()); assert len(q) > 60 and set(e.oracle_sql()) <= q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
 def test_streaming_counts(spark, sf, tmp_path):
