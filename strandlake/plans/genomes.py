@@ -7,8 +7,11 @@ natural and original sequences, odd ids for synthetic ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +68,44 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """Documents dealt to all cores if their files have fewer parts than that; the letters of a sequence cost far more than their shuffle."""
+    n = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(n, "doc_id") if d.rdd.getNumPartitions() < n else d
+
+
 def text_dna(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    seq = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
-    return d.select("doc_id", F.col("lang").alias("tag"), F.col("source").alias("domain"), "n_chars", *_roles(), seq.alias("seq"))
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars", "text"))
+    out = d.select("doc_id", F.col("lang").alias("tag"), F.col("source").alias("domain"), "n_chars", *_roles(), F.col("text").alias("seq"))
+    return out.mapInArrow(_lettered, out.schema)
+
+
+#: What each byte of a text becomes: a-z in turn A, C, G, T, other characters N; 0 marks further bytes of a longer character, which are left out.
+_LETTER = np.full(256, ord("N"), np.uint8)
+_LETTER[97:123] = _LETTER[65:91] = np.frombuffer(("ACGT" * 7)[:26].encode(), np.uint8)
+_LETTER[0x80:0xC0] = 0
+#: Characters whose lower case begins with a letter of ASCII.
+_FOLDED = ("\u0130", "\u212a")
+
+
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column("seq")
+        for c in _FOLDED:
+            if pc.any(pc.match_substring(text, c)).as_py():
+                text = pa.array([t.lower() if t and c in t else t for t in text.to_pylist()], text.type)
+        raw = text.cast(pa.large_binary())
+        edge = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+        letter = _LETTER[data]
+        kept = np.r_[0, np.cumsum(letter != 0)][edge - edge[0]]
+        null = pa.py_buffer(np.packbits(np.array(text.is_valid()), bitorder="little"))
+        seq = pa.Array.from_buffers(pa.large_string(), len(raw), [null, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(letter[letter != 0])])
+        yield batch.set_column(batch.schema.get_field_index("seq"), "seq", seq.cast(text.type))
 
 
 def md5_dna(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"))
     hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 32).cast("int")), lambda j: F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), j.cast("string")).cast("binary"))), "")
     d = d.withColumn("h", hexes)
     seq = F.when(F.col("doc_id") % 2 == 0, F.translate("h", "0123456789abcdef", "ACGTACGTACGTACGT")).otherwise(F.translate("h", "0123456789abcdef", "ACGTACGTACGTGGGN"))
