@@ -428,7 +428,7 @@ def test_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         a, b = queries.QUERIES[name](spark, sf).toPandas(), con.sql(sql).df()
