@@ -4,6 +4,7 @@ import gzip
 import math
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,16 +211,17 @@ def duck(sf):
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "null"
     return repr(float(v)) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "-") in "if" else str(v)
 
 
 def test_queries_match_sql(spark, sf, duck):
-    from strandlake.plans import evaluation
+    from strandlake.plans import evaluation, scale
 
-    for name, sql in evaluation.ORACLE_SQL.items():
-        a, b = evaluation.QUERIES[name](spark, sf).toPandas(), duck.sql(sql).df()
+    queries = evaluation.QUERIES | scale.QUERIES
+    for name, sql in (evaluation.ORACLE_SQL | scale.ORACLE_SQL).items():
+        a, b = queries[name](spark, sf).toPandas(), duck.sql(sql).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns), name
         table = lambda df: sorted(tuple(map(plain, r)) for r in df[cols].itertuples(index=False))  # noqa: B023,E731
