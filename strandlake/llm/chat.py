@@ -2,8 +2,8 @@
 
 Messages with a parent form trees.  Repeated self-joins enumerate root-to-leaf
 paths: each round doubles the distance of the jump pointers and sums the
-scores that they pass, so a thread of n messages takes log2(n) rounds of n
-rows.  Leaves are ranked by the sums of their branches; then only the chosen
+scores that they pass, so a thread of n messages takes log2(n) rounds, each of
+the messages that have not met their root yet.  Leaves are ranked by the sums of their branches; then only the chosen
 branches are spelled out, by the pointers of the same rounds, and each is
 written as one conversation.
 
@@ -23,6 +23,8 @@ only table that a call leaves behind.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,12 +54,15 @@ def climbs(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     same_tree = F.col("tree").eqNullSafe(F.col("_t"))
     state = materialize(nodes.join(exists, same_tree & (F.col("parent") == F.col("_n")), "left").select("tree", "node", F.col("_n").alias("to"), "score"))
     tables, step = [state], 1
-    while step < max(2, 2 * size) and not (state := tables[-1]).where("to IS NOT NULL").isEmpty():
-        far = state.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("score").alias("_s"))
-        on = state.join(far, same_tree & (F.col("to") == F.col("_n")), "left")
-        tables.append(materialize(on.select("tree", "node", F.col("_to").alias("to"), (F.col("score") + F.coalesce("_s", F.lit(0))).alias("score"))))
+    reached = [state.where("to IS NULL")]  # nodes whose sum is whole; only the others are joined again
+    while step < max(2, 2 * size) and not (state := tables[-1].where("to IS NOT NULL")).isEmpty():
+        known = reduce(DataFrame.unionAll, [*reached, state])
+        far = known.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("score").alias("_s"))
+        on = state.join(far, same_tree & (F.col("to") == F.col("_n")))
+        tables.append(materialize(on.select("tree", "node", F.col("_to").alias("to"), (F.col("score") + F.col("_s")).alias("score"))))
+        reached.append(tables[-1].where("to IS NULL"))
         step *= 2
-    return tables[-1].where("to IS NULL").select("tree", "node", F.col("score").alias("total")), tables
+    return reduce(DataFrame.unionAll, reached).select("tree", "node", F.col("score").alias("total")), tables
 
 
 def branches(messages: DataFrame, totals: DataFrame, best: int) -> DataFrame:
