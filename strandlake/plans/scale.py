@@ -128,13 +128,14 @@ _AC = "regexp_extract_all(seq,'((?:AC){3,})',1)"
 lg AS (SELECT 'n_hits' AS measure, motif, {_BIN} AS bin, grp, n_hits::DOUBLE AS v FROM td JOIN m USING (pair_id, which) UNION ALL SELECT 'bp_covered', motif, {_BIN}, grp, bp_covered::DOUBLE FROM td JOIN m USING (pair_id, which)),
 ce AS (SELECT measure, motif, bin, count(*) FILTER (grp='natural') AS nn, count(*) FILTER (grp='synthetic') AS ns, avg(v) FILTER (grp='natural') AS mn, avg(v) FILTER (grp='synthetic') AS ms FROM (SELECT * FROM lg UNION ALL SELECT measure, motif, NULL, grp, v FROM lg) GROUP BY ALL),
 gr AS (SELECT measure, motif, bin FROM unnest(['bp_covered','n_hits']) a(measure), unnest([{", ".join(f"'{x}'" for x in nonb.MOTIF_ORDER)}]) b(motif), unnest([{", ".join(map(str, range(BINS)))}, NULL]::INT[]) c(bin))
-SELECT gr.measure, gr.motif, gr.bin, coalesce(nn, 0) AS n_natural, coalesce(ns, 0) AS n_synthetic, round(mn, 6) AS mean_natural, round(ms, 6) AS mean_synthetic, round(ms - mn, 6) AS delta FROM gr LEFT JOIN ce ON gr.measure = ce.measure AND gr.motif = ce.motif AND gr.bin IS NOT DISTINCT FROM ce.bin""")
+SELECT gr.measure, gr.motif, coalesce(gr.bin::VARCHAR, 'all') AS bin, coalesce(nn, 0) AS n_natural, coalesce(ns, 0) AS n_synthetic, round(mn, 6) AS mean_natural, round(ms, 6) AS mean_synthetic, round(ms - mn, 6) AS delta FROM gr LEFT JOIN ce ON gr.measure = ce.measure AND gr.motif = ce.motif AND gr.bin IS NOT DISTINCT FROM ce.bin""")
 def nonb_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Both callers and one tandem repeat on the full grid of measures, motifs and bins; motifs without rows are empty cells."""
     m = md5_dna(spark, sf)
     finder = nonb.repeat_counts(m, "AC", 3, "pair_id", "which").withColumn("motif", F.lit("STR"))
     group = m.select("pair_id", F.col("which").alias("which"), "grp", F.least(F.lit(BINS - 1), F.floor(F.length("seq") / 1000)).cast("int").alias("bin"))
-    return rounded(nonb.grid(nonb.tidy(*_both_callers(m), finder).join(group, ["pair_id", "which"]), list(range(BINS))))
+    cells = nonb.grid(nonb.tidy(*_both_callers(m), finder).join(group, ["pair_id", "which"]), list(range(BINS)))
+    return rounded(cells.withColumn("bin", F.coalesce(F.col("bin").cast("string"), F.lit("all"))))
 
 
 CHUNK = 12
