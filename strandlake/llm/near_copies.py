@@ -12,12 +12,20 @@ so no link below 0.8 is left.
 A pair at exactly 0.8 has no band in common with probability
 (1 - 0.8^6)^32 = 6e-5, and fewer at higher similarity.
 
-A key or component that very many texts share is dealt to pairs of chunks, so
-that no task takes it whole.
+A component of up to HOT_COMPONENT texts is checked in one task.  In a larger
+one, texts first meet in chunks, then one text of each class found meets those
+of other classes, until that merges little more: a large group of copies ends
+as one class.  What is left, a chain say, is checked band by band, where texts
+of different classes share one: a text is sent at most once a band.  Only in a
+band of more than HOT_COMPONENT texts of several classes are those outside the
+largest class sent to several chunks.
 
 Defined results: lower-cased words count; a text of fewer words than a shingle
 has one shingle; texts without words are alike; null counts as empty; equal
-texts are one node, known by 64 bits of hash.
+texts are one node, known by their SHA-256 digest; a text of any length is read
+whole; repeated rows share a component; a null id counts as the smallest; an
+empty table gives no rows; other columns are ignored, so their names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -44,8 +52,9 @@ _ODD = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)[:, None] | np
 _FOLD = _RNG.integers(0, 2**64, BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def node_of(text_col: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def digest_of(text_col: str = "text") -> Column:
+    """The SHA-256 digest of a text, in bytes; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
 def bands(h: np.ndarray) -> np.ndarray:
@@ -62,7 +71,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         h = [shingle_hashes(t, SHINGLE) for t in pdf.text]
         fp = np.array([folded(x) for x in h], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf.doc_id, "node": pdf.node, "fp": fp, "bands": [bands(x) for x in h]})
+        yield pd.DataFrame({"doc_id": pdf.doc_id, "digest": pdf.digest, "fp": fp, "bands": [bands(x) for x in h]})
 
 
 def _dealt(table: DataFrame, by: list[str], hot: int) -> DataFrame:
@@ -123,12 +132,69 @@ def _checked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def compared(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b), a forest for each (root, chunk) of ``members`` (node, root, chunk): b is the one of its tree that the others point to."""
+    groups = partitions(texts.sparkSession, members.count(), TEXTS_PER_GROUP)
+    group = F.pmod(F.xxhash64("root", "chunk"), F.lit(groups)).cast("int")
+    return texts.join(members, "node").groupBy(group.alias("g")).applyInPandas(_checked, "a long, b long")
+
+
+def _led(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` (node, root, label) of large components after rounds in which one text of each label meets up to HOT_COMPONENT others.
+
+    Copies of one text, however many, end with one label after a few rounds,
+    each text being sent once a round.  The rounds end when one no longer
+    halves the labels.
+    """
+    was, turn = None, 0
+    while True:
+        leaders = labels.filter("node = label").select("node", "root")
+        open_ = leaders.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
+        dealt = materialize(leaders.join(open_, "root").select("node", "root", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / HOT_COMPONENT)).cast("long").alias("chunk")))
+        now, turn = dealt.count(), turn + 1
+        if not now or (was is not None and 2 * now > was):
+            discard(dealt)
+            return labels
+        links = materialize(compared(texts, dealt).select(F.col("a").alias("label"), F.col("b").alias("_to")))
+        new = materialize(labels.join(links, "label", "left").select("node", "root", F.coalesce("_to", "label").alias("label")))
+        discard(dealt, links, labels)
+        labels, was = new, now
+
+
+def _unmet(labels: DataFrame, paths: DataFrame) -> DataFrame:
+    """(node, root, chunk): the texts of each band key that texts of several labels of a component share.
+
+    Keys of the same few texts count once.  In a key of more than
+    HOT_COMPONENT texts those of its largest label meet the others only.
+    """
+    several = labels.groupBy("root").agg(F.sum((F.col("node") == F.col("label")).cast("int")).alias("n")).filter("n > 1").select("root")
+    keyed = materialize(paths.select("node", "t", "key").join(labels.join(several, "root", "left_semi").select("node", "label"), "node"))
+    each = keyed.groupBy("t", "key", "label").agg(F.count("*").alias("n"))
+    keys = each.groupBy("t", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("_m"), F.count("*").alias("labels")).filter("labels > 1")
+    keys = materialize(keys.select("t", "key", "n", F.col("_m.n").alias("n_main"), F.col("_m.label").alias("main")))
+    few = keyed.join(keys.filter(F.col("n") <= HOT_COMPONENT).select("t", "key"), ["t", "key"]).groupBy("t", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    few = materialize(few.select("nodes").distinct().withColumn("root", F.monotonically_increasing_id()))
+    half = HOT_COMPONENT // 2
+    sizes = keys.filter(F.col("n") > HOT_COMPONENT).select("t", "key", "main", F.ceil(F.col("n_main") / half).alias("cm"), F.ceil((F.col("n") - F.col("n_main")) / half).alias("co"))
+    many, is_main = keyed.join(sizes, ["t", "key"]), F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("cm")).otherwise(F.col("co")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_others = F.transform(upto("co"), lambda i: own * F.col("co") + i)
+    with_main = F.transform(upto("cm"), lambda j: j * F.col("co") + own)
+    among = F.transform(upto("co"), lambda i: F.col("cm") * F.col("co") + F.least(i, own) * F.col("co") + F.greatest(i, own))
+    chunks = F.explode(F.when(is_main, with_others).otherwise(F.concat(with_main, among)))
+    dealt = many.select("node", F.xxhash64("t", "key").alias("root"), chunks.alias("chunk"))
+    out = materialize(few.select(F.explode("nodes").alias("node"), "root", F.lit(-1).cast("long").alias("chunk")).unionAll(dealt))
+    discard(keyed, keys, few)
+    return out
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (of the text), component and keep_id, keep_node (the component's smallest id and its node) for each row."""
+    """doc_id, digest (of the text), component and keep_id, keep_digest (the component's smallest id and its digest) for each row."""
     spark = docs.sparkSession
-    texts = docs.select(id_in(id_col).alias("doc_id"), node_of(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = materialize(texts.mapInPandas(_sketches, "doc_id long, node long, fp long, bands array<long>"))
-    nodes = rows.select("node", "fp", "bands").dropDuplicates(["node"])
+    texts = docs.select(id_in(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialize(texts.mapInPandas(_sketches, "doc_id long, digest binary, fp long, bands array<long>"))
+    nodes = materialize(rows.select("digest", "fp", "bands").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()))
     paths = materialize(nodes.select("node", "fp", F.posexplode("bands").alias("t", "key")))
     shared = paths.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key")
     paths_shared = materialize(paths.join(shared, ["t", "key"], "left_semi"))
@@ -136,13 +202,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = partitions(spark, paths_shared.count(), PATHS_PER_GROUP)
     group = F.pmod(F.xxhash64("t", "key", "chunk"), F.lit(groups)).cast("int")
     likely = connected_components(_dealt(paths_shared, ["t", "key"], HOT_KEY).groupBy(group.alias("g")).applyInPandas(_candidates, "a long, b long"))
-    members = materialize(_dealt(likely, ["root"], HOT_COMPONENT).select("node", "root", "chunk"))
-    groups = partitions(spark, members.count(), TEXTS_PER_GROUP)
-    group = F.pmod(F.xxhash64("root", "chunk"), F.lit(groups)).cast("int")
-    known = texts.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    checked = known.join(members, "node").groupBy(group.alias("g")).applyInPandas(_checked, "a long, b long")
-    roots = connected_components(checked).select(F.col("node").alias("_n"), "root")
-    found = materialize(rows.select("doc_id", "node").join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "node", F.coalesce("root", "node").alias("component")))
-    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w")).select("component", F.col("w.doc_id").alias("keep_id"), F.col("w.node").alias("keep_node"))
-    discard(paths_shared, rows)
-    return found.join(best, "component").select(id_out("doc_id"), "node", "component", id_out("keep_id"), "keep_node")
+    large = materialize(likely.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_COMPONENT).select("root"))
+    of = lambda members: texts.join(nodes.select("digest", "node").join(members.select("node"), "node", "left_semi"), "digest").select("node", "text").dropDuplicates(["node"])
+    small = materialize(likely.join(large, "root", "left_anti").select("node", "root", F.lit(0).cast("long").alias("chunk")))
+    links = compared(of(small), small)
+    if not large.isEmpty():
+        labels = materialize(likely.join(large, "root", "left_semi").select("node", "root", F.col("node").alias("label")))
+        hot_texts = materialize(of(labels))
+        labels = _led(hot_texts, labels)
+        links = links.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))).unionAll(compared(hot_texts, _unmet(labels, paths_shared)))
+    roots = connected_components(links)
+    known = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+    found = materialize(rows.select("doc_id", "digest").join(known, "digest"))
+    best = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("w")).select("component", F.col("w.doc_id").alias("keep_id"), F.col("w.digest").alias("keep_digest"))
+    discard(paths_shared, rows, nodes)
+    return found.join(best, "component").select(id_out("doc_id"), "digest", "component", id_out("keep_id"), "keep_digest")
