@@ -53,7 +53,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each on its own.
     """
     rows = near_copies.near_copies(docs)
-    return chosen(docs, near_copies.node_of(), rows.select(F.col("keep_node").alias("digest"), F.col("keep_id").alias("doc_id")).distinct())
+    return chosen(docs, near_copies.digest_of(), rows.select(F.col("keep_digest").alias("digest"), F.col("keep_id").alias("doc_id")).distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
