@@ -585,55 +585,6 @@ def test_near_stage_finds_all_pairs_of_similar_texts(spark, monkeypatch):
     assert far > 100 and kept == [i for i in range(300) if root[i] == i]
 
 
-def test_near_stage_sends_the_texts_of_a_chain_a_few_times(spark, monkeypatch):
-    from strandlake.llm import near_copies
-
-    monkeypatch.setattr(near_copies, "HOT_COMPONENT", 20)
-    copies, compared = [], near_copies.compared
-
-    def counted(texts, members):
-        copies.append(members.groupBy("node").count().agg(F.max("count")).first()[0] or 0)
-        return compared(texts, members)
-
-    monkeypatch.setattr(near_copies, "compared", counted)
-    rng = random.Random(4)
-    words = prose(rng, 6400).split()
-    # each text shares nine tenths of its words with the next; the last ones share too little with any
-    rows = [(i, " ".join(words[20 * i : 20 * i + 200])) for i in range(300)] + [(300 + i, " ".join(words[70 * i : 70 * i + 130] + prose(rng, 70).split())) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in near_copies.near_copies(docs).collect()}
-    assert got == {i: 0 if i < 300 else i for i, _ in rows}
-    assert len(copies) >= 3 and max(copies) <= 10, copies  # pairs of chunks would be 30
-
-
-def test_near_stage_finds_links_across_a_large_class(spark, monkeypatch):
-    from strandlake.llm import near_copies
-
-    monkeypatch.setattr(near_copies, "HOT_COMPONENT", 20)
-    rng = random.Random(9)
-    base = prose(rng, 200).split()
-
-    def near(w, n):
-        w = list(w)
-        for _ in range(n):
-            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
-        return w
-
-    # copies of one text, and texts at the edge of the similarity: linked to some copies, or to none
-    rows = [(i, near(base, rng.randrange(3))) for i in range(150)] + [(150 + i, near(base, 4 + i % 9)) for i in range(60)]
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in rows]
-    root = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((root[a], root[b]))
-                root = [x if r == y else r for r in root]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in near_copies.near_copies(docs).collect()}
-    assert len(set(root)) > 3 and got == dict(enumerate(root))
-
-
 def test_dedup_stages_keep_one_row_of_each_group(spark):
     import corpus_pipeline
 
