@@ -10,12 +10,16 @@ another are the parse.
 A suffix of a text is an ending of the phrase in which it starts, and then
 what follows in the parse.  So the order of all suffixes is the order of
 dictionary suffixes, ties broken by the order of what follows:
-``combined_order`` sorts the dictionary's phrases from their ends (neighbours'
-common endings give equal dictionary suffixes), sorts what follows each trigger
-(neighbours' common prefixes give equal parse suffixes), and joins both.  Two
-strings of WINDOW bytes are equal if the dictionary suffixes are, and if what
-follows agrees as far as the rest of the window.  Of equal strings the first
-in the corpus stays.
+``combined_order`` sorts the distinct phrases of a group from their ends, once
+each however often they occur (neighbours' common endings give equal dictionary
+suffixes); ``parse_order`` writes what follows each trigger as ranks of
+distinct phrases and sorts these rows of numbers (neighbours' common phrases,
+and the common bytes of the first two that differ, give equal parse suffixes);
+both are joined.  Phrases are told by digests and compared byte by byte.  Of a
+phrase the dictionary holds what the windows of the group cover.  Two strings
+of WINDOW bytes are equal if the dictionary suffixes are, and if what follows
+agrees as far as the rest of the window.  Of equal strings the first in the
+corpus stays.
 
 The suffixes are distributed by their trigger (see ``repeats``): only triggers
 that occur again can begin equal strings.  Windows without a trigger lie inside
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .repeats import BLOCK, Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min
+from .repeats import BLOCK, Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min, spans_hash
 
 WINDOW, GRAM, MODULUS = 100, 32, 24
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -120,16 +124,62 @@ def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def combined_order(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def dictionary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of bytes, both ends in order, as phrases: the number of each span's phrase, and the first span of each phrase."""
+    of, size = pd.factorize(spans_hash(data, start, end))[0], end - start
+    first = np.unique(of, return_index=True)[1]
+    again = np.flatnonzero(first[of] != np.arange(len(of)))
+    like = first[of[again]]
+    if not ((size[again] == size[like]).all() and np.array_equal(data[ranges(start[again], size[again])], data[ranges(start[like], size[like])])):
+        of = pd.factorize(np.array([data[i:j].tobytes() for i, j in zip(start, end, strict=True)], dtype=object))[0]  # two phrases have one digest
+        first = np.unique(of, return_index=True)[1]
+    return of, first
+
+
+def parse_order(rows: np.ndarray, size: np.ndarray, gram: int, modulus: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of what follows each trigger, and how many first bytes each shares with the one before; both from the parse."""
+    (n, width), data = rows.shape, np.ascontiguousarray(rows).ravel()
+    at = np.flatnonzero(rolling(data, gram) < np.uint32((1 << 32) // modulus))
+    at = at[(at % width > 0) & (at % width + gram <= size[at // width])]
+    begin = np.sort(np.r_[np.arange(n) * width, at])
+    row = begin // width
+    last = np.r_[row[1:] != row[:-1], True]
+    end = np.where(last, row * width + size[row], np.r_[begin[1:], 0] + gram)
+    of, first = dictionary(data, begin, end)
+    length = (end - begin)[first]
+    phrase = np.zeros((len(first), width), dtype=np.uint8)
+    phrase[np.arange(width) < length[:, None]] = data[ranges(begin[first], length)]
+    by_rank = sorted_with_common(phrase, length)[0]
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[by_rank] = np.arange(1, len(first) + 1)
+    place = np.arange(len(begin)) - np.searchsorted(row, np.arange(n))[row]
+    parse = np.zeros((n, place.max() + 1), dtype=">u4")  # as bytes its rows sort as their numbers do; 0 is the end
+    offset = np.zeros(parse.shape, dtype=np.int32)
+    parse[row, place], offset[row, place] = rank[of], begin - row * width
+    order = np.argsort(parse.view(f"S{4 * parse.shape[1]}").ravel(), kind="stable")
+    a, b = order[:-1], order[1:]
+    j = (parse[a] != parse[b]).argmax(axis=1)
+    one, other = parse[a, j].astype(np.int64), parse[b, j].astype(np.int64)
+    common = np.minimum(size[a], size[b]).astype(np.int64)
+    k = np.flatnonzero((one != other) & (one > 0) & (other > 0))
+    x, y = by_rank[one[k] - 1], by_rank[other[k] - 1]
+    differ = np.pad(phrase[x] != phrase[y], ((0, 0), (0, 1)), constant_values=True).argmax(axis=1)
+    common[k] = offset[a[k], j[k]] + np.minimum(differ, np.minimum(length[x], length[y]))
+    return order, np.r_[-1, common]
+
+
+def combined_order(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int = GRAM, modulus: int = MODULUS) -> np.ndarray:
     """For triggers in corpus order and each number of bytes before them: whether that window occurs earlier."""
-    reach = around.shape[1] - window
-    dictionary = sorted_with_common(around[:, :reach][:, ::-1], left)
-    parse = sorted_with_common(around[:, reach:], right)
-    gone = np.zeros((len(left), reach + 1), dtype=bool)
+    n, reach = len(left), around.shape[1] - window
+    before, stop = np.ascontiguousarray(around[:, :reach]), np.arange(1, len(left) + 1) * reach
+    phrase, first = dictionary(before.ravel(), stop - left, stop)
+    endings = sorted_with_common(before[first][:, ::-1], left[first])
+    follows = parse_order(around[:, reach:], right, gram, modulus)
+    gone = np.zeros((n, reach + 1), dtype=bool)
     for x in range(reach + 1):
         has = np.flatnonzero((left >= x) & (right >= window - x))
         if len(has) > 1:
-            suffix = classes(*dictionary, x)[has] * (len(left) + 1) + classes(*parse, window - x)[has]
+            suffix = classes(*endings, x)[phrase[has]] * (n + 1) + classes(*follows, window - x)[has]
             gone[has, x] = pd.Series(suffix).duplicated().to_numpy()
     return gone
 
@@ -143,7 +193,7 @@ def _finish(data: bytes, sym: np.ndarray, gone: np.ndarray) -> tuple[int, int, i
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row."""
     method = Method(
-        words=False, length=window, reach=window - gram, anchors=lambda t: phrases(t, window, gram, modulus), resolve=lambda *a: combined_order(*a, window),
+        words=False, length=window, reach=window - gram, anchors=lambda t: phrases(t, window, gram, modulus), resolve=lambda *a: combined_order(*a, window, gram, modulus),
         within=True, finish=_finish, schema=SCHEMA,
     )
     out = removed(docs, method, id_col, text_col, hot)

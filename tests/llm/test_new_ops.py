@@ -226,3 +226,36 @@ def test_deep_trees_are_ranked_before_they_are_spelled_out(spark, monkeypatch):
         want = [(-s, leaf, turns) for s, leaf, turns in sorted(found)[:3]]
         own = sorted((r for r in got if r.tree == tree), key=lambda r: r["rank"])
         assert [(r.score, r.leaf, [(t.role, t.text) for t in r.turns]) for r in own] == want
+
+
+def test_parse_order_against_brute_force():
+    """Groups of random surroundings over few letters, NUL among them, whose parses hold one phrase to many."""
+    rng = random.Random(1)
+    for _ in range(300):
+        window, gram = rng.choice([12, 20]), rng.choice([2, 4])
+        reach, letters = window - gram, rng.choice([b"ab", b"\0a", b"abc", b"\0"])
+        base = [bytes(rng.choice(letters) for _ in range(reach + window)) for _ in range(rng.randrange(1, 4))]
+        rows, left, right = np.zeros((rng.randrange(2, 40), reach + window), np.uint8), [], []
+        for row in rows:
+            s = bytearray(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                s[rng.randrange(len(s))] = rng.choice(letters)
+            left.append(rng.randrange(reach + 1))
+            right.append(rng.randrange(max(gram, window - left[-1]), window + 1))
+            row[reach - left[-1] : reach + right[-1]] = np.frombuffer(bytes(s), np.uint8)[reach - left[-1] : reach + right[-1]]
+        seen, want = set(), np.zeros((len(rows), reach + 1), bool)
+        for i, row in enumerate(rows):
+            for x in range(max(0, window - right[i]), left[i] + 1):
+                found = (x, row[reach - x : reach - x + window].tobytes())
+                want[i, x] = found in seen
+                seen.add(found)
+        got = parsing.combined_order(rows, np.array(left, np.int32), np.array(right, np.int32), np.arange(len(rows)), window, gram, rng.choice([2, 3, 24]))
+        assert (got == want).all()
+
+
+def test_phrases_with_one_digest_are_told_by_their_bytes(monkeypatch):
+    data = np.frombuffer(b"abcabdab", np.uint8)
+    start, end = np.array([0, 3, 6]), np.array([3, 6, 8])
+    assert [v.tolist() for v in parsing.dictionary(data, start, end)] == [[0, 1, 2], [0, 1, 2]]
+    monkeypatch.setattr(parsing, "spans_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    assert [v.tolist() for v in parsing.dictionary(data, start, end)] == [[0, 1, 2], [0, 1, 2]]
