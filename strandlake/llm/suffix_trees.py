@@ -10,11 +10,13 @@ sampled suffix, at the same place wherever the window occurs (see ``repeats``);
 windows that begin before it are told apart by the words before.
 
 In a group the suffixes are sorted, and the number of words that neighbours
-share gives the tree: an internal node of depth d is a stretch of leaves whose
-neighbours share d words or more.  ``deep_nodes`` goes through the depths at
-which a window can end; below each node it parts the leaves by the words
-before them, and what is still together is a repeat that names its smallest
-document.
+share gives the tree: an internal node of depth d is a longest stretch of
+leaves whose neighbours share d words or more, some of them just d
+(``internal_nodes``).  The leaves below a deep node are sorted once more by the
+words before them; the stretches of this order that share x words or more are
+its extensions to the left, and such a stretch of a node is a maximal repeat of
+x + d words (``deep_nodes``).  It names its smallest document; in all others
+the windows that it holds are repeats.
 
 Words are compared by 48 bits of hash each: two windows count as equal if all
 their words do.
@@ -35,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_out
-from .parsing import classes, sorted_with_common
-from .repeats import Anchors, Method, Texts, first_of, mix, removed, runs_hash, sliding_min
+from .parsing import sorted_with_common
+from .repeats import AT_ONCE, Anchors, Method, Texts, mix, ranges, removed, runs_hash, sliding_min
 
 WINDOW, PREFIX, SHORT = 50, 14, 7
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -63,18 +65,69 @@ def sampled_suffixes(t: Texts, window: int = WINDOW, prefix: int = PREFIX, short
     return Anchors(at, row[new], start[new], start[np.r_[new[1:] - 1, len(start) - 1]], _key(t.sym, at, short), _key(t.sym, at, prefix))
 
 
+def internal_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First leaf, end and depth of each internal node of depth ``least`` or more, from what each leaf shares with the one before."""
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for depth in np.unique(common[common >= least]):
+        edge = np.diff(np.r_[0, common >= depth, 0].astype(np.int8))
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        own = np.unique(np.searchsorted(first, np.flatnonzero(common == depth), side="right")) - 1
+        parts.append((first[own] - 1, end[own], np.full(len(own), depth, dtype=np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _some_at_once(first: np.ndarray, end: np.ndarray, depth: np.ndarray):
+    """The nodes in batches of about AT_ONCE leaves."""
+    batch = (np.cumsum(end - first) - 1) // AT_ONCE
+    cut = np.flatnonzero(np.r_[True, batch[1:] != batch[:-1], True]) if len(batch) else []
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        yield first[i:j], end[i:j], depth[i:j]
+
+
+def _minima(values: np.ndarray) -> list[np.ndarray]:
+    """The least of each run of 1, 2, 4... values."""
+    out = [values]
+    while 2 << (len(out) - 1) <= len(values):
+        half = 1 << (len(out) - 1)
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def _least_between(minima: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least value from ``lo`` to ``hi``, both included."""
+    out, level = np.empty(len(lo), dtype=np.int64), np.frexp(hi - lo + 1)[1] - 1
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(minima[k][lo[at]], minima[k][hi[at] - (1 << int(k)) + 1])
+    return out
+
+
 def deep_nodes(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For suffixes in the order of documents and each number of words before them: whether that window is also in a smaller document."""
-    reach = around.shape[1] - window
-    tree = sorted_with_common(around[:, reach:], right)
-    ahead = sorted_with_common(around[:, :reach][:, ::-1], left)
-    gone = np.zeros((len(left), reach + 1), dtype=bool)
-    for x in range(reach + 1):
-        has = np.flatnonzero((left >= x) & (right >= window - x))
-        if len(has) > 1:
-            node = classes(*tree, window - x)[has] * (len(left) + 1) + classes(*ahead, x)[has]
-            gone[has, x] = doc[has] != doc[has][first_of(node)]
-    return gone
+    """For each suffix and each number of words before it: whether that window is also in a smaller document."""
+    n, reach = len(left), around.shape[1] - window
+    leaves, shared = sorted_with_common(around[:, reach:], right)
+    before, alike = sorted_with_common(around[:, :reach][:, ::-1], left)
+    rank = np.empty(n, dtype=np.int64)
+    rank[before] = np.arange(n)
+    minima = _minima(alike)
+    change = np.zeros((n, reach + 2), dtype=np.int64)
+    for first, end, depth in _some_at_once(*internal_nodes(shared, window - reach)):
+        node, leaf = np.repeat(np.arange(len(first)), end - first), leaves[ranges(first, end - first)]
+        leaf = leaf[np.lexsort((rank[leaf], node))]
+        inside = np.flatnonzero(node[1:] == node[:-1])
+        common = np.full(len(leaf), -1, dtype=np.int64)
+        common[inside + 1] = _least_between(minima, rank[leaf[inside]] + 1, rank[leaf[inside + 1]])
+        lo, hi, x = internal_nodes(common, 0)
+        long = x + depth[node[lo]] >= window
+        for lo, hi, x in _some_at_once(lo[long], hi[long], x[long]):
+            size = hi - lo
+            member = leaf[ranges(lo, size)]
+            smallest = np.minimum.reduceat(doc[member], np.cumsum(size) - size)
+            other = doc[member] != np.repeat(smallest, size)
+            fewest = np.maximum(window - depth[node[lo]], 0)
+            np.add.at(change, (member[other], np.repeat(fewest, size)[other]), 1)
+            np.add.at(change, (member[other], np.repeat(x + 1, size)[other]), -1)
+    return np.cumsum(change[:, : reach + 1], axis=1) > 0
 
 
 def _finish(data: bytes, sym: np.ndarray, gone: np.ndarray) -> tuple[int, int, str]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, filter_audit, parsing, pii, pii_examples, queries, whitening
+from strandlake.llm import chat, filter_audit, parsing, pii, pii_examples, queries, suffix_trees, whitening
 
 DOCS = "doc_id long, text string, source string, digest string, n int, _t string"
 
@@ -259,3 +259,33 @@ def test_phrases_with_one_digest_are_told_by_their_bytes(monkeypatch):
     assert [v.tolist() for v in parsing.dictionary(data, start, end)] == [[0, 1, 2], [0, 1, 2]]
     monkeypatch.setattr(parsing, "spans_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
     assert [v.tolist() for v in parsing.dictionary(data, start, end)] == [[0, 1, 2], [0, 1, 2]]
+
+
+def test_internal_nodes():
+    nodes = suffix_trees.internal_nodes(np.array([-1, 3, 5, 5, 2, -1, 0, 4]), 2)
+    assert sorted(zip(*(v.tolist() for v in nodes))) == [(0, 4, 3), (0, 5, 2), (1, 4, 5), (6, 8, 4)]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 17])
+def test_deep_nodes_against_brute_force(monkeypatch, at_once):
+    """Groups of random surroundings over few words, nested repeats and repeated documents among them, in batches of any size."""
+    monkeypatch.setattr(suffix_trees, "AT_ONCE", at_once)
+    rng = random.Random(2)
+    for _ in range(150):
+        window, prefix = rng.choice([(6, 2), (12, 3), (9, 8)])
+        reach, words = window - prefix, rng.choice([[0, 7], [1, 2], [0], [256, 1, 1 << 40]])
+        base = [[rng.choice(words) for _ in range(reach + window)] for _ in range(rng.randrange(1, 4))]
+        rows, left, right = np.zeros((rng.randrange(2, 40), reach + window), np.uint64), [], []
+        for row in rows:
+            s = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                s[rng.randrange(len(s))] = rng.choice(words)
+            left.append(rng.randrange(reach + 1))
+            right.append(rng.randrange(max(prefix, window - left[-1]), window + 1))
+            row[reach - left[-1] : reach + right[-1]] = s[reach - left[-1] : reach + right[-1]]
+        doc = np.sort([rng.randrange(len(rows)) for _ in rows])
+        smallest, want = {}, np.zeros((len(rows), reach + 1), bool)
+        for i, row in enumerate(rows):
+            for x in range(max(0, window - right[i]), left[i] + 1):
+                want[i, x] = smallest.setdefault((x, row[reach - x : reach - x + window].tobytes()), doc[i]) != doc[i]
+        assert (suffix_trees.deep_nodes(rows, np.array(left, np.int32), np.array(right, np.int32), doc, window) == want).all()
