@@ -124,13 +124,20 @@ def classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of bytes as rows, with zeros behind them."""
+    width = max(1, int(size.max()))
+    rows = np.lib.stride_tricks.sliding_window_view(np.pad(data, (0, width)), width)[start]
+    return rows * (np.arange(width, dtype=np.int32) < size[:, None].astype(np.int32))
+
+
 def dictionary(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of bytes, both ends in order, as phrases: the number of each span's phrase, and the first span of each phrase."""
     of, size = pd.factorize(spans_hash(data, start, end))[0], end - start
     first = np.unique(of, return_index=True)[1]
     again = np.flatnonzero(first[of] != np.arange(len(of)))
-    like = first[of[again]]
-    if not ((size[again] == size[like]).all() and np.array_equal(data[ranges(start[again], size[again])], data[ranges(start[like], size[like])])):
+    blocks = (again[k : k + BLOCK] for k in range(0, len(again), BLOCK))
+    if not all((size[k] == size[first[of[k]]]).all() and np.array_equal(_spans(data, start[k], size[k]), _spans(data, start[first[of[k]]], size[k])) for k in blocks):
         of = pd.factorize(np.array([data[i:j].tobytes() for i, j in zip(start, end, strict=True)], dtype=object))[0]  # two phrases have one digest
         first = np.unique(of, return_index=True)[1]
     return of, first
@@ -147,8 +154,7 @@ def parse_order(rows: np.ndarray, size: np.ndarray, gram: int, modulus: int) ->
     end = np.where(last, row * width + size[row], np.r_[begin[1:], 0] + gram)
     of, first = dictionary(data, begin, end)
     length = (end - begin)[first]
-    phrase = np.zeros((len(first), width), dtype=np.uint8)
-    phrase[np.arange(width) < length[:, None]] = data[ranges(begin[first], length)]
+    phrase = _spans(data, begin[first], length)
     by_rank = sorted_with_common(phrase, length)[0]
     rank = np.empty(len(first), dtype=np.int64)
     rank[by_rank] = np.arange(1, len(first) + 1)
@@ -174,13 +180,15 @@ def combined_order(around: np.ndarray, left: np.ndarray, right: np.ndarray, doc:
     before, stop = np.ascontiguousarray(around[:, :reach]), np.arange(1, len(left) + 1) * reach
     phrase, first = dictionary(before.ravel(), stop - left, stop)
     endings = sorted_with_common(before[first][:, ::-1], left[first])
-    follows = parse_order(around[:, reach:], right, gram, modulus)
+    after, begin = np.ascontiguousarray(around[:, reach:]), np.arange(n) * window
+    suffix, once = dictionary(after.ravel(), begin, begin + right)
+    follows = parse_order(after[once], right[once], gram, modulus)
     gone = np.zeros((n, reach + 1), dtype=bool)
     for x in range(reach + 1):
         has = np.flatnonzero((left >= x) & (right >= window - x))
         if len(has) > 1:
-            suffix = classes(*endings, x)[phrase[has]] * (n + 1) + classes(*follows, window - x)[has]
-            gone[has, x] = pd.Series(suffix).duplicated().to_numpy()
+            both = classes(*endings, x)[phrase[has]] * (n + 1) + classes(*follows, window - x)[suffix[has]]
+            gone[has, x] = pd.Series(both).duplicated().to_numpy()
     return gone
 
 
