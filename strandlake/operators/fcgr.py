@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import kmers, superkmers
+from . import superkmers
 
 
 def cells(seqs: DataFrame, k: int, *by: str, seq: str = "seq") -> DataFrame:
     """(by, x, y, n): the most recent base is the least significant bit of both coordinates."""
-    c = kmers.counts(seqs, k, *by, seq=seq)
-    bits = lambda b: F.conv(F.translate("kmer", "ACGT", b), 2, 10).cast("long")
-    return c.select(*by, bits("0011").alias("x"), bits("0101").alias("y"), "n")
+    c = superkmers.counts(seqs, k, *by, seq=seq)
+    # of the two bits of each base the upper ones, or the lower ones
+    bits = lambda up: sum((F.shiftright("code", 2 * j + up).bitwiseAND(F.lit(1)) * 2**j for j in range(1, k)), F.shiftright("code", up).bitwiseAND(F.lit(1)))
+    return c.select(*by, bits(1).alias("x"), bits(0).alias("y"), "n")
 
 
 def normalised(cell: DataFrame, *by: str) -> DataFrame:

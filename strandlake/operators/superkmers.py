@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,18 @@ def packed(base: np.ndarray, start: np.ndarray, letters: np.ndarray, owner: np.n
     return binary(room // 4, data), binary(np.bincount(owner, minlength=owners), letters.astype(np.uint8))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed letters in slices of about as many letters as a piece."""
+    for batch in batches:
+        letters = np.cumsum(pc.binary_length(batch.column("_letters")).to_numpy().astype(np.int64) * 4)
+        row = 0
+        while row < batch.num_rows:
+            before = letters[row - 1] if row else 0
+            to = max(row + 1, int(np.searchsorted(letters, before + kmers.PIECE_LETTERS, "right")))
+            yield batch.slice(row, to - row)
+            row = to
+
+
 def unpacked(data: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters, where each run begins, and the row of each run."""
 
@@ -140,17 +153,18 @@ def split(seqs: DataFrame, k: int, *by: str, seq: str = "seq", part_letters: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, first = kmers.letters(batch.column("_s"))
-            row, part, start, letters = runs(base, first, batch.column("_parts").to_numpy(), k, m)
-            if not len(row):
-                continue
-            order = np.lexsort((part, row))
-            row, part, start, letters = row[order], part[order], start[order], letters[order]
-            new = np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]
-            owner = np.cumsum(new) - 1
-            data, sizes = packed(base, start, letters, owner, int(owner[-1]) + 1)
-            at = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(part[new]), data, sizes], names=[*by, "_part", "_letters", "_runs"])
+            parts = batch.column("_parts").to_numpy()
+            for begin, _, _, base, first in kmers.pieces(batch.column("_s"), k - 1):
+                row, part, start, letters = runs(base, first, parts[begin : begin + len(first) - 1], k, m)
+                if not len(row):
+                    continue
+                order = np.lexsort((part, row))
+                row, part, start, letters = row[order], part[order], start[order], letters[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]
+                owner = np.cumsum(new) - 1
+                data, sizes = packed(base, start, letters, owner, int(owner[-1]) + 1)
+                at = pa.array(begin + row[new])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in by), pa.array(part[new]), data, sizes], names=[*by, "_part", "_letters", "_runs"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in by]
     return rows.mapInArrow(cut, ", ".join([*kinds, "_part long", "_letters binary", "_runs binary"]))
@@ -187,7 +201,7 @@ def tallied(cut: DataFrame, k: int, by: tuple[str, ...], schema: str, emit: Call
             return pa.RecordBatch.from_arrays([*(key_rows.column(c).take(at) for c in keys), *(pa.array(c) for c in columns)], names=[*keys, *names])
 
         names = [part.split()[0] for part in schema.split(", ")]
-        for batch in batches:
+        for batch in _sliced(batches):
             base, first, run_row = unpacked(batch.column("_letters"), batch.column("_runs"))
             code, run = kmers.codes(base, first, k, canonical)
             key = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
