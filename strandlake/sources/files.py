@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,13 +201,13 @@ def summary_order(summaries: DataFrame) -> DataFrame:
 
 
 def general_format(x: Column, digits: int = 6) -> Column:
-    """A number as the general format (%g) of so many digits writes it."""
-    shown = F.format_string(f"%.{digits - 1}e", x)
-    power = F.substring_index(shown, "e", -1).try_cast("int")  # null for what is not finite
-    trim = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
-    fixed = F.coalesce(*(F.when(power == p, F.format_string(f"%.{max(0, digits - 1 - p)}f", x)) for p in range(-4, digits)))
-    mantissa, exponent = trim(F.substring_index(shown, "e", 1)), F.substring_index(shown, "e", -1)
-    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0").when(power.between(-4, digits - 1), trim(fixed)).otherwise(F.concat(mantissa, F.lit("e"), exponent))
+    """A number as the general format (%g) of so many digits writes it, rounded by its exact value: Java's formatter rounds its shortest decimals, and half-way ones up."""
+
+    @F.pandas_udf("string")
+    def shown(v: pd.Series) -> pd.Series:
+        return pd.Series([f"{n + 0.0:.{digits}g}" for n in v], index=v.index, dtype=object)  # no minus before zero
+
+    return F.when(x.isNotNull(), shown(x.cast("double")))
 
 
 def formatted_numbers(df: DataFrame, digits: int = 6) -> DataFrame:
