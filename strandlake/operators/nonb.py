@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna, stats
@@ -277,12 +277,20 @@ def tidy(g4: DataFrame, zdna: DataFrame, finder: DataFrame, only: tuple[str, ...
     ``only``.  Sides are told by the beginning of their labels; what is no
     number counts as zero.
     """
-    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c)
-    shown = lambda t, motif: t.select("pair_id", dna.label_of("which").alias("which"), motif.alias("motif"), number("n_hits"), number("bp_covered"))
-    all_ = shown(g4, F.lit("GQ")).unionByName(shown(zdna, F.lit("Z-DNA"))).unionByName(shown(finder.where(F.col("motif").isin(*FINDER_MOTIFS)), F.col("motif")))
+    all_ = _tidy_rows(g4, F.lit("GQ")).unionByName(_tidy_rows(zdna, F.lit("Z-DNA"))).unionByName(_tidy_rows(finder.where(F.col("motif").isin(*FINDER_MOTIFS)), F.col("motif")))
     return all_.where(F.col("motif").isin(*only))
 
 
+def _tidy_rows(t: DataFrame, motif: Column) -> DataFrame:
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c)
+    return t.select("pair_id", dna.label_of("which").alias("which"), motif.alias("motif"), number("n_hits"), number("bp_covered"))
+
+
+def tidy_tallies(rows: DataFrame, only: tuple[str, ...] = MOTIF_ORDER) -> DataFrame:
+    """The same of one table of all callers with a ``class`` (of ``tiled.tallied``), which is read once."""
+    return _tidy_rows(rows, F.when(F.col("class") == "Z_DNA", "Z-DNA").otherwise(F.col("class"))).where(F.col("motif").isin(*only))
+
+
 def grid(rows: DataFrame, bins: list[int], measures: tuple[str, ...] = ("bp_covered", "n_hits"), motifs: tuple[str, ...] = MOTIF_ORDER, group: str = "grp") -> DataFrame:
     """For every measure and motif, over each bin and (bin null) over all: rows and means of both groups and the difference.
 

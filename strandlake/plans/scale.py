@@ -114,9 +114,8 @@ def _both_callers(m: DataFrame, size: int = TILE) -> tuple[DataFrame, DataFrame]
 @query()
 def nonb_tidy(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of all three callers, over tiles, as one table."""
-    m = md5_dna(spark, sf)
-    repeats = tiled.call_repeats(tiles.tiled(m, "pair_id", "which", left=tiled.HALO, right=tiled.HALO), "pair_id", "which").withColumn("motif", F.col("class"))
-    return nonb.tidy(*_both_callers(m), nonb.metrics(repeats, "pair_id", "which", "motif"))
+    cut = tiles.tiled(md5_dna(spark, sf), "pair_id", "which", left=tiled.HALO, right=tiled.HALO)
+    return nonb.tidy_tallies(tiled.tallied(cut, "pair_id", "which"))
 
 
 _CALLS = f"{G4_SQL}, {Z_SQL.removeprefix('RECURSIVE ' + LETTER_SQL + ', ')}"
