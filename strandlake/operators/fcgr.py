@@ -37,10 +37,13 @@ def joint_l1(joint: DataFrame, pair: str = "pair_id") -> DataFrame:
     return rows.agg(F.sum(F.abs(share("orig") - share("syn")) * F.col("n")).alias("l1_fcgr"))
 
 
-def pair_rows(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq") -> DataFrame:
-    """The result row of each pair: status, lengths of all letters, total k-mers and the L1 distance; null where a side is missing."""
+def pair_rows(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq", joint: DataFrame | None = None) -> DataFrame:
+    """The result row of each pair: status, lengths of all letters, total k-mers and the L1 distance; null where a side is missing.
+
+    ``joint`` is the joint spectrum, if it is there already.
+    """
     lengths = seqs.groupBy(pair).agg(*(F.sum(F.when(F.col(side) == s, F.length(seq))).alias(f"{s}_len") for s in ("orig", "syn")))
-    found = joint_l1(superkmers.joint_spectrum(seqs, k, pair, side, seq), pair)
+    found = joint_l1(joint if joint is not None else superkmers.joint_spectrum(seqs, k, pair, side, seq), pair)
     both = F.col("orig_len").isNotNull() & F.col("syn_len").isNotNull()
     j = lengths.join(found, pair, "left").withColumn("status", F.when(both, "ok").otherwise("missing_fasta"))
     return j.select(

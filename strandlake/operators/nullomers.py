@@ -60,11 +60,11 @@ def pair_rows(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which
     return j.select(pair, F.lit(k).alias("k"), *map(shown, values), status.alias("status"))
 
 
-def fractions(seqs: DataFrame, ks: list[int], *by: str, canonical: bool = True) -> DataFrame:
+def fractions(seqs: DataFrame, ks: list[int], *by: str, canonical: bool = True, lettered: kmers.Lettered | None = None) -> DataFrame:
     """Per entity and k: distinct k-mers, the space of 4 ** k, and how much of it is unused; zero-hit entities included."""
     out = None
     for k in sorted(set(ks)):
-        seen = superkmers.spectra(seqs, k, *by, canonical=canonical).groupBy(*by).agg(F.sum("n_x").alias("_n"))
+        seen = superkmers.spectra(seqs, k, *by, canonical=canonical, lettered=lettered).groupBy(*by).agg(F.sum("n_x").alias("_n"))
         one = seqs.select(*by).distinct().join(seen, [*by], "left").select(*by, F.lit(k).alias("k"), F.coalesce("_n", F.lit(0)).alias("observed_distinct_kmers"))
         out = one if out is None else out.unionByName(one)
     return with_space(out)

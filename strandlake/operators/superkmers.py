@@ -129,10 +129,11 @@ def unpacked(data: pa.Array, sizes: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return base[keep], np.r_[0, np.cumsum(letters)], row
 
 
-def split(seqs: DataFrame, k: int, *by: str, seq: str = "seq", part_letters: int = PART_LETTERS, size_by: tuple[str, ...] | None = None) -> DataFrame:
+def split(seqs: DataFrame, k: int, *by: str, seq: str = "seq", part_letters: int = PART_LETTERS, size_by: tuple[str, ...] | None = None, lettered: kmers.Lettered | None = None) -> DataFrame:
     """(by, _part, _letters, _runs): the super-k-mers of each sequence, one row for each part that it has k-mers in.
 
-    ``size_by`` are the columns whose groups are split alike, if not ``by``.
+    ``size_by`` are the columns whose groups are split alike, if not ``by``;
+    ``lettered`` makes sequences of the texts in ``seq``.
     """
     if not 1 <= k <= 31:
         raise ValueError("k must be within 1..31")
@@ -152,7 +153,7 @@ def split(seqs: DataFrame, k: int, *by: str, seq: str = "seq", part_letters: int
         rows = rows.join(large, same, "left").select(*by, "_s", F.coalesce("_parts", F.lit(1).cast("long")).alias("_parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kmers.few(batches, "_s", lettered):
             parts = batch.column("_parts").to_numpy()
             for begin, _, _, base, first in kmers.pieces(batch.column("_s"), k - 1):
                 row, part, start, letters = runs(base, first, parts[begin : begin + len(first) - 1], k, m)
@@ -245,24 +246,24 @@ def _histogram(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return group[head], a[head], b[head], np.diff(np.r_[head, len(group)])
 
 
-def counts(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS) -> DataFrame:
+def counts(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS, lettered: kmers.Lettered | None = None) -> DataFrame:
     """(by, code, n) of all k-mers; every k-mer is counted in one task, so nothing is grouped again."""
-    out = tallied(split(seqs, k, *by, seq=seq, part_letters=part_letters), k, by, "code long, n long", _plain, canonical)
+    out = tallied(split(seqs, k, *by, seq=seq, part_letters=part_letters, lettered=lettered), k, by, "code long, n long", _plain, canonical)
     return out.select(*by, "code", "n")
 
 
-def spectra(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS) -> DataFrame:
+def spectra(seqs: DataFrame, k: int, *by: str, seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS, lettered: kmers.Lettered | None = None) -> DataFrame:
     """(by, x, n_x): how many k-mers occur x times; only these small rows leave the counting task."""
 
     def emit(group: np.ndarray, code: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         of, x, _, n = _histogram(group, a + b, np.zeros(len(a), np.int64))
         return of, [x, n]
 
-    out = tallied(split(seqs, k, *by, seq=seq, part_letters=part_letters), k, by, "x long, n_x long", emit, canonical)
+    out = tallied(split(seqs, k, *by, seq=seq, part_letters=part_letters, lettered=lettered), k, by, "x long, n_x long", emit, canonical)
     return out.groupBy(*by, "x").agg(F.sum("n_x").alias("n_x"))
 
 
-def joint_spectrum(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS) -> DataFrame:
+def joint_spectrum(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "which", seq: str = "seq", canonical: bool = False, part_letters: int = PART_LETTERS, lettered: kmers.Lettered | None = None) -> DataFrame:
     """(pair, orig, syn, n): how many k-mers a pair has ``orig`` times on one side and ``syn`` times on the other.
 
     The letters of both sides meet in one task; what leaves it is a histogram.
@@ -273,7 +274,7 @@ def joint_spectrum(seqs: DataFrame, k: int, pair: str = "pair_id", side: str = "
         of, x, y, n = _histogram(group, a, b)
         return of, [x, y, n]
 
-    cut = split(keyed, k, pair, "_second", part_letters=part_letters, size_by=(pair,))
+    cut = split(keyed, k, pair, "_second", part_letters=part_letters, size_by=(pair,), lettered=lettered)
     out = tallied(cut, k, (pair,), "orig long, syn long, n long", emit, canonical, second="_second")
     return out.groupBy(pair, "orig", "syn").agg(F.sum("n").alias("n"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, stats
-from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, population, superkmers, windows
+from ..operators import binning, classifier, fcgr, kmers, nonb, nullomers, population, windows
 from ..sources import files
-from .genomes import BIN_SQL, ORACLE_SQL, QUERIES, CELL_SQL, GQ, KM_SQL, MD5_SQL, RC, SCORE_SQL, SPEC_SQL, TEXT_SQL, THR_SQL, K, _binned, _nonb, _spectra, _tests, md5_dna, query, rounded, scores, sf_sql, stats_sql, text_dna
+from .genomes import BIN_SQL, ORACLE_SQL, QUERIES, CELL_SQL, GQ, KM_SQL, MD5_SQL, RC, SCORE_SQL, SPEC_SQL, TEXT_SQL, THR_SQL, K, _binned, _nonb, _spectra, _tests, joint, lettered, md5_dna, query, rounded, scores, sf_sql, stats_sql, text_dna, texts
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # those of the genome queries and of these
 
@@ -78,7 +78,7 @@ md AS (SELECT rep, median(o.v) AS m FROM (SELECT rep, {draw_sql(str(SEED), "rep"
 fl AS (SELECT rep, avg(CASE WHEN {draw_sql(str(SEED), "rep", "i")} % 2 = 0 THEN v ELSE -v END) AS m FROM v CROSS JOIN range(0,50) t(rep) GROUP BY rep)
 SELECT n, round(mean,6) AS mean, round(median,6) AS median, round(p,9) AS p, test, (SELECT round(quantile_cont(m,0.025),6) FROM md) AS median_lo, (SELECT round(quantile_cont(m,0.975),6) FROM md) AS median_hi, round(((SELECT count(*) FROM fl WHERE abs(m)>=abs(mean)-1e-12)+1)/51,6) AS p_signflip FROM lp""")
 def fcgr_summary(spark: SparkSession, sf: str) -> DataFrame:
-    d = rounded(fcgr.joint_l1(superkmers.joint_spectrum(text_dna(spark, sf), K)), 9)
+    d = rounded(fcgr.joint_l1(joint(spark, sf)), 9)
     return _tests(population.dataset_summary(d, "l1_fcgr", "pair_id", REPS, 50, SEED, 1.8))
 
 
@@ -105,7 +105,7 @@ ev AS (SELECT * FROM (SELECT nu.*, gt.m, row_number() OVER (PARTITION BY nu.bin,
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, {BIN_SQL}, {NULLOMER_BINS}, {stats_sql('bin')}")
 def nullomer_bin_stats(spark: SparkSession, sf: str) -> DataFrame:
-    n = nullomers.fractions(text_dna(spark, sf), [K], "doc_id").select("doc_id", F.col("nullomer_fraction").alias("value"))
+    n = nullomers.fractions(texts(spark, sf), [K], "doc_id", lettered=lettered).select("doc_id", F.col("nullomer_fraction").alias("value"))
     return _tests(binning.bin_stats(_binned(spark, sf).select("doc_id", "grp", "bin").join(n, "doc_id"), "value", "doc_id", REPS, SEED, "bin"))
 
 
@@ -174,7 +174,7 @@ def sampled_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TEXT_SQL}, {KM_SQL}, {CELL_SQL}, d AS (SELECT pair_id, x, y, sum(CASE WHEN which='orig' THEN p ELSE -p END) AS d FROM pr GROUP BY ALL), l AS (SELECT pair_id, round(sum(abs(d)),9)/1000 AS v FROM d GROUP BY pair_id) SELECT pair_id, printf('%.6g', v) AS l1 FROM l")
 def formatted_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    d = rounded(fcgr.joint_l1(superkmers.joint_spectrum(text_dna(spark, sf), K)), 9)
+    d = rounded(fcgr.joint_l1(joint(spark, sf)), 9)
     return files.formatted_numbers(d.select("pair_id", (F.col("l1_fcgr") / 1000).alias("l1")))
 
 

@@ -13,7 +13,7 @@ from ..functions.shared import checkpoint_dir
 from ..operators import classifier, fcgr, kmer_sets, kmers, nonb, nullomers, tfbs, tiled
 from ..sources import resume, tiles
 from .evaluation import draw_sql, spectra_bin_summary
-from .genomes import G4_SQL, K, LETTER_SQL, NONB_SQL, RC, SCAN_SQL, TEXT_SQL, TILE, Z_SQL, _nonb, md5_dna, rounded, text_dna
+from .genomes import G4_SQL, K, LETTER_SQL, NONB_SQL, RC, SCAN_SQL, TEXT_SQL, TILE, Z_SQL, _nonb, joint, lettered, md5_dna, rounded, text_dna, texts
 from .genomes import ORACLE_SQL as GENOME_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,7 @@ n AS (SELECT pair_id, sum(length(seq)) FILTER (which='orig') AS lo, sum(length(s
 SELECT pair_id, CASE WHEN lo IS NULL OR ls IS NULL THEN 'missing_fasta' ELSE 'ok' END AS status, lo::BIGINT AS orig_len, ls::BIGINT AS syn_len, CASE WHEN lo + ls IS NOT NULL THEN coalesce(ta, 0)::BIGINT END AS orig_total_kmers,
  CASE WHEN lo + ls IS NOT NULL THEN coalesce(tb, 0)::BIGINT END AS syn_total_kmers, CASE WHEN lo + ls IS NOT NULL THEN round(coalesce(l1, 0), 6) END AS l1_fcgr FROM n LEFT JOIN l USING (pair_id)""")
 def fcgr_pair_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fcgr.pair_rows(text_dna(spark, sf), K))
+    return rounded(fcgr.pair_rows(text_dna(spark, sf), K, joint=joint(spark, sf)))
 
 
 REPS, SEED = 20, 17
@@ -184,8 +184,8 @@ def spectra_general_pattern(spark: SparkSession, sf: str) -> DataFrame:
 SELECT tag, doc_id, {K} AS k, coalesce(n, 0)::BIGINT AS observed_distinct_kmers, {4**K}::BIGINT AS kmer_space, ({4**K} - coalesce(n, 0))::BIGINT AS nullomer_count, round(({4**K} - coalesce(n, 0)) / {4**K}, 6) AS nullomer_fraction FROM g LEFT JOIN n USING (doc_id) WHERE tag IS NOT NULL""")
 def resumed_nullomers(spark: SparkSession, sf: str) -> DataFrame:
     """Nullomers of every genome, tag after tag: a run that stops after some of the tags, and one that goes on."""
-    g = text_dna(spark, sf).where("tag IS NOT NULL").select("tag", "doc_id", "seq")
+    g = texts(spark, sf).where("tag IS NOT NULL").select("tag", "doc_id", "seq")
     path = f"{checkpoint_dir(spark)}/strandlake-run-{uuid.uuid4().hex}"
-    work = lambda jobs: rounded(nullomers.fractions(jobs, [K], "tag", "doc_id"))
+    work = lambda jobs: rounded(nullomers.fractions(jobs, [K], "tag", "doc_id", lettered=lettered))
     resume.run(g.where(F.pmod(F.hash("tag"), F.lit(2)) == 0), "tag", work, path)
     return resume.run(g, "tag", work, path, slices=2)

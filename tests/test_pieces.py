@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.operators import kmers, superkmers, tfbs
+from strandlake.plans import evaluation, genomes
 from strandlake.sources import files
 
 
@@ -90,3 +91,31 @@ def test_enrichment_beyond_doubles(spark):
     counts = spark.createDataFrame([("a", 49177, 18721), ("b", 49252, 53658)], "motif_key string, hits_orig long, hits_syn long")
     assert {(r.p, r.neglog10_p) for r in tfbs.enrichment(counts, least_p=0.0).collect()} == {(0.0, math.inf)}
     assert {r.p for r in tfbs.enrichment(counts).collect()} == {1e-300}
+
+
+def test_counting_steps_make_letters_of_texts_themselves(spark, tmp_path):
+    """One Python worker a task, in slices, with the rows of sequences made beforehand."""
+    rng = random.Random(5)
+    letter = lambda n: "".join(rng.choices("abcdefgh xyzéİKAG", k=n))
+    rows = [(i, "en" if i % 3 else None, "web", n, letter(n)) for i, n in enumerate((0, 3, 5, 40, 700, 90, 2000, 11))] + [(8, "en", "web", 0, None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    args = spark, str(tmp_path)
+    workers = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    for query, most in ((genomes.kmer_counts, 1), (genomes.kmers_absent, 1), (genomes.tail_masses, 1), (genomes.spectrum_quantiles, 1), (evaluation.spectra_bin_summary, 2), (evaluation.spectra_significance, 6), (genomes.fcgr_pair_l1, 4)):
+        assert workers(query(*args)) <= most, query.__name__
+    raw, made = genomes.texts(*args), genomes.text_dna(*args)
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert sorted_rows(kmers.code_counts(raw, 4, "doc_id", lettered=genomes.lettered)) == sorted_rows(kmers.code_counts(made, 4, "doc_id"))
+    for f in (superkmers.counts, superkmers.spectra):
+        for part in (100, superkmers.PART_LETTERS):
+            assert sorted_rows(f(raw, 4, "grp", part_letters=part, lettered=genomes.lettered)) == sorted_rows(f(made, 4, "grp"))
+    assert sorted_rows(superkmers.joint_spectrum(raw, 4, lettered=genomes.lettered)) == sorted_rows(superkmers.joint_spectrum(made, 4))
+
+
+def test_batches_come_in_few_bytes():
+    rows = ["", None, "abc", "x" * 50, "y" * 9, "z" * 8, "é" * 3, ""]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(rows))), "t": pa.array(rows)})
+    upper = lambda a: pa.array([None if t is None else t.upper() for t in a.to_pylist()], a.type)
+    got = list(kmers.few([batch.slice(1), batch], "t", upper, 20))
+    assert [r for b in got for r in b.to_pylist()] == [{"i": i, "t": t and t.upper()} for i, t in [*enumerate(rows)][1:] + [*enumerate(rows)]]
+    assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("t").to_pylist()) <= 20 for b in got)
