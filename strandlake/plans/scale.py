@@ -13,7 +13,7 @@ from ..functions.shared import checkpoint_dir
 from ..operators import classifier, fcgr, kmer_sets, kmers, nonb, nullomers, tfbs, tiled
 from ..sources import resume, tiles
 from .evaluation import draw_sql, spectra_bin_summary
-from .genomes import G4_SQL, K, LETTER_SQL, NONB_SQL, RC, SCAN_SQL, TEXT_SQL, TILE, Z_SQL, _nonb, joint, lettered, md5_dna, rounded, text_dna, texts
+from .genomes import G4_SQL, K, LETTER_SQL, NONB_SQL, RC, SCAN_SQL, TEXT_SQL, TILE, Z_SQL, _nonb, digested, joint, lettered, md5_dna, md5_ids, rounded, text_dna, texts
 from .genomes import ORACLE_SQL as GENOME_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,10 +165,9 @@ op AS (SELECT grp, motif_id, word, s / 1000 AS score, sum(w) OVER (PARTITION BY
 SELECT pair_id, which, doc_id, motif_id, strand, CASE strand WHEN '+' THEN pos ELSE n-6-pos END AS start, round(score, 6) AS score, round(p, 9) AS p_value FROM hw JOIN op USING (grp, word) WHERE p < {_OWN_P}""")
 def motif_scan_own(spark: SparkSession, sf: str) -> DataFrame:
     """Each side scanned against its own background."""
-    m = md5_dna(spark, sf)
-    own = tfbs.background(m, "seq", "grp").select("grp", F.array("A", "C", "G", "T").alias("base"))
+    own = tfbs.background(md5_dna(spark, sf), "seq", "grp").select("grp", F.array("A", "C", "G", "T").alias("base"))
     motifs = spark.createDataFrame([(name, name, x) for name, x in MATRICES.items()], "motif_id string, motif_alt_id string, matrix array<array<double>>")
-    hits = tfbs.scan_own(m.join(F.broadcast(own), "grp"), motifs, "pair_id", "which", "doc_id", site_p=_OWN_P)  # two rows
+    hits = tfbs.scan_own(md5_ids(spark, sf).join(F.broadcast(own), "grp"), motifs, "pair_id", "which", "doc_id", site_p=_OWN_P, made=digested)  # two rows
     return hits.select("pair_id", "which", "doc_id", "motif_id", "strand", "start", F.round("score", 6).alias("score"), F.round("p_value", 9).alias("p_value"))
 
 

@@ -119,3 +119,22 @@ def test_batches_come_in_few_bytes():
     got = list(kmers.few([batch.slice(1), batch], "t", upper, 20))
     assert [r for b in got for r in b.to_pylist()] == [{"i": i, "t": t and t.upper()} for i, t in [*enumerate(rows)][1:] + [*enumerate(rows)]]
     assert all(b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column("t").to_pylist()) <= 20 for b in got)
+
+
+def test_scans_make_sequences_of_digests_themselves(spark, tmp_path):
+    """No sequence reaches a scanning worker: it gets ids and sizes, and makes sequences a few at a time."""
+    rows = [(0, 0), (1, 31), (2, 32), (3, 3000), (1234567, 95), (-5, 64), (-6, 7), (8, 2_000_000), (9, 5), (10, None)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    args = spark, str(tmp_path)
+    made = genomes.md5_dna(*args)
+    for query in (genomes.motif_hits, genomes.motif_scan):
+        assert "md5(" not in query(*args)._jdf.queryExecution().optimizedPlan().toString(), query.__name__
+    want = {r.doc_id: r.seq for r in made.collect()}
+    batch = pa.RecordBatch.from_pylist([{"i": i, "s": {"doc_id": i, "n_chars": n}} for i, n in rows])
+    got = [b for part in (batch.slice(3), batch.slice(0, 3)) for b in genomes.digested([part], "s")]
+    assert [b.column("i").to_pylist() for b in got] == [[3, 1234567, -5, -6], [8], [9, 10], [0, 1, 2]]
+    assert {r["i"]: r["s"] for b in got for r in b.to_pylist()} == want
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for keep in (("doc_id",), ("pair_id", "which")):
+        scans = [tfbs.scan(d, genomes._scanned(spark), *keep, site_p=genomes.SITE_P, **how) for d, how in ((made, {}), (genomes.md5_ids(*args), {"made": genomes.digested}))]
+        assert sorted_rows(scans[0]) == sorted_rows(scans[1])
