@@ -138,3 +138,8 @@ def test_scans_make_sequences_of_digests_themselves(spark, tmp_path):
     for keep in (("doc_id",), ("pair_id", "which")):
         scans = [tfbs.scan(d, genomes._scanned(spark), *keep, site_p=genomes.SITE_P, **how) for d, how in ((made, {}), (genomes.md5_ids(*args), {"made": genomes.digested}))]
         assert sorted_rows(scans[0]) == sorted_rows(scans[1])
+
+
+def test_spectra_significance_counts_letters_once(spark, sf):
+    """Its tests read one number a pair three times, and don't count letters again for each."""
+    assert "MapInArrow" not in evaluation.spectra_significance(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
